@@ -6,6 +6,7 @@ The kernels read the bytes of an Arrow string column directly. UTF-8 keeps every
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +66,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: str, total: int) -> DataFrame:
     """Left join of rows with one row per group, safe for groups that hold a large share of all rows.
 

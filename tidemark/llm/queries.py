@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, minhash, packing, quality
+from . import decontaminate, exact_dedup, html_extract, language, minhash, packing, quality, substring_dedup, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html_extract.query,
         "op2_decontamination": decontaminate.query,
+        "op3_url_filter": url_filter.query,
         "op4_exact_dedup": exact_dedup.query,
+        "op5_substring_dedup": substring_dedup.query,
         "op6_packing": packing.query,
         "op7_quality": quality.query,
+        "op8_language": language.query,
+        "op9_warc": warc.query,
         "op10_minhash": minhash.query,
     }
 
