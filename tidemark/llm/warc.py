@@ -2,12 +2,12 @@
 
 Writing is a DataFrame plan: payload digests are grouped (pre-aggregated; hot payloads are joined by broadcast), every
 record becomes one string that ends in the format's empty lines, and Spark's text writer makes the files, in the
-shared folder and with a bounded number of records each.
+shared folder, compressed and with a bounded number of records each.
 
 Reading: `WARC/1.` may also stand inside a payload, so it proves nothing. Each task lists all candidates of its
 archive with the offset at which their declared length says the next record begins; pointer jumping from offset 0
 (doubling the step each round, so a logarithmic number of rounds) keeps the candidates that the chain reaches, and
-only those are parsed. Archives are read whole by one task each, which the bounded file size allows.
+only those are parsed. Archives are unpacked and read whole by one task each, which the bounded file size allows.
 
 Edge cases: a null payload counts as empty; rows that repeat a page_id are records of their own, and all rows of the
 smallest page_id of equal payloads are responses; addresses are stored without line ends; an empty table gives no
@@ -17,6 +17,7 @@ archive and no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -74,7 +75,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         body,
     )
     per_file = max(1, FILE_BYTES // max(1, volume // max(1, total)))
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).mode("errorifexists").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").mode("errorifexists").text(path)
 
 
 def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for f, payload in records(content.as_buffer().to_pybytes()):
+                for f, payload in records(gzip.decompress(content.as_buffer())):
                     kind, digest = f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:")
                     size = int(f["http-content-length"])
                     if kind == "response":
@@ -157,7 +158,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads)
 
 
