@@ -145,7 +145,7 @@ def candidate_windows(window: int, frequent: np.ndarray, batches: Iterator[pa.Re
 def cut(window: int, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        text, w, at, gone, sha = (batch.column(c) for c in ("text", "w", "at", "gone", "kept_sha256"))
+        text, gone, sha = (batch.column(c) for c in ("text", "gone", "kept_sha256"))
         n_removed, digest, kept_text = np.zeros(n, np.int64), sha.to_pylist(), [None] * n
         for i in range(n):
             if not text[i].is_valid:
@@ -153,9 +153,8 @@ def cut(window: int, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iter
             own = text[i].as_py().split()
             keep = np.ones(len(own), bool)
             if gone[i].is_valid:
-                hit = np.isin(np.asarray(w[i].values), np.asarray(gone[i].values))
                 edge = np.zeros(len(own) + 1, np.int32)
-                places = np.asarray(at[i].values)[hit]
+                places = np.asarray(gone[i].values)
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + window, -1)
                 keep = np.cumsum(edge[:-1]) == 0
@@ -199,14 +198,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     lowest = C.scratch(all_.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("win", "lo"), "lowest")
     del all_
     C.release(spark)
-    asked = owned.filter("w is not null").select("doc_id", F.explode(F.array_distinct("w")).alias("win"))
-    gone = asked.join(lowest, "win").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("win").alias("gone"))
+    asked = owned.filter("w is not null").select("doc_id", F.inline(F.arrays_zip(F.col("w").alias("win"), F.col("at").alias("place"))))
+    gone = asked.join(lowest, "win").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
     gone = C.scratch(gone, "gone")
     C.discard(lowest)
     del asked, lowest
     C.release(spark)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return windows.join(gone.hint("shuffle_hash"), "doc_id", "left").drop("w_first").mapInArrow(lambda it: cut(window, keep_text, it), out)
+    return windows.join(gone.hint("shuffle_hash"), "doc_id", "left").drop("w", "at", "w_first").mapInArrow(lambda it: cut(window, keep_text, it), out)
 
 
 class SuffixAutomaton:
