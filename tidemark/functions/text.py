@@ -89,29 +89,58 @@ def content_words(text: Column, tokenizer: Tokenizer = whitespace_tokens, pos=PO
     return F.when(is_english(text), F.array().cast("array<string>")).otherwise(words) if skip_english else words
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once; inside lambdas an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return _bound(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(none))
+
+
+def _no_equal_neighbours(words: Column) -> Column:
+    n = F.size(words)
+    return ~F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.get(words, i) == F.get(words, i - 1)))
 
 
 def valid_ngram(ngram: Column) -> Column:
     """False for equal neighbours, and, beyond two words, where one word is more than half of them."""
-    words = F.split(ngram, " ")
-    n = F.size(words)
-    equal = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.get(words, i) == F.get(words, i - 1)))
-    most = F.array_max(F.transform(words, lambda w: F.size(F.filter(words, lambda v: v == w))))
-    return ~equal & ((n <= 2) | (most * 2 <= n))
+
+    def check(words: Column) -> Column:
+        n = F.size(words)
+        most = F.array_max(F.transform(words, lambda w: F.size(F.filter(words, lambda v: v == w))))
+        return _no_equal_neighbours(words) & ((n <= 2) | (most * 2 <= n))
+
+    return _bound(F.split(ngram, " "), check)
 
 
 def all_ngrams(tokens: Column, low: int = 1, high: int = 5) -> Column:
-    """The valid n-grams of all lengths, repeats included."""
-    return F.filter(F.concat(*[ngrams(tokens, n) for n in range(low, high + 1)]), valid_ngram)
+    """The valid n-grams of all lengths, repeats included, in the order of their first words.
+
+    Validity is decided on the tokens, with one comparison for each pair of places, before any string is built.
+    """
+
+    def at(t: Column, i: Column) -> Column:
+        w = [F.get(t, i + k) for k in range(high)]
+        grams = []
+        for n in range(low, high + 1):
+            ok = w[n - 1].isNotNull()
+            for k in range(n - 1):
+                ok = ok & (w[k] != w[k + 1])
+            if n > 2:
+                count = lambda k: sum(((w[k] == w[j]).cast("int") for j in range(n) if j != k), F.lit(1))  # noqa: E731, B023
+                ok = ok & (F.greatest(*[count(k) for k in range(n)]) * 2 <= n)
+            grams.append(F.when(ok, F.concat_ws(" ", *w[:n])))
+        return F.array_compact(F.array(*grams))
+
+    none = F.array().cast("array<string>")
+    return _bound(tokens, lambda t: F.when(F.size(t) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: at(t, i)))).otherwise(none))
 
 
 def presentable_ngram(ngram: Column) -> Column:
     """For charts: more than one character and no equal neighbours."""
-    words = F.split(ngram, " ")
-    n = F.size(words)
-    return (F.length(ngram) > 1) & ~F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.get(words, i) == F.get(words, i - 1)))
+    return (F.length(ngram) > 1) & _bound(F.split(ngram, " "), _no_equal_neighbours)
 
 
 def title_and_body(text: Column) -> tuple[Column, Column]:

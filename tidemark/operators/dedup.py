@@ -28,9 +28,9 @@ def by_url(df: DataFrame, order: list, source: str = "source", url: str = "url")
 
 def flag_duplicates(df: DataFrame, keys: list, name: str = "duplicated") -> DataFrame:
     """Every row of a key that occurs more than once is flagged."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    on = [df[k].eqNullSafe(counts[k]) for k in keys]
-    return df.join(counts, on).select(*[df[c] for c in df.columns], (F.col("_n") > 1).alias(name))
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_n"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return df.join(counts, on).select(*df.columns, (F.col("_n") > 1).alias(name))
 
 
 def duplicate_ids(df: DataFrame, key: Column | str, row_id: str) -> DataFrame:

@@ -15,7 +15,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def pivot_counts(df: DataFrame, row: Column, column: str, values: list) -> DataFrame:
     """Counts by row and listed value, 0 where there are none."""
-    return df.groupBy(row.alias("row")).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row.alias("row")).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def monthly(df: DataFrame, day: str) -> DataFrame:

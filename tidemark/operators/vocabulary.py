@@ -19,10 +19,9 @@ def vocabulary(df: DataFrame, ngrams: str = "ngrams", minimum: int = MIN_FREQUEN
 
 
 def bag(df: DataFrame, row_id: str, ngrams: str = "ngrams", carry: list[str] | None = None) -> DataFrame:
-    """row id, carried columns, ngram, tf. An n-gram's occurrences within a row are counted before anything is shuffled."""
+    """row id, carried columns, ngram, tf. Partial counts are combined before the exchange."""
     keep = [row_id, *(carry or [])]
-    counted = F.transform(F.array_distinct(ngrams), lambda g: F.struct(g.alias("ngram"), F.size(F.filter(F.col(ngrams), lambda x: x == g)).alias("tf")))
-    return df.select(*keep, F.explode(counted).alias("_t")).select(*keep, "_t.ngram", F.col("_t.tf").cast("long").alias("tf"))
+    return df.select(*keep, F.explode(ngrams).alias("ngram")).groupBy(*keep, "ngram").agg(F.count("*").alias("tf"))
 
 
 def restrict(long: DataFrame, words: DataFrame) -> DataFrame:

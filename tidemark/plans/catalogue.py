@@ -40,7 +40,7 @@ _WHITE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\
 
 
 def _re2(pattern: str) -> str:
-    return pattern.replace(r"\s]", _WHITE + "]").replace(r"\s", f"[{_WHITE}]").replace("'", "''")
+    return pattern.replace(r"\s]", "\0]").replace(r"\s", f"[{_WHITE}]").replace("\0", _WHITE).replace("'", "''")
 
 
 def _collapse(x: str) -> str:
@@ -55,13 +55,13 @@ def _clean(x: str, chain: str) -> str:
     return _collapse(out) if tidy else out
 
 
-_TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[{_WHITE}]+'), x -> x <> '')"
-_VALID = """NOT coalesce(list_bool_or(list_transform(range(1, len(w)), i -> w[i] = w[i + 1])), false)
-    AND (len(w) <= 2 OR list_max(list_transform(w, x -> len(list_filter(w, y -> y = x)))) * 2 <= len(w))"""
+_TOKENS = f"list_filter(regexp_split_to_array(lower(text), '[{_WHITE}]+'), lambda x: x <> '')"
+_VALID = """NOT coalesce(list_bool_or(list_transform(range(1, len(w)), lambda i: w[i] = w[i + 1])), false)
+    AND (len(w) <= 2 OR list_max(list_transform(w, lambda x: len(list_filter(w, lambda y: y = x)))) * 2 <= len(w))"""
 
 
 def _grams(high: int) -> str:
-    parts = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(list_transform(range(1, greatest(len(toks) - {n - 2}, 1)), i -> toks[i:i + {n - 1}])) AS w FROM tok" for n in range(1, high + 1))
+    parts = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, unnest(list_transform(range(1, greatest(len(toks) - {n - 2}, 1)), lambda i: toks[i:i + {n - 1}])) AS w FROM tok" for n in range(1, high + 1))
     return f"tok AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), raw AS ({parts}), grams AS (SELECT doc_id, n, array_to_string(w, ' ') AS ngram FROM raw WHERE {_VALID})"
 
 
@@ -182,9 +182,9 @@ def date_range(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS x FROM orders)
-SELECT o_orderkey, x AS dotted, x AS dashed, x AS lenient, x AS any_form, x AS korean, x AS short_form, x AS compact_form, CAST(x - INTERVAL 1 DAY AS DATE) AS yesterday,
+SELECT o_orderkey, x AS dotted, x AS dashed, x AS lenient, x AS any_form, x AS korean, x AS short_form, x AS compact_form, x - 1 AS yesterday,
        x AS url_day, CAST(x + INTERVAL 2 MONTH AS DATE) AS plus_two, strftime(x, '%Y-%m') AS month, strftime(x, '%Y.%m.%d') AS dots,
-       CAST(date_trunc('month', x) AS DATE) AS first_day, last_day(x) AS final_day, CAST(x + INTERVAL 60 DAY AS DATE) AS target FROM d""")
+       CAST(date_trunc('month', x) AS DATE) AS first_day, last_day(x) AS final_day, x + 60 AS target FROM d""")
 def date_forms(spark, sf_dir):
     """Dates are written in every form that the sources use, and read back."""
     own = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("x"))
@@ -299,7 +299,7 @@ def label_forward_month(spark, sf_dir):
 
 @query("""WITH r AS (SELECT CAST(ts AS DATE) AS date, avg(value) AS rate FROM events GROUP BY 1),
  e AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events),
- a AS (SELECT e.date, CAST(e.date + INTERVAL 7 DAY AS DATE) AS later, r.rate AS rate_now FROM e ASOF LEFT JOIN r ON e.date >= r.date),
+ a AS (SELECT e.date, e.date + 7 AS later, r.rate AS rate_now FROM e ASOF LEFT JOIN r ON e.date >= r.date),
  b AS (SELECT a.date, a.later, a.rate_now, r.rate AS rate_later FROM a ASOF LEFT JOIN r ON a.later >= r.date)
  SELECT date, CASE WHEN later > (SELECT max(date) FROM r) THEN NULL WHEN rate_later - rate_now > 0.03 THEN 1 WHEN rate_later - rate_now < -0.03 THEN 0 END AS label FROM b""")
 def label_forward_days(spark, sf_dir):
@@ -376,7 +376,7 @@ def rate_change_sign(spark, sf_dir):
 
 _SPLIT = f"""flat AS (SELECT doc_id, {_collapse('text')} AS t FROM documents),
  masked AS (SELECT doc_id, t, regexp_replace(t, '([A-Z])\\.([A-Z])', '\\1' || chr(2) || '\\2', 'g') AS m FROM flat WHERE t <> ''),
- parts AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(m, '[.!?][{_WHITE}]*([가-힣A-Z])', chr(3) || '\\1', 'g'), chr(3)), s -> trim(replace(s, chr(2), '.'))), s -> length(s) >= 10) AS p FROM masked),
+ parts AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(m, '[.!?][{_WHITE}]*([가-힣A-Z])', chr(3) || '\\1', 'g'), chr(3)), lambda s: trim(replace(s, chr(2), '.'))), lambda s: length(s) >= 10) AS p FROM masked),
  sentences AS (SELECT doc_id, unnest(CASE WHEN len(p) = 0 THEN [t] ELSE p END) AS sentence, unnest(range(0, greatest(len(p), 1))) AS position FROM parts)"""
 
 
@@ -553,8 +553,8 @@ def confusion_matrix(spark, sf_dir):
     return rounded(evaluate.metrics(scored(spark, sf_dir)).select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall"), "accuracy", "precision", "recall")
 
 
-_CURVE = """by AS (SELECT round(proba, 6) AS threshold, count_if(label = 1) AS p, count(*) AS n FROM preds GROUP BY 1),
- run AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS called, sum(p) OVER () AS pos FROM by WINDOW w AS (ORDER BY threshold DESC)),
+_CURVE = """steps AS (SELECT round(proba, 6) AS threshold, count_if(label = 1) AS p, count(*) AS n FROM preds GROUP BY 1),
+ run AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS called, sum(p) OVER () AS pos FROM steps WINDOW w AS (ORDER BY threshold DESC)),
  curve AS (SELECT threshold, tp / called AS precision, coalesce(tp / nullif(pos, 0), 0) AS recall FROM run),
  curve1 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM curve)"""
 
@@ -648,8 +648,8 @@ def prediction_accuracy_fn(spark, sf_dir):
 
 
 def _trigrams(x: str) -> str:
-    words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
-    return f"list_distinct(flatten(list_transform({words}, w -> list_transform(range(1, length(w) + 2), i -> ('  ' || w || ' ')[i:i + 2]))))"
+    words = f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
 
 
 @query(f"""WITH t AS (SELECT doc_id, {_trigrams("split_part(text, chr(10), 1)")} AS a, {_trigrams("text")} AS b FROM documents), s AS (SELECT doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM t)
