@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +68,7 @@ def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]]) -> Tokeni
     kind = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.StringType())]))
 
     @F.pandas_udf(kind)
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tag = make()
 
         def one(text):
