@@ -74,7 +74,7 @@ def test_exact_dedup_oracle(spark, sf):
     assert sorted(tuple(r) for r in exact_dedup.query(spark, sf).select(*names).collect()) == want
 
 
-@pytest.mark.parametrize("partners,block", [(16, 512), (1, 2)])
+@pytest.mark.parametrize("partners,block", [(2, 256), (1, 2)])
 def test_near_brute(spark, partners, block):
     rows = edge_rows(seed=5, n=120)
     got = sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows), partners=partners, block=block).collect())

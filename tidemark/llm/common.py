@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at; bounds the temporary arrays of a worker.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: A group of more than this share of all rows is hot; there can be at most 1 / HOT of them.
 HOT = 0.001
 
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, since single texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,9 +6,11 @@
 3. In every bucket (equal band key) each class is paired with the bucket's smallest id. The population count of the
    XOR of two odd sketches estimates their similarity; pairs that are clearly below the limit go, the rest are
    confirmed on the full sets.
-4. Only buckets whose members are still in several components are looked at again: their members are dealt in blocks,
-   blocks are compared sketch by sketch, and every pair across components that may be similar is confirmed as well.
-   A member reports at most `partners` at once; rounds repeat until none had more, so the bound loses nothing.
+4. Only buckets of three or more whose members are still in several components are looked at again. Members are dealt
+   in blocks, and blocks are compared by odd sketches of FINE times as many samples and bits, which only these members
+   get; a pair counts only in the first bucket that both are in. Each member names its `partners` closest ones that may
+   be similar, which are confirmed. While members had more partners to name, rounds repeat with the new components and
+   32 times as many partners.
 Components come from min-label propagation with pointer jumping; every step is a table in the shared folder.
 
 With 40 bands of 8 samples a pair of similarity 0.85 shares no bucket with probability 3e-6, one of 0.9 with 1e-10.
@@ -29,30 +31,31 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BANDS, ROWS, SKETCH = 40, 8, 512
+#: How much larger the sketches of the second look are.
+FINE = 8
 SHINGLE, SIMILARITY = 3, 85
 #: Members of a block that are compared with another block in one step.
-BLOCK = 512
-PARTNERS = 16
+BLOCK = 1024
+PARTNERS = 4
 
 _random = np.random.default_rng(20)
-_SEEDS = _random.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SALTS = _random.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+_SEEDS = _random.integers(1 << 32, size=FINE * BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SALTS = _random.integers(1 << 63, size=FINE * BANDS * ROWS, dtype=np.uint64)
 _COEFFICIENTS = _random.integers(1 << 63, size=ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def largest_distance(similarity: int) -> int:
+def largest_distance(similarity: int, times: int = 1) -> int:
     """The largest XOR population count of two odd sketches at which a pair may still be as similar as asked for.
 
     Twice the number of differing samples is the size of the difference of the folded sets; the expected count follows
-    from it, and six standard deviations are allowed.
+    from it, and five standard deviations are allowed.
     """
-    k, p = BANDS * ROWS, 1 - similarity / 100
-    m = 2 * k * p
-    decay = (1 - 2 / SKETCH) ** m
-    expected = SKETCH / 2 * (1 - decay)
+    k, bits, p = times * BANDS * ROWS, times * SKETCH, 1 - similarity / 100
+    decay = (1 - 2 / bits) ** (2 * k * p)
+    expected = bits / 2 * (1 - decay)
     from_samples = decay * 2 * np.sqrt(k * p * (1 - p))
-    from_folding = np.sqrt(SKETCH * (1 - decay**2)) / 2
-    return int(np.ceil(expected + 6 * np.hypot(from_samples, from_folding)))
+    from_folding = np.sqrt(bits * (1 - decay**2)) / 2
+    return int(np.ceil(expected + 5 * np.hypot(from_samples, from_folding)))
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -70,15 +73,34 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.
     return out
 
 
-def samples(s: np.ndarray) -> np.ndarray:
+def samples(s: np.ndarray, times: int = 1) -> np.ndarray:
     """MinHash samples of one set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    low = np.full(len(_SEEDS), 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 1024):
-        np.minimum(low, (x[at : at + 1024, None] * _SEEDS).min(axis=0), out=low)
+    seeds = _SEEDS[: times * BANDS * ROWS]
+    low = np.full(len(seeds), 0xFFFFFFFF, np.uint32)
+    step = 1024 // times
+    for at in range(0, len(x), step):
+        np.minimum(low, (x[at : at + step, None] * seeds).min(axis=0), out=low)
     return low
 
 
+def odd_sketches(low: np.ndarray) -> np.ndarray:
+    """Rows of samples, folded into parity bitmaps of as many times SKETCH bits as there are times BANDS * ROWS samples."""
+    n, k = low.shape
+    bits = SKETCH * k // (BANDS * ROWS)
+    place = (C.mix(low.astype(np.uint64) + _SALTS[:k]) & np.uint64(bits - 1)).astype(np.int64) + bits * np.arange(n)[:, None]
+    parity = np.bincount(place.ravel(), minlength=bits * n) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
+def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            own = batch.slice(at, 256)
+            low = np.stack([samples(np.frombuffer(x.as_buffer(), np.uint64), FINE) for x in own.column("shingles")])
+            yield pa.RecordBatch.from_pydict({"rep": own.column("rep"), "sketch": _lists(odd_sketches(low), np.zeros(len(low), bool))})
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, off in C.chunks(batches, "text"):
         sets = shingle_sets(raw, off)
@@ -86,10 +108,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.stack([samples(s) for s in sets])
         keys = (low.reshape(len(sets), BANDS, ROWS).astype(np.uint64) * _COEFFICIENTS).sum(axis=2)
         keys = C.mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        place = C.mix(low.astype(np.uint64) + _SALTS) & np.uint64(SKETCH - 1)
-        place = place.astype(np.int64) + SKETCH * np.arange(len(sets))[:, None]
-        bits = np.bincount(place.ravel(), minlength=SKETCH * len(sets)) & 1
-        sketch = np.packbits(bits.astype(np.uint8).reshape(len(sets), SKETCH), axis=1).view(np.int64)
+        sketch = odd_sketches(low)
         digest = [[int(C.mix(s ^ np.uint64(c)).sum(dtype=np.uint64)) for s in sets] for c in (0, 0x5851F42D4C957F2D)]
         none = n == 0
         yield pa.RecordBatch.from_pydict({
@@ -143,31 +162,45 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_meeting(ok: np.ndarray, left: np.ndarray, right: np.ndarray, key: int) -> np.ndarray:
+    """The pairs for which this bucket is the first of those that both are in; others are left to that one."""
+    out = np.zeros_like(ok)
+    p, q = np.nonzero(ok)
+    for at in range(0, len(p), 1 << 15):
+        a, b = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
+        first = (left[a] == right[b]).argmax(axis=1)
+        mine = left[a, first] == key
+        out[a[mine], b[mine]] = True
+    return out
+
+
 def compare_blocks(limit: int, partners: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by unit (key, i, j); each unit has the members of blocks i and j. Emits pairs across components."""
 
     def flush(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
         rep, comp, block = (t.column(c).to_numpy() for c in ("rep", "comp", "block"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        flat = t.column("sketch").combine_chunks()
-        sketch = np.asarray(flat.flatten()).view(np.uint64).reshape(len(rep), -1)
+        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(rep), -1)
+        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(len(rep), -1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         d = distances(sketch[left], sketch[right])
         ok = (d <= limit) & (comp[left][:, None] != comp[right][None, :])
-        if i == j:
-            ok &= rep[left][:, None] < rep[right][None, :]
+        ok = _first_meeting(ok, bands[left], bands[right], key)
         if not ok.any():
             return None
-        more = ok.sum(axis=1) > partners
-        if more.any():
+        keep = ok
+        if (more := bool((ok.sum(axis=1) > partners).any() or (ok.sum(axis=0) > partners).any())):
             d = np.where(ok, d, 1 << 20)
-            for r in np.flatnonzero(more):
-                ok[r] = False
-                ok[r, np.argpartition(d[r], partners)[:partners]] = True
-        p, q = np.nonzero(ok)
+            keep = np.zeros_like(ok)
+            n = min(partners, len(right))
+            keep[np.arange(len(left))[:, None], np.argpartition(d, n - 1, axis=1)[:, :n]] = True
+            n = min(partners, len(left))
+            keep[np.argpartition(d, n - 1, axis=0)[:n], np.arange(len(right))[None, :]] = True
+            keep &= ok
+        p, q = np.nonzero(keep)
         a, b = rep[left[p]], rep[right[q]]
-        return pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b), "more": more[p]})
+        return pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(p), key, np.int64)), "a": np.maximum(a, b), "b": np.minimum(a, b), "more": pa.array(np.full(len(p), more))})
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -188,20 +221,23 @@ def compare_blocks(limit: int, partners: int, batches: Iterator[pa.RecordBatch])
         yield out
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    kind = dict(docs.dtypes)["doc_id"]
+    own = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    return C.scratch(own.mapInArrow(sets_of, f"rep {kind}, shingles binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; pairs must be a scratch table. Sets of a hot b are dealt by salt."""
     total = pairs.count()
+    kind = dict(sets.dtypes)["rep"]
     counts = C.scratch(pairs.groupBy("b").agg(F.count("*").alias("n")), "fan")
-    ids = C.scratch(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "ids")
-    kind = dict(docs.dtypes)["doc_id"]
-    sets = C.scratch(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets_of, f"rep {kind}, shingles binary"), "sets")
     dealt = C.join_groups(pairs.select("a", "b"), counts, ["b"], "n", "a", total)
-    dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n")
-    dealt = C.scratch(dealt, "dealt")
+    dealt = C.scratch(dealt.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n"), "dealt")
     heads = dealt.select("b", "salt").distinct().join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("other")), "b")
     both = dealt.join(sets.select(F.col("rep").alias("a"), "shingles"), "a").join(heads, ["b", "salt"])
     links = C.scratch(both.select("a", "b", "shingles", "other").mapInArrow(lambda it: confirm(similarity, it), f"a {kind}, b {kind}"), "links")
-    C.discard(counts, ids, sets, dealt)
+    C.discard(counts, dealt)
     return links
 
 
@@ -223,6 +259,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
+def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, rep, comp, size of the buckets whose members are in several components."""
+    labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    labelled = C.scratch(labelled.select("key", "rep", F.coalesce("comp", "rep").alias("comp")), "labelled")
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    open_ = C.scratch(open_.filter("lo <> hi").select("key", "size"), "open")
+    out = C.scratch(C.join_groups(labelled, open_, ["key"], "size", "rep", labelled.count()).filter("size is not null"), "open")
+    C.discard(labelled, open_)
+    return out
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
@@ -238,44 +285,50 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     buckets = C.scratch(rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = C.scratch(C.join_groups(rows, buckets, ["key"], "size", "rep", total).filter("size is not null"), "members")
-    sketches = C.scratch(reps.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch"), "sketches")
+    sketches = C.scratch(reps.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch", "bands"), "sketches")
     star = C.scratch(members.filter("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")), "star")
     fan = star.groupBy("b").agg(F.count("*").alias("n"))
     pivots = C.scratch(fan.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("other")), "b"), "pivots")
     near = C.join_groups(star.select("a", "b"), pivots, ["b"], "n", "a", max(1, total)).join(sketches.select(F.col("rep").alias("a"), "sketch"), "a")
     far = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     tried = C.scratch(near.filter(far <= limit).select("a", "b"), "near")
-    links = _confirmed(tried, docs, similarity)
-    C.discard(star, pivots)
+    ids = C.scratch(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "ids")
+    sets = _sets(docs, ids)
+    links = _confirmed(tried, sets, similarity)
+    C.discard(star, pivots, ids, sets)
     comps = components(links)
 
-    while True:
-        labelled = members.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = C.scratch(labelled.select("key", "rep", F.coalesce("comp", "rep").alias("comp")), "labelled")
-        open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-        open_ = C.scratch(open_.filter("lo <> hi").select("key", "size"), "open")
-        units = C.join_groups(labelled, open_, ["key"], "size", "rep", total).filter("size is not null")
-        n = F.ceil(F.col("size") / block).cast("int")
-        units = units.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        units = units.join(sketches, "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        units = units.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "comp", "sketch")
+    # a bucket of two has been settled by its one pair
+    members = members.filter("size > 2").select("key", "rep")
+    open_ = _open(members, comps)
+    if open_.limit(1).count():
+        ids = C.scratch(open_.select("rep").distinct(), "ids")
+        sets = _sets(docs, ids)
+        fine_ones = sets.mapInArrow(fine_sketches, f"rep {kind}, sketch array<long>")
+        profiles = C.scratch(fine_ones.join(sketches.select("rep", "bands"), "rep"), "profiles")
+    fine = largest_distance(similarity, FINE)
+    while open_.limit(1).count():
+        units = open_.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+        units = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        units = units.join(profiles, "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+        units = units.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "comp", "sketch", "bands")
         units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = units.mapInArrow(lambda it: compare_blocks(limit, partners, it), f"a {kind}, b {kind}, more boolean")
-        found = found.groupBy("a", "b").agg(F.max("more").alias("more"))
-        found = C.scratch(found.join(tried, ["a", "b"], "left_anti"), "found")
-        C.discard(labelled, open_)
-        if not found.limit(1).count():
-            break
-        again = found.filter("more").limit(1).count()
-        new = _confirmed(found, docs, similarity)
-        if new.limit(1).count():
+        found = units.mapInArrow(lambda it, n=partners: compare_blocks(fine, n, it), f"key long, a {kind}, b {kind}, more boolean")
+        found = C.scratch(found.groupBy("a", "b").agg(F.max("more").alias("more"), F.collect_set("key").alias("keys")), "found")
+        new_pairs = C.scratch(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+        more = found.filter("more").limit(1).count()
+        new = _confirmed(new_pairs, sets, similarity) if new_pairs.limit(1).count() else None
+        if new is not None and new.limit(1).count():
             links = C.scratch(links.union(new), "links")
             comps = components(links)
-        elif not again:
-            break
-        if not again:
+        if not more:
             break
-        tried = C.scratch(tried.union(found.select("a", "b")), "near")
+        partners *= 32
+        tried = C.scratch(tried.union(new_pairs), "near")
+        # buckets without a pair that may be similar have none later either
+        alive = found.select(F.explode("keys").alias("key")).distinct()
+        before, open_ = open_, _open(members.join(alive, "key", "left_semi"), comps)
+        C.discard(before, found, new_pairs)
 
     held = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", F.coalesce("comp", "rep").alias("component_id"))
     held = C.scratch(held, "held")
