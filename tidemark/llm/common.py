@@ -10,6 +10,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,12 @@ HOT = 0.001
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, since single texts can be very long."""
+    """Bound the Arrow batches by bytes, since single texts can be very long, and let Python workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(":"):
+        environment["PYTHONPATH"] = ":".join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

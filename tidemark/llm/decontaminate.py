@@ -150,6 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_i
     A window is `window` consecutive words of an item; a shorter item is one window.
     """
     spark = docs.sparkSession
+    C.tune(spark)
     blocks, items, texts, size = [], [], [], 0
 
     def close():
@@ -177,4 +178,19 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return contamination(C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "benchmark"))
+    return contamination(C.load(spark, sf_dir, "documents"), C.load(spark, sf_dir, "benchmark")).drop("longest_match", "longest_at")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS t FROM benchmark),
+  docs AS (SELECT doc_id, {_WORDS} AS t FROM documents),
+  win AS (SELECT DISTINCT item_id, least(len(t), 10) AS n, unnest(list_transform(range(1, greatest(len(t) - 8, 2)), lambda k: array_to_string(t[k:k + 9], ' '))) AS g FROM items WHERE len(t) > 0),
+  sizes AS (SELECT DISTINCT n FROM win),
+  grams AS (SELECT doc_id, n, unnest(list_transform(range(1, len(t) - n + 2), lambda k: array_to_string(t[k:k + n - 1], ' '))) AS g, unnest(range(1, len(t) - n + 2)) AS k FROM docs, sizes WHERE len(t) >= n),
+  hit AS (SELECT doc_id, k, n, item_id FROM grams JOIN win USING (n, g)),
+  covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM hit) GROUP BY 1),
+  found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

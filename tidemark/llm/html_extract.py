@@ -194,6 +194,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             texts = [main_text(blob[a:b].decode("utf-8", "replace")) for a, b in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
+    C.tune(pages.sparkSession)
     kind = dict(pages.dtypes)[page_id]
     own = pages.select(pages[page_id].alias("page_id"), pages[url].alias("url"), pages[page].alias("html"))
     return own.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

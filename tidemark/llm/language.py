@@ -69,6 +69,7 @@ class TextModel:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """docs: doc_id, text, lang."""
+    C.tune(docs.sparkSession)
     ids = docs.filter("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +103,7 @@ def softmax(logs: Column) -> Column:
 
 def identify(pages: DataFrame, model: TextModel, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, host, lang, confidence, text_lang, declared."""
+    C.tune(pages.sparkSession)
     names = model.languages
     host, _ = parts(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.col(page).alias("html"))

@@ -272,6 +272,7 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    C.tune(docs.sparkSession)
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     signed = C.scratch(docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"), "signed")
@@ -345,3 +346,16 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(C.load(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+  sets AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(t) - 1, 2)), lambda i: array_to_string(t[i:i + 2], ' '))) AS g FROM docs WHERE len(t) > 0),
+  sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+  shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+  links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  reach AS (SELECT doc_id AS node, doc_id AS other FROM docs UNION SELECT node, b FROM reach JOIN links ON a = other)
+SELECT docs.doc_id, coalesce(n, 0) AS n_shingles, min(other) AS component_id, docs.doc_id = min(other) AS kept
+FROM docs JOIN reach ON node = docs.doc_id LEFT JOIN sizes ON sizes.doc_id = docs.doc_id GROUP BY docs.doc_id, n
+"""

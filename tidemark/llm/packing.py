@@ -142,6 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     """One row per piece: where it lies in its document and in its sequence; with keep_ids also its ids as bytes."""
     if capacity < 8 or capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two, 8 at least")
+    C.tune(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     ids = "ids binary, " if keep_ids else ""
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, {ids}sequence_id long, offset long"

@@ -199,6 +199,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose fold is 0 never train the model."""
+    C.tune(docs.sparkSession)
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     labels = labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")).filter(fold_of(F.col("doc_id")) != 0)
     out = score(docs, fit(docs, labels, max_rows))

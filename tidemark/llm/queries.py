@@ -25,4 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {
+        "op2_decontamination": decontaminate.SQL,
+        "op4_exact_dedup": exact_dedup.SQL,
+        "op5_substring_dedup": substring_dedup.SQL,
+        "op9_warc": warc.SQL,
+        "op10_minhash": minhash.SQL,
+    }

@@ -172,6 +172,7 @@ def cut(window: int, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iter
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with keep_text also the kept words of documents in question (null: all)."""
     spark = docs.sparkSession
+    C.tune(spark)
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     pairs = "fp long, doc_id long"
     none = np.empty(0, np.int64)
@@ -269,6 +270,7 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int =
     smaller ids, and take remove_repeats() instead.
     """
     spark = docs.sparkSession
+    C.tune(spark)
     shards, own, size, total = [], [], 0, 0
 
     def hashes(column) -> list[list[int]]:
@@ -310,3 +312,14 @@ def remove_reference_spans(docs: DataFrame, reference: DataFrame, window: int =
 
 def query(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(C.load(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+  grams AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 11), lambda i: array_to_string(t[i:i + 12], ' '))) AS g, unnest(range(1, len(t) - 11)) AS i FROM docs WHERE len(t) >= 13),
+  firsts AS (SELECT g, min(doc_id) AS lo FROM grams GROUP BY 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM grams JOIN firsts USING (g) WHERE lo < doc_id),
+  words AS (SELECT doc_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS j FROM docs),
+  kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY 1)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (doc_id)
+"""

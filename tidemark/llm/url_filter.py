@@ -53,7 +53,8 @@ def triples(host: Column, path: Column) -> Column:
     """Every character of the folded address, and its end, with the two before it."""
     folded = F.regexp_replace(F.translate(F.concat(host, path), UPPER, LOWER), r"[^a-z0-9./_-]", "~")
     padded = F.concat(F.lit("^^"), folded, F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    # within the outer lambda the padded address is computed once, not for each character
+    return F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))), 0)
 
 
 def log_ratio(counts: DataFrame) -> DataFrame:

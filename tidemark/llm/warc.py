@@ -158,6 +158,7 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                 columns = zip(*rows, strict=True) if rows else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    C.tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads)
 
@@ -171,3 +172,12 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return round_trip(C.load(spark, sf_dir, "pages"))
+
+
+SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS lo FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('{BASE32}', ((CAST('0x' || substr(h, (i // 8) * 10 + 1, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN lo = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN lo <> page_id THEN lo END AS refers_to
+FROM p
+"""
