@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": decontaminate.SQL,
+        "op3_url_filter": url_filter.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
         "op5_substring_dedup": substring_dedup.SQL,
         "op9_warc": warc.SQL,

@@ -114,4 +114,39 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(C.load(spark, sf_dir, "pages"))
+    return judge(C.load(spark, sf_dir, "pages")).drop("score")
+
+
+def _case(value) -> str:
+    """The SQL of rule_of()."""
+    by_length = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in by_length) + " END"
+
+
+def _smoothed(c: str) -> str:
+    total = f"(last_{c} + 1.0) / (all_{c} + {SYMBOLS})"
+    two = f"(last2_{c} + {WEIGHT} * ({total})) / (mid_{c} + {WEIGHT})"
+    return f"({c} + {WEIGHT} * ({two})) / (two_{c} + {WEIGHT})"
+
+
+_SUMS = ", ".join(
+    f"sum({c}) OVER (PARTITION BY substr(w, 1, 2)) AS two_{c}, sum({c}) OVER (PARTITION BY substr(w, 2, 2)) AS last2_{c}, "
+    f"sum({c}) OVER (PARTITION BY substr(w, 2, 1)) AS mid_{c}, sum({c}) OVER (PARTITION BY substr(w, 3, 1)) AS last_{c}, sum({c}) OVER () AS all_{c}"
+    for c in ("allow", "block")
+)
+SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+  u AS (SELECT *, {_case(lambda h, p, v: h + p)} AS rule, {_case(lambda h, p, v: v)} AS decided, '^^' || regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[^a-z0-9./_-]', '~', 'g') || '$' AS s FROM h),
+  letters AS (SELECT page_id, host, path, rule, decided, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS w FROM u),
+  counts AS (SELECT w, count(*) FILTER (decided = 'allow') AS allow, count(*) FILTER (decided = 'block') AS block FROM letters GROUP BY 1),
+  sums AS (SELECT w, allow, block, {_SUMS} FROM counts),
+  ratios AS (SELECT w, ln({_smoothed("allow")}) - ln({_smoothed("block")}) AS ratio FROM sums),
+  scores AS (SELECT page_id, host, path, rule, decided, avg(ratio) AS score FROM letters JOIN ratios USING (w) GROUP BY ALL),
+  grid AS (SELECT CAST(round(greatest(-10.0, least(10.0, score)) / {STEP}) AS INT) AS g, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b FROM scores WHERE decided IS NOT NULL GROUP BY 1),
+  loss AS (SELECT (coalesce(lag(g) OVER (ORDER BY g), g - 1) + g) / 2.0 AS middle,
+      coalesce(sum(a) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum(a) OVER (), 0)
+      + sum(b) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / nullif(sum(b) OVER (), 0) AS loss FROM grid),
+  cut AS (SELECT min_by(middle, (loss, middle)) * {STEP} AS least_score FROM loss WHERE loss IS NOT NULL)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score < least_score THEN 'block' ELSE 'allow' END) AS verdict FROM scores, cut
+"""
