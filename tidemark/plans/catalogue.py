@@ -389,7 +389,7 @@ def sentence_split(spark, sf_dir):
     return sentence_table(spark, sf_dir).select("doc_id", F.col("position").cast("long").alias("position"), F.md5("sentence").alias("digest"))
 
 
-@query(f"WITH {_SPLIT} SELECT count(*) AS sentences, count(DISTINCT doc_id) AS documents, count_if(label = 1) AS hawkish, count_if(label = 0) AS dovish, round(avg(length(sentence)), 6) AS mean_length FROM sentences LEFT JOIN (SELECT doc_id, max(quality) AS label FROM labels GROUP BY 1) USING (doc_id)")
+@query(f"WITH {_SPLIT} SELECT count(*) AS sentences, count(DISTINCT doc_id) AS documents, count(*) FILTER (label = 1) AS hawkish, count(*) FILTER (label = 0) AS dovish, round(avg(length(sentence)), 6) AS mean_length FROM sentences LEFT JOIN (SELECT doc_id, max(quality) AS label FROM labels GROUP BY 1) USING (doc_id)")
 def sentence_stats(spark, sf_dir):
     own = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
     rows = sentence_table(spark, sf_dir).join(own, "doc_id", "left")
@@ -415,7 +415,7 @@ def ngram_vocabulary(spark, sf_dir):
     return vocabulary.vocabulary(gram_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 5))
 
 
-@query(f"WITH {_grams(2)}, f AS (SELECT count(*) AS n FROM grams GROUP BY ngram) SELECT count(*) AS before, count_if(n >= 15) AS after, round(100.0 * (count(*) - count_if(n >= 15)) / count(*), 6) AS reduction_pct FROM f")
+@query(f"WITH {_grams(2)}, f AS (SELECT count(*) AS n FROM grams GROUP BY ngram) SELECT count(*) AS before, count(*) FILTER (n >= 15) AS after, round(100.0 * (count(*) - count(*) FILTER (n >= 15)) / count(*), 6) AS reduction_pct FROM f")
 def feature_reduction(spark, sf_dir):
     counts = vocabulary.term_counts(gram_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 2))
     return rounded(vocabulary.feature_reduction(counts), "reduction_pct")
@@ -534,7 +534,7 @@ def lexicon_first_hundred(spark, sf_dir):
     return reports.first_alphabetically(polarity(spark, sf_dir), "hawkish")
 
 
-_CELLS = "count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 1) AS fp, count_if(label = 1 AND pred = 0) AS fn, count_if(label = 0 AND pred = 0) AS tn"
+_CELLS = "count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn, count(*) FILTER (label = 0 AND pred = 0) AS tn"
 
 
 @query(f"WITH {_BAGS}, {_SPLITS}, {_SCORED}, c AS (SELECT iter, {_CELLS} FROM preds GROUP BY 1) SELECT iter, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
@@ -553,7 +553,7 @@ def confusion_matrix(spark, sf_dir):
     return rounded(evaluate.metrics(scored(spark, sf_dir)).select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall"), "accuracy", "precision", "recall")
 
 
-_CURVE = """steps AS (SELECT round(proba, 6) AS threshold, count_if(label = 1) AS p, count(*) AS n FROM preds GROUP BY 1),
+_CURVE = """steps AS (SELECT round(proba, 6) AS threshold, count(*) FILTER (label = 1) AS p, count(*) AS n FROM preds GROUP BY 1),
  run AS (SELECT threshold, sum(p) OVER w AS tp, sum(n) OVER w AS called, sum(p) OVER () AS pos FROM steps WINDOW w AS (ORDER BY threshold DESC)),
  curve AS (SELECT threshold, tp / called AS precision, coalesce(tp / nullif(pos, 0), 0) AS recall FROM run),
  curve1 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM curve)"""
@@ -579,7 +579,7 @@ def pr_auc(spark, sf_dir):
     return rounded(evaluate.pr_auc(curve(spark, sf_dir)), "auc")
 
 
-@query(f"""WITH {_BAGS}, {_SPLITS}, {_SCORED} SELECT d.source, count_if(pred = 1) AS hawkish, count_if(pred = 0) AS dovish, round((count_if(pred = 1) - count_if(pred = 0)) / count(*), 6) AS tone FROM preds JOIN documents d USING (doc_id) GROUP BY 1""")
+@query(f"""WITH {_BAGS}, {_SPLITS}, {_SCORED} SELECT d.source, count(*) FILTER (pred = 1) AS hawkish, count(*) FILTER (pred = 0) AS dovish, round((count(*) FILTER (pred = 1) - count(*) FILTER (pred = 0)) / count(*), 6) AS tone FROM preds JOIN documents d USING (doc_id) GROUP BY 1""")
 def tone_index(spark, sf_dir):
     sources = table(spark, sf_dir, "documents").select("doc_id", "source")
     return rounded(bayes.tone(scored(spark, sf_dir).join(sources, "doc_id"), "source"), "tone")
@@ -594,12 +594,12 @@ def stratified_split(spark, sf_dir):
 # --- reports --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS row, count_if(o_orderstatus = 'F') AS \"F\", count_if(o_orderstatus = 'O') AS \"O\", count_if(o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS row, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1")
 def monthly_label_pivot(spark, sf_dir):
     return reports.pivot_counts(table(spark, sf_dir, "orders"), F.date_format("o_orderdate", "yyyy-MM"), "o_orderstatus", ["F", "O", "P"])
 
 
-@query("SELECT year(o_orderdate) AS row, count_if(o_orderpriority = '1-URGENT') AS urgent, count_if(o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1")
+@query("SELECT year(o_orderdate) AS row, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1")
 def yearly_source_pivot(spark, sf_dir):
     out = reports.pivot_counts(table(spark, sf_dir, "orders"), F.year("o_orderdate").cast("long"), "o_orderpriority", ["1-URGENT", "5-LOW"])
     return out.withColumnsRenamed({"1-URGENT": "urgent", "5-LOW": "low"})
@@ -620,15 +620,15 @@ def rate_statistics(spark, sf_dir):
     return rounded(reports.rate_statistics(rates(spark, sf_dir)), "low", "high")
 
 
-@query("SELECT count(*) AS n, count_if(conv_id IS NULL) AS null_conv_id, count_if(turn IS NULL) AS null_turn, count_if(role IS NULL) AS null_role, count_if(text IS NULL) AS null_text, min(turn) AS first_date, max(turn) AS last_date, round(avg(length(text)), 6) AS mean_length FROM conversations")
+@query("SELECT count(*) AS n, count(*) FILTER (conv_id IS NULL) AS null_conv_id, count(*) FILTER (turn IS NULL) AS null_turn, count(*) FILTER (role IS NULL) AS null_role, count(*) FILTER (text IS NULL) AS null_text, min(turn) AS first_date, max(turn) AS last_date, round(avg(length(text)), 6) AS mean_length FROM conversations")
 def column_profile(spark, sf_dir):
     return rounded(reports.column_profile(table(spark, sf_dir, "conversations"), "turn", "text"), "mean_length")
 
 
 @query("""WITH d AS (SELECT p.html AS content, regexp_replace(p.url, '[?#].*$', '') AS url FROM pages p),
- f AS (SELECT count(*) AS total, count_if(coalesce(content, '') = '') AS missing, count_if(length(content) = 3000) AS truncated, avg(length(content)) FILTER (content <> '') AS mean_length,
+ f AS (SELECT count(*) AS total, count(*) FILTER (coalesce(content, '') = '') AS missing, count(*) FILTER (length(content) = 3000) AS truncated, avg(length(content)) FILTER (content <> '') AS mean_length,
        median(length(content)) FILTER (content <> '') AS median_length, min(length(content)) FILTER (content <> '') AS min_length, max(length(content)) AS max_length FROM d),
- u AS (SELECT count_if(n > 1) AS duplicate_urls, count(*) AS unique_urls FROM (SELECT url, count(*) AS n FROM d WHERE url <> '' GROUP BY 1)),
+ u AS (SELECT count(*) FILTER (n > 1) AS duplicate_urls, count(*) AS unique_urls FROM (SELECT url, count(*) AS n FROM d WHERE url <> '' GROUP BY 1)),
  s AS (SELECT *, 100 - (20.0 * missing + 10.0 * truncated + 10.0 * duplicate_urls) / total - CASE WHEN mean_length < 1000 THEN 10 ELSE 0 END AS score FROM f, u)
  SELECT total, missing, truncated, round(mean_length, 6) AS mean_length, CAST(median_length AS DOUBLE) AS median_length, min_length, max_length, duplicate_urls, unique_urls, round(CAST(score AS DOUBLE), 6) AS score,
         CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 80 THEN 'good' WHEN score >= 70 THEN 'fair' ELSE 'poor' END AS grade FROM s""")
@@ -637,8 +637,8 @@ def quality_audit(spark, sf_dir):
     return rounded(reports.quality_audit(own), "mean_length", "score")
 
 
-@query("""SELECT count(*) AS total_predictions, count_if(o_orderstatus = 'F') AS correct_predictions,
- round(CAST(100.0 * count_if(o_orderstatus = 'F') / nullif(count(*), 0) AS DOUBLE), 2) AS accuracy FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-06-30' AND o_orderstatus IS NOT NULL""")
+@query("""SELECT count(*) AS total_predictions, count(*) FILTER (o_orderstatus = 'F') AS correct_predictions,
+ round(CAST(100.0 * count(*) FILTER (o_orderstatus = 'F') / nullif(count(*), 0) AS DOUBLE), 2) AS accuracy FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-06-30' AND o_orderstatus IS NOT NULL""")
 def prediction_accuracy_fn(spark, sf_dir):
     own = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("prediction_date"), F.lit("F").alias("predicted_direction"), F.col("o_orderstatus").alias("actual_direction"))
     own.createOrReplaceTempView("predictions")
@@ -693,7 +693,7 @@ def union_all_sources(spark, sf_dir):
     return own("documents", F.col("doc_id")).unionByName(own("benchmark", F.col("item_id"))).unionByName(own("conversations", F.col("conv_id") * 1000 + F.col("turn")))
 
 
-@query("SELECT count_if(role = 'user') AS ok, count(*) AS n, round(100.0 * count_if(role = 'user') / count(*), 6) AS pct FROM conversations")
+@query("SELECT count(*) FILTER (role = 'user') AS ok, count(*) AS n, round(100.0 * count(*) FILTER (role = 'user') / count(*), 6) AS pct FROM conversations")
 def success_rate(spark, sf_dir):
     return rounded(reports.success_rate(table(spark, sf_dir, "conversations"), "role", "user"), "pct")
 
