@@ -116,26 +116,28 @@ def valid_ngram(ngram: Column) -> Column:
     return _bound(F.split(ngram, " "), check)
 
 
-def all_ngrams(tokens: Column, low: int = 1, high: int = 5) -> Column:
-    """The valid n-grams of all lengths, repeats included, in the order of their first words.
+def gram_list(words: list[Column], low: int = 1) -> list[Column]:
+    """The valid n-grams that begin with the first of these words, null where there is none.
 
-    Validity is decided on the tokens, with one comparison for each pair of places, before any string is built.
+    Validity is decided on the words, with one comparison for each pair of places, before any string is built.
     """
+    grams = []
+    for n in range(low, len(words) + 1):
+        w = words[:n]
+        ok = w[n - 1].isNotNull()
+        for k in range(n - 1):
+            ok = ok & (w[k] != w[k + 1])
+        if n > 2:
+            counts = [sum(((w[k] == w[j]).cast("int") for j in range(n) if j != k), F.lit(1)) for k in range(n)]
+            ok = ok & (F.greatest(*counts) * 2 <= n)
+        grams.append(F.when(ok, F.concat_ws(" ", *w)))
+    return grams
 
-    def at(t: Column, i: Column) -> Column:
-        w = [F.get(t, i + k) for k in range(high)]
-        grams = []
-        for n in range(low, high + 1):
-            ok = w[n - 1].isNotNull()
-            for k in range(n - 1):
-                ok = ok & (w[k] != w[k + 1])
-            if n > 2:
-                count = lambda k: sum(((w[k] == w[j]).cast("int") for j in range(n) if j != k), F.lit(1))  # noqa: E731, B023
-                ok = ok & (F.greatest(*[count(k) for k in range(n)]) * 2 <= n)
-            grams.append(F.when(ok, F.concat_ws(" ", *w[:n])))
-        return F.array_compact(F.array(*grams))
 
+def all_ngrams(tokens: Column, low: int = 1, high: int = 5) -> Column:
+    """The valid n-grams of all lengths, repeats included, in the order of their first words."""
     none = F.array().cast("array<string>")
+    at = lambda t, i: F.array_compact(F.array(*gram_list([F.get(t, i + k) for k in range(high)], low)))
     return _bound(tokens, lambda t: F.when(F.size(t) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: at(t, i)))).otherwise(none))
 
 

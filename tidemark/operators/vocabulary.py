@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 #: Fixed value: the occurrences that an n-gram of the vocabulary has in the corpus.
 MIN_FREQUENCY = 15
 
@@ -18,6 +20,29 @@ def vocabulary(df: DataFrame, ngrams: str = "ngrams", minimum: int = MIN_FREQUEN
     return term_counts(df, ngrams).filter(F.col("frequency") >= minimum)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a scan has fewer partitions than there are cores (a small file that can't be split).
+
+    For scans: of a plan with exchanges, adaptive execution would run them to count its partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def long_grams(df: DataFrame, tokens: Column, carry: list[str], low: int = 1, high: int = 5) -> DataFrame:
+    """Carried columns and ngram, a row for each occurrence.
+
+    Each token becomes a row with the ones after it, and each row its n-grams: generated code all through, where
+    arrays of n-grams would be built by interpreted lambdas.
+    """
+    names = [f"_w{k}" for k in range(high)]
+    own = df.select(*carry, tokens.alias("_t"))
+    shifted = [F.slice("_t", k + 1, F.greatest(F.size("_t"), F.lit(1))).alias(n) for k, n in enumerate(names)]
+    rows = own.select(*carry, F.inline(F.arrays_zip(*shifted)))
+    out = rows.select(*carry, F.explode(F.array(*X.gram_list([F.col(n) for n in names], low))).alias("ngram"))
+    return out.filter("ngram is not null")
+
+
 def bag(df: DataFrame, row_id: str, ngrams: str = "ngrams", carry: list[str] | None = None) -> DataFrame:
     """row id, carried columns, ngram, tf. Partial counts are combined before the exchange."""
     keep = [row_id, *(carry or [])]

@@ -86,19 +86,24 @@ def order_days(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    return vocabulary.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def labelled(spark, sf_dir) -> DataFrame:
     """doc_id, text, label."""
     own = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("label"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(own, "doc_id")
+    return texts(spark, sf_dir).join(own, "doc_id")
 
 
-def gram_rows(docs: DataFrame, high: int) -> DataFrame:
-    tokens = X.content_words(F.col("text"))
-    return docs.withColumn("ngrams", X.all_ngrams(tokens, 1, high)).drop("text")
+def grams(docs: DataFrame, high: int, *carry: str) -> DataFrame:
+    """The carried columns and ngram, a row for each occurrence."""
+    return vocabulary.long_grams(docs, X.content_words(F.col("text")), list(carry), 1, high)
 
 
 def bags_of(spark, sf_dir) -> DataFrame:
-    bags = vocabulary.bag(gram_rows(labelled(spark, sf_dir), 2), "doc_id", carry=["label"])
+    own = grams(labelled(spark, sf_dir), 2, "doc_id", "label")
+    bags = own.groupBy("doc_id", "label", "ngram").agg(F.count("*").alias("tf"))
     return vocabulary.restrict(bags, bags.groupBy("ngram").agg(F.sum("tf").alias("n")).filter(F.col("n") >= MIN))
 
 
@@ -133,7 +138,7 @@ def _cleaner(chain: str):
     sql = f"SELECT doc_id, length(c) AS n, md5(c) AS digest FROM (SELECT doc_id, {_clean('text', chain)} AS c FROM documents)"
 
     def run(spark, sf_dir):
-        own = table(spark, sf_dir, "documents").select("doc_id", cleansing.clean(F.col("text"), chain).alias("c"))
+        own = texts(spark, sf_dir).select("doc_id", cleansing.clean(F.col("text"), chain).alias("c"))
         return own.select("doc_id", F.length("c").cast("long").alias("n"), F.md5("c").alias("digest"))
 
     run.__name__ = f"clean_{chain}"
@@ -381,7 +386,7 @@ _SPLIT = f"""flat AS (SELECT doc_id, {_collapse('text')} AS t FROM documents),
 
 
 def sentence_table(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "sentence"))
+    return texts(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "sentence"))
 
 
 @query(f"WITH {_SPLIT} SELECT doc_id, position, md5(sentence) AS digest FROM sentences")
@@ -398,7 +403,7 @@ def sentence_stats(spark, sf_dir):
 
 @query(f"WITH {_grams(5)} SELECT n, count(*) AS grams, count(DISTINCT ngram) AS kinds FROM grams GROUP BY 1")
 def valid_ngrams(spark, sf_dir):
-    rows = gram_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 5).select(F.explode("ngrams").alias("ngram"))
+    rows = grams(texts(spark, sf_dir), 5)
     # occurrences are added up per n-gram first, so that the distinct count needs no second expansion
     by = rows.groupBy("ngram").agg(F.count("*").alias("c")).withColumn("n", F.size(F.split("ngram", " ")))
     return by.groupBy("n").agg(F.sum("c").alias("grams"), F.count("*").alias("kinds"))
@@ -412,12 +417,13 @@ def tokens_ngrams(spark, sf_dir):
 
 @query(f"WITH {_grams(5)} SELECT ngram, count(*) AS frequency FROM grams GROUP BY 1 HAVING count(*) >= 15")
 def ngram_vocabulary(spark, sf_dir):
-    return vocabulary.vocabulary(gram_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 5))
+    counts = grams(texts(spark, sf_dir), 5).groupBy("ngram").agg(F.count("*").alias("frequency"))
+    return counts.filter(F.col("frequency") >= vocabulary.MIN_FREQUENCY)
 
 
 @query(f"WITH {_grams(2)}, f AS (SELECT count(*) AS n FROM grams GROUP BY ngram) SELECT count(*) AS before, count(*) FILTER (n >= 15) AS after, round(100.0 * (count(*) - count(*) FILTER (n >= 15)) / count(*), 6) AS reduction_pct FROM f")
 def feature_reduction(spark, sf_dir):
-    counts = vocabulary.term_counts(gram_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), 2))
+    counts = grams(texts(spark, sf_dir), 2).groupBy("ngram").agg(F.count("*").alias("frequency"))
     return rounded(vocabulary.feature_reduction(counts), "reduction_pct")
 
 
@@ -655,7 +661,7 @@ def _trigrams(x: str) -> str:
 @query(f"""WITH t AS (SELECT doc_id, {_trigrams("split_part(text, chr(10), 1)")} AS a, {_trigrams("text")} AS b FROM documents), s AS (SELECT doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM t)
  SELECT doc_id, round(CASE WHEN n - i > 0 THEN i / (n - i) ELSE 0 END, 6) AS similarity FROM s""")
 def trigram_similarity(spark, sf_dir):
-    own = table(spark, sf_dir, "documents")
+    own = texts(spark, sf_dir)
     return rounded(own.select("doc_id", X.similarity(X.title_and_body(F.col("text"))[0], F.col("text")).alias("similarity")), "similarity")
 
 
