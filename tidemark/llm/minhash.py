@@ -327,9 +327,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         partners *= 32
         tried = C.scratch(tried.union(new_pairs), "near")
         # buckets without a pair that may be similar have none later either
-        alive = found.select(F.explode("keys").alias("key")).distinct()
-        before, open_ = open_, _open(members.join(alive, "key", "left_semi"), comps)
-        C.discard(before, found, new_pairs)
+        alive = found.select(F.explode("keys").alias("key")).distinct().join(open_.select("key", "size").distinct(), "key")
+        alive = C.scratch(alive, "alive")
+        left = C.scratch(C.join_groups(members, alive, ["key"], "size", "rep", total).filter("size is not null").drop("size"), "left")
+        before, open_ = open_, _open(left, comps)
+        C.discard(before, found, new_pairs, alive, left)
 
     held = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", F.coalesce("comp", "rep").alias("component_id"))
     held = C.scratch(held, "held")
