@@ -55,3 +55,11 @@ def test_reference_spans(spark):
         w = brute.plain_words(t)
         gone = {k + j for k in range(len(w) - 4) if tuple(w[k : k + 5]) in grams for j in range(5)}
         assert got[d].kept_text == " ".join(x for k, x in enumerate(w) if k not in gone)
+
+
+def test_repeated_rows(spark):
+    """Rows that share a doc_id are judged each by their own text, and not by each other's."""
+    run = lambda a: " ".join(f"{a}{i}" for i in range(20))
+    rows = [(1, run("a")), (2, run("a") + " " + run("b")), (2, run("c")), (2, run("c")), (3, run("c"))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 20, 0), (2, 20, 0), (2, 20, 0), (2, 40, 20), (3, 20, 20)]

@@ -98,12 +98,12 @@ def shared_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict({"fp": pa.array(fp[s][k]), "doc_id": pa.array(doc[s][k]), "later": pa.array((doc[s] > lowest[s])[k])})
 
 
-def _sha(raw: bytes) -> str:
-    return hashlib.sha256(b" ".join(raw.split())).hexdigest()
+def _values(lists, i: int) -> np.ndarray:
+    return lists.values.to_numpy()[lists.offsets[i].as_py() : lists.offsets[i + 1].as_py()]
 
 
 def candidate_windows(window: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Finished rows for documents without shared fingerprints; for others the hashes of the windows in question."""
+    """For documents with shared fingerprints the hashes and places of the windows in question."""
     for batch, raw, off in C.chunks(batches, "text"):
         _, _, first, h, fp, _ = fingerprints(raw, off, window)
         fp = fp.view(np.int64)
@@ -113,67 +113,62 @@ def candidate_windows(window: int, frequent: np.ndarray, batches: Iterator[pa.Re
             hot = frequent[np.minimum(np.searchsorted(frequent, fp), len(frequent) - 1)] == fp
         lo, hi = _bounds(first, window)
         later, firsts = batch.column("later"), batch.column("firsts")
-        blob = raw.tobytes()
-        out = {"text": [], "kept_sha256": [], "w": [], "at": [], "w_first": []}
+        rows, w, places, lent = [], [], [], []
         for i in range(batch.num_rows):
             a, b = lo[i], hi[i]
-            mine, likely = fp[a:b], hot[a:b].copy()
-            unlikely = np.zeros(len(mine), bool)
-            if later[i].is_valid and b > a:
-                likely |= np.isin(mine, later.values.to_numpy()[later.offsets[i].as_py() : later.offsets[i + 1].as_py()])
-                unlikely = np.isin(mine, firsts.values.to_numpy()[firsts.offsets[i].as_py() : firsts.offsets[i + 1].as_py()]) & ~likely
+            if b <= a:
+                continue
+            mine, likely, unlikely = fp[a:b], hot[a:b].copy(), None
+            if later[i].is_valid:
+                likely |= np.isin(mine, _values(later, i))
+                unlikely = own[a:b][np.isin(mine, _values(firsts, i)) & ~likely]
             at = np.flatnonzero(likely)
-            none = not len(at) and not unlikely.any()
-            text = blob[off[i] : off[i + 1]]
-            done = not len(at)
-            out["text"].append(None if done else text)
-            out["kept_sha256"].append(_sha(text) if done else None)
-            out["w"].append(None if done else own[a:b][at])
-            out["at"].append(None if done else at.astype(np.int32))
-            out["w_first"].append(None if none else np.unique(own[a:b][unlikely]))
+            if len(at) or unlikely is not None and len(unlikely):
+                rows.append(i)
+                w.append(own[a:b][at])
+                places.append(at.astype(np.int32))
+                lent.append(np.unique(unlikely) if unlikely is not None else own[:0])
+        keep = pa.array(rows, pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"),
-            "n_words": pa.array(np.diff(first), pa.int64()),
-            "text": pa.array(out["text"], pa.binary()),
-            "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
-            "w": pa.array(out["w"], pa.list_(pa.int64())),
-            "at": pa.array(out["at"], pa.list_(pa.int32())),
-            "w_first": pa.array(out["w_first"], pa.list_(pa.int64())),
+            "doc_id": batch.column("doc_id").take(keep),
+            "t": batch.column("t").take(keep),
+            "w": pa.array(w, pa.list_(pa.int64())),
+            "at": pa.array(places, pa.list_(pa.int32())),
+            "w_first": pa.array(lent, pa.list_(pa.int64())),
         })
 
 
 def cut(window: int, keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
-        text, gone, sha = (batch.column(c) for c in ("text", "gone", "kept_sha256"))
-        n_removed, digest, kept_text = np.zeros(n, np.int64), sha.to_pylist(), [None] * n
-        for i in range(n):
-            if not text[i].is_valid:
-                continue
-            own = text[i].as_py().split()
-            keep = np.ones(len(own), bool)
+        gone, texts = batch.column("gone"), batch.column("text").to_pylist()
+        n_words, n_removed, digest, kept_text = np.zeros(n, np.int64), np.zeros(n, np.int64), [], [None] * n
+        for i, text in enumerate(texts):
+            own = (text or "").encode().split()
+            n_words[i] = len(own)
             if gone[i].is_valid:
                 edge = np.zeros(len(own) + 1, np.int32)
                 places = np.asarray(gone[i].values)
                 np.add.at(edge, places, 1)
                 np.add.at(edge, places + window, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-            n_removed[i] = len(own) - int(keep.sum())
-            joined = b" ".join([x for x, k in zip(own, keep.tolist(), strict=True) if k]) if n_removed[i] else b" ".join(own)
-            digest[i] = hashlib.sha256(joined).hexdigest()
+                own = [x for x, k in zip(own, np.cumsum(edge[:-1]).tolist(), strict=True) if not k]
+            n_removed[i] = n_words[i] - len(own)
+            joined = b" ".join(own)
+            digest.append(hashlib.sha256(joined).hexdigest())
             if keep_text:
                 kept_text[i] = joined.decode()
-        out = {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digest, pa.string())}
+        out = {"doc_id": batch.column("doc_id"), "n_words": pa.array(n_words), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digest, pa.string())}
         if keep_text:
             out["kept_text"] = pa.array(kept_text, pa.string())
         yield pa.RecordBatch.from_pydict(out)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256; with keep_text also the kept words of documents in question (null: all)."""
+    """doc_id, n_words, n_removed, kept_sha256; with keep_text also the kept words."""
     spark = docs.sparkSession
     C.tune(spark)
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    # t tells rows apart that share a doc_id
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("t"))
     pairs = "fp long, doc_id long"
     none = np.empty(0, np.int64)
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
@@ -188,25 +183,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     lists = C.scratch(lists, "fingerprints")
     C.release(spark)
     both = docs.join(lists.hint("shuffle_hash"), "doc_id", "left")
-    schema = "doc_id long, n_words long, text binary, kept_sha256 string, w array<long>, at array<int>, w_first array<long>"
+    schema = "doc_id long, t long, w array<long>, at array<int>, w_first array<long>"
     windows = C.scratch(both.mapInArrow(lambda it: candidate_windows(window, frequent, it), schema), "windows")
     C.discard(lists)
     del both, lists, shared, dealt
     C.release(spark)
 
-    owned = windows.filter("doc_id is not null and (w is not null or w_first is not null)")
-    all_ = owned.select("doc_id", F.explode(F.array_distinct(F.concat(F.coalesce("w", F.array().cast("array<long>")), F.coalesce("w_first", F.array().cast("array<long>"))))).alias("win"))
+    all_ = windows.select("doc_id", F.explode(F.array_distinct(F.concat("w", "w_first"))).alias("win"))
     lowest = C.scratch(all_.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("win", "lo"), "lowest")
     del all_
     C.release(spark)
-    asked = owned.filter("w is not null").select("doc_id", F.inline(F.arrays_zip(F.col("w").alias("win"), F.col("at").alias("place"))))
-    gone = asked.join(lowest, "win").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_list("place").alias("gone"))
+    asked = windows.select("doc_id", "t", F.inline(F.arrays_zip(F.col("w").alias("win"), F.col("at").alias("place"))))
+    gone = asked.join(lowest, "win").filter("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_list("place").alias("gone"))
     gone = C.scratch(gone, "gone")
-    C.discard(lowest)
-    del asked, lowest
+    C.discard(lowest, windows)
+    del asked, lowest, windows
     C.release(spark)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return windows.join(gone.hint("shuffle_hash"), "doc_id", "left").drop("w", "at", "w_first").mapInArrow(lambda it: cut(window, keep_text, it), out)
+    return docs.join(gone.hint("shuffle_hash"), ["doc_id", "t"], "left").select("doc_id", "text", "gone").mapInArrow(lambda it: cut(window, keep_text, it), out)
 
 
 class SuffixAutomaton:
