@@ -83,10 +83,6 @@ def train(rows: DataFrame, settings: Settings) -> Result:
     scored = bayes.predict(tests, held, models, prior, "sentence_id", ["iter"])
     leaked = bayes.stratified_test(ids, "label", "sentence_id", settings.share, settings.seed + 100).filter("in_test").drop("in_test")
     every = leaked.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.iterations - 1))).alias("iter"))
-    seen = bags_for(bags, every)
+    seen = bags.join(every.select("sentence_id", "iter"), "sentence_id")
     voted = bayes.vote(bayes.predict(every, seen, models, prior, "sentence_id", ["iter"]), "sentence_id")
     return Result(words, bayes.polarity(models), evaluate.metrics(scored, ["iter"]), evaluate.metrics(voted), evaluate.metrics(bayes.vote(scored, "sentence_id")))
-
-
-def bags_for(bags: DataFrame, rows: DataFrame) -> DataFrame:
-    return bags.join(rows.select("sentence_id", "iter"), "sentence_id")
