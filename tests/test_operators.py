@@ -140,6 +140,17 @@ def test_split_models_brute(spark):
         assert all(got[it][w] == pytest.approx(log[w]) for w in log)
 
 
+def test_splits_by_modulus_differ(spark):
+    """All 30 splits are different tenths, and each round of ten tests every row once."""
+    rows = spark.createDataFrame([(i, i % 2) for i in range(200)], "id long, label int")
+    parts = defaultdict(set)
+    for r in bayes.tests_by_modulus(rows, "id").collect():
+        parts[r.iter].add(r.id)
+    assert len(parts) == bayes.ITERATIONS == len({frozenset(x) for x in parts.values()})
+    assert all(len(x) == 20 for x in parts.values())
+    assert all(set().union(*(parts[10 * k + i] for i in range(10))) == set(range(200)) for k in range(3))
+
+
 def test_polarity_flips(spark):
     rows = [r for r in sample(3) if r[2]]
     scores = []

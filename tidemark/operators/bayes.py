@@ -33,8 +33,14 @@ def stratified_test(rows: DataFrame, label: str, row_id: str, share: float = TES
 
 
 def tests_by_modulus(rows: DataFrame, row_id: str, iterations: int = ITERATIONS, modulus: int = 10) -> DataFrame:
-    """iter and the rows that it tests: row id mod modulus equals iter mod modulus."""
-    its = F.filter(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: F.pmod(F.col(row_id), F.lit(modulus)) == F.pmod(i, F.lit(modulus)))
+    """iter and the rows that it tests: row id mod modulus equals iter mod modulus.
+
+    After every `modulus` iterations the id's higher digits are added once more, so that later rounds deal the rows out
+    anew and don't repeat the splits of the first.
+    """
+    m, own = F.lit(modulus), F.col(row_id)
+    higher = F.floor(own / m)
+    its = F.filter(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: F.pmod(own + F.floor(i / m) * higher, m) == F.pmod(i, m))
     return rows.select("*", F.explode(its).alias("iter"))
 
 

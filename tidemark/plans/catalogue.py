@@ -67,9 +67,9 @@ def _grams(high: int) -> str:
 
 _RATES = "rates AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) AS rate FROM lineitem WHERE date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 3 = 0 GROUP BY 1)"
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
-#: Labelled documents, bags of 1- and 2-grams, and the vocabulary of n-grams that occur MIN times.
-MIN = 5
-_BAGS = f"""{_grams(2)}, bags AS (
+#: Labelled documents, bags of 1- to 5-grams, and the vocabulary of n-grams that occur MIN times.
+MIN, HIGH = 5, 5
+_BAGS = f"""{_grams(HIGH)}, bags AS (
     SELECT g.doc_id, l.quality AS label, g.ngram, count(*) AS tf FROM grams g
     JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id) GROUP BY ALL),
   vocab AS (SELECT ngram FROM bags GROUP BY 1 HAVING sum(tf) >= {MIN}),
@@ -102,7 +102,7 @@ def grams(docs: DataFrame, high: int, *carry: str) -> DataFrame:
 
 
 def bags_of(spark, sf_dir) -> DataFrame:
-    own = grams(labelled(spark, sf_dir), 2, "doc_id", "label")
+    own = grams(labelled(spark, sf_dir), HIGH, "doc_id", "label")
     bags = own.groupBy("doc_id", "label", "ngram").agg(F.count("*").alias("tf"))
     return vocabulary.restrict(bags, bags.groupBy("ngram").agg(F.sum("tf").alias("n")).filter(F.col("n") >= MIN))
 
@@ -421,9 +421,9 @@ def ngram_vocabulary(spark, sf_dir):
     return counts.filter(F.col("frequency") >= vocabulary.MIN_FREQUENCY)
 
 
-@query(f"WITH {_grams(2)}, f AS (SELECT count(*) AS n FROM grams GROUP BY ngram) SELECT count(*) AS before, count(*) FILTER (n >= 15) AS after, round(100.0 * (count(*) - count(*) FILTER (n >= 15)) / count(*), 6) AS reduction_pct FROM f")
+@query(f"WITH {_grams(HIGH)}, f AS (SELECT count(*) AS n FROM grams GROUP BY ngram) SELECT count(*) AS before, count(*) FILTER (n >= 15) AS after, round(100.0 * (count(*) - count(*) FILTER (n >= 15)) / count(*), 6) AS reduction_pct FROM f")
 def feature_reduction(spark, sf_dir):
-    counts = grams(texts(spark, sf_dir), 2).groupBy("ngram").agg(F.count("*").alias("frequency"))
+    counts = grams(texts(spark, sf_dir), HIGH).groupBy("ngram").agg(F.count("*").alias("frequency"))
     return rounded(vocabulary.feature_reduction(counts), "reduction_pct")
 
 
@@ -485,15 +485,16 @@ def nb_predict(spark, sf_dir):
     return out.select("doc_id", "label", F.round("l0", 4).alias("l0"), F.round("l1", 4).alias("l1"), "pred")
 
 
-#: Repeated splits by modulus, since hash functions differ between engines.
-ITERATIONS = 10
+#: Repeated splits by modulus, since hash functions differ between engines; see bayes.tests_by_modulus.
+ITERATIONS = bayes.ITERATIONS
+_PART = "(doc_id + iter // 10 * (doc_id // 10)) % 10"
 _SPLITS = f"""it AS (SELECT CAST(unnest(range(0, {ITERATIONS})) AS INT) AS iter),
- tc AS (SELECT iter, ngram, coalesce(sum(tf) FILTER (label = 0), 0) AS count_0, coalesce(sum(tf) FILTER (label <> 0), 0) AS count_1 FROM kept, it WHERE doc_id % 10 <> iter % 10 GROUP BY ALL),
+ tc AS (SELECT iter, ngram, coalesce(sum(tf) FILTER (label = 0), 0) AS count_0, coalesce(sum(tf) FILTER (label <> 0), 0) AS count_1 FROM kept, it WHERE {_PART} <> iter % 10 GROUP BY ALL),
  tt AS (SELECT iter, ngram, ln((count_0 + 1) / (sum(count_0) OVER (PARTITION BY iter) + count(*) OVER (PARTITION BY iter))) AS l0,
         ln((count_1 + 1) / (sum(count_1) OVER (PARTITION BY iter) + count(*) OVER (PARTITION BY iter))) AS l1 FROM tc),
  pol AS (SELECT ngram, avg(l1 - l0) AS mean_score, stddev_pop(l1 - l0) AS std_score, CAST(count(*) AS INT) AS num_iterations FROM tt GROUP BY 1)"""
-_SCORED = """pr AS (SELECT iter, avg((label = 0)::INT) AS p0, avg((label = 1)::INT) AS p1 FROM ids, it WHERE doc_id % 10 <> iter % 10 GROUP BY 1),
- te AS (SELECT doc_id, label, iter FROM ids, it WHERE doc_id % 10 = iter % 10),
+_SCORED = f"""pr AS (SELECT iter, avg((label = 0)::INT) AS p0, avg((label = 1)::INT) AS p1 FROM ids, it WHERE {_PART} <> iter % 10 GROUP BY 1),
+ te AS (SELECT doc_id, label, iter FROM ids, it WHERE {_PART} = iter % 10),
  ss AS (SELECT te.doc_id, te.iter, sum(tf * l0) AS s0, sum(tf * l1) AS s1 FROM te JOIN kept USING (doc_id) JOIN tt USING (iter, ngram) GROUP BY ALL),
  scored AS (SELECT te.*, ln(p0) + coalesce(s0, 0) AS l0, ln(p1) + coalesce(s1, 0) AS l1 FROM te JOIN pr USING (iter) LEFT JOIN ss USING (doc_id, iter)),
  preds AS (SELECT *, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS pred, 1 / (1 + exp(least(l0 - l1, 700))) AS proba FROM scored)"""
@@ -714,6 +715,6 @@ def lda_topics(spark, sf_dir):
 def stance_pipeline(spark, sf_dir):
     """The flow of the pipeline module from labelled documents to the polarity lexicon."""
     docs = labelled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pk"), F.lit(None).cast("date").alias("date"), "label", F.col("text").alias("content"))
-    settings = pipeline.Settings(high=2, iterations=10, skip_english=False)
+    settings = pipeline.Settings(skip_english=False)
     rows = pipeline.ngram_rows(pipeline.sentence_rows(docs), settings)
     return pipeline.train(rows, settings).polarity
