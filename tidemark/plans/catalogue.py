@@ -1,7 +1,7 @@
 """The registered queries over the driver's tables, each with its DuckDB equivalent where SQL can express it.
 
-Stand-ins: `orders` are dated articles, the daily mean of `l_discount` is the rate series (of which only every third
-calendar day is kept, so that as-of lookups have gaps to bridge), `labels.quality` is the stance of a document.
+Stand-ins: `orders` are dated articles, the daily mean of `l_discount` is the rate series, `labels.quality` is the
+stance of a document.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _grams(high: int) -> str:
     return f"tok AS (SELECT doc_id, {_TOKENS} AS toks FROM documents), raw AS ({parts}), grams AS (SELECT doc_id, n, array_to_string(w, ' ') AS ngram FROM raw WHERE {_VALID})"
 
 
-_RATES = "rates AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) AS rate FROM lineitem WHERE date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 3 = 0 GROUP BY 1)"
+_RATES = "rates AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) AS rate FROM lineitem GROUP BY 1)"
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
 #: Labelled documents, bags of 1- to 5-grams, and the vocabulary of n-grams that occur MIN times.
 MIN, HIGH = 5, 5
@@ -79,7 +79,7 @@ _BAGS = f"""{_grams(HIGH)}, bags AS (
 
 def rates(spark, sf_dir) -> DataFrame:
     days = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"), "l_discount")
-    return days.filter(F.unix_date("date") % 3 == 0).groupBy("date").agg(F.avg("l_discount").alias("rate"))
+    return days.groupBy("date").agg(F.avg("l_discount").alias("rate"))
 
 
 def order_days(spark, sf_dir) -> DataFrame:
@@ -365,9 +365,9 @@ def latest_rates_lag(spark, sf_dir):
     return rounded(relational.latest_rates(rates(spark, sf_dir)), "rate", "previous_rate")
 
 
-@query(f"WITH {_RATES}, g AS (SELECT date, lag(date) OVER (ORDER BY date) AS previous FROM rates) SELECT date, previous, CAST(date - previous AS INTEGER) AS gap FROM g WHERE date - previous > 3 ORDER BY date LIMIT 5")
+@query(f"WITH {_RATES}, g AS (SELECT date, lag(date) OVER (ORDER BY date) AS previous FROM rates) SELECT date, previous, CAST(date - previous AS INTEGER) AS gap FROM g WHERE date - previous > 7 ORDER BY date LIMIT 5")
 def date_gaps(spark, sf_dir):
-    return relational.date_gaps(rates(spark, sf_dir), 3)
+    return relational.date_gaps(rates(spark, sf_dir))
 
 
 @query(f"""WITH {_RATES}, c AS (SELECT date, round(rate, 4) AS rate FROM rates), d AS (SELECT date, rate, rate - lag(rate) OVER (ORDER BY date) AS change FROM c)
