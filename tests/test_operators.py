@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import bayes, dedup, evaluate, keys, label, relational, reports, vocabulary
-from tidemark.plans import pipeline
+from tidemark.plans import catalogue, pipeline
 from tidemark.schemas import missing_parents, required, unique_violations
 
 D = dt.date
@@ -237,3 +237,13 @@ def test_topics(spark):
     docs = spark.createDataFrame([("a b c d",), ("c d e f",)] * 5, "t string").select(X.content_words(F.col("t")).alias("tokens"))
     got = bayes.topics(docs, k=2, iterations=2, vocabulary=10).collect()
     assert sum(r.weight for r in got) == pytest.approx(1)
+
+
+def test_topics_whole(spark, sf):
+    """30 topics, 15 passes over all documents, and every distinct token in the vocabulary."""
+    docs = spark.range(60).select(F.transform(F.sequence(F.col("id") * 100, F.col("id") * 100 + 99), lambda x: x.cast("string")).alias("tokens"))
+    assert len(bayes.token_counts(docs).vocabulary) == 6000
+    model = bayes.topic_model()
+    assert (model.getK(), model.getMaxIter(), model.getSubsamplingRate()) == (30, 15, 1.0)
+    got = catalogue.lda_topics(spark, sf).collect()
+    assert sorted(r.topic for r in got) == list(range(30)) and sum(r.weight for r in got) == pytest.approx(1)

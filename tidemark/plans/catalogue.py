@@ -708,7 +708,7 @@ def success_rate(spark, sf_dir):
 @query()
 def lda_topics(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", X.content_words(F.col("text")).alias("tokens"))
-    return bayes.topics(own, k=5, iterations=5, vocabulary=500)
+    return bayes.topics(own)
 
 
 @query()
