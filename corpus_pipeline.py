@@ -22,10 +22,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.distinct_documents(docs)
 
 
+#: Near copies of the stage: words of a shingle, and the least similarity in per cent. The query op10 has its own.
+NEAR = {"shingle": 5, "similarity": 80}
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays."""
     common.tune(spark)
-    return minhash.representatives(docs)
+    return minhash.representatives(docs, **NEAR)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,11 +56,11 @@ def repeats(docs, n=13):
     return out
 
 
-def near(docs, similarity=85):
+def near(docs, similarity=85, shingle=3):
     sets = {}
     for d, t in docs:
         w = plain_words(lower(t or ""))
-        sets[d] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else ({tuple(w)} if w else set())
     inverted = defaultdict(set)
     for d, s in sets.items():
         for g in s:

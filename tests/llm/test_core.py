@@ -85,6 +85,41 @@ def test_near_query(spark, sf):
     assert sorted(tuple(r) for r in minhash.query(spark, sf).collect()) == sorted(brute.near(documents(spark, sf)))
 
 
+def test_near_stage_brute(spark):
+    """The pipeline's stage links by five words and 0.8: a text with a fifth of new words at its end or inside is a near copy."""
+    import corpus_pipeline as p
+
+    r = np.random.default_rng(3)
+    words = lambda n: [f"v{x}" for x in r.integers(10_000, size=n)]
+    base, other = words(200), words(200)
+    rows = edge_rows(seed=6, n=120)
+    rows += [(1000, " ".join(base)), (1001, " ".join(base + words(40))), (2000, " ".join(other)), (2001, " ".join(other[:100] + words(40) + other[100:])), (2002, " ".join(other + words(60)))]
+    kept = {x.doc_id for x in p.near_copies(spark, frame(spark, rows), "").select("doc_id").collect()}
+    assert kept == {x[0] for x in brute.near(rows, similarity=80, shingle=5) if x[3]}
+    assert kept & {1000, 1001, 2000, 2001, 2002} == {1000, 2000, 2002}
+
+
+def test_near_stage_table(spark, sf):
+    import corpus_pipeline as p
+
+    kept = {x.doc_id for x in p.near_copies(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).select("doc_id").collect()}
+    assert kept == {x[0] for x in brute.near(documents(spark, sf), similarity=80, shingle=5) if x[3]}
+
+
+@pytest.mark.parametrize("similarity,shingle", [(80, 5), (60, 2)])
+def test_near_brute_parameters(spark, similarity, shingle):
+    rows = edge_rows(seed=7, n=120)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows), similarity=similarity, shingle=shingle).collect())
+    assert got == sorted(brute.near(rows, similarity, shingle))
+
+
+def test_banding():
+    assert minhash.banding(85) == (minhash.BANDS, minhash.ROWS) and minhash.banding(80) == (42, 6)
+    for s in range(40, 100):
+        bands, n = minhash.banding(s)
+        assert (1 - (s / 100) ** n) ** bands <= minhash.MISS and bands * n <= minhash.BANDS * minhash.ROWS
+
+
 def test_odd_sketch_distance():
     assert 100 < minhash.largest_distance(85) < 200 < 256
     r = np.random.default_rng(1)

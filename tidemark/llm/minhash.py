@@ -1,7 +1,8 @@
 """MinHash near-deduplication with odd sketches, and exact confirmation of every link.
 
-1. Each document becomes the set of its distinct 3-word shingles (64-bit hashes). Its MinHash samples give BANDS keys
-   of ROWS samples each, and are folded into a parity bitmap of SKETCH bits, the odd sketch.
+1. Each document becomes the set of its distinct shingles (64-bit hashes), of 3 words unless told otherwise. Its MinHash
+   samples give the keys of as many bands as the similarity needs (`banding`), and are folded into a parity bitmap of
+   SKETCH bits, the odd sketch.
 2. Documents with equal sets form one class, held by its smallest id; copies are never expanded.
 3. In every bucket (equal band key) each class is paired with the bucket's smallest id. The population count of the
    XOR of two odd sketches estimates their similarity; pairs that are clearly below the limit go, the rest are
@@ -13,10 +14,11 @@
    32 times as many partners.
 Components come from min-label propagation with pointer jumping; every step is a table in the shared folder.
 
-With 40 bands of 8 samples a pair of similarity 0.85 shares no bucket with probability 3e-6, one of 0.9 with 1e-10.
+Bands are chosen so that a pair of just the similarity asked for shares no bucket with a probability of MISS at most:
+40 bands of 8 samples at 0.85 (and 1e-10 at 0.9), 42 bands of 6 samples at 0.8.
 
-Edge cases: documents without words have the empty set, are linked with nothing and kept; fewer than three words are
-one shingle; rows that share a doc_id count as one node; other columns are not read.
+Edge cases: documents without words have the empty set, are linked with nothing and kept; fewer words than a shingle
+has are one shingle; rows that share a doc_id count as one node; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BANDS, ROWS, SKETCH = 40, 8, 512
 #: How much larger the sketches of the second look are.
 FINE = 8
 SHINGLE, SIMILARITY = 3, 85
+#: The largest chance that a pair of just the similarity asked for shares no bucket.
+MISS = 3e-6
 #: Members of a block that are compared with another block in one step.
 BLOCK = 1024
 PARTNERS = 4
@@ -58,6 +62,18 @@ def largest_distance(similarity: int, times: int = 1) -> int:
     return int(np.ceil(expected + 5 * np.hypot(from_samples, from_folding)))
 
 
+def banding(similarity: int) -> tuple[int, int]:
+    """bands, rows: the most samples to a band, and then the fewest bands, with which at most MISS of the links are lost."""
+    for rows in range(ROWS, 0, -1):
+        if (alike := (similarity / 100) ** rows) < 1:
+            bands = int(np.ceil(np.log(MISS) / np.log1p(-alike)))
+        else:
+            bands = 1
+        if bands * rows <= BANDS * ROWS:
+            return bands, rows
+    raise ValueError(f"{BANDS * ROWS} samples are too few for a similarity of {similarity} %")
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """For each text its distinct shingles as sorted hashes."""
     raw = C.LOWER[raw]
@@ -101,13 +117,14 @@ def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({"rep": own.column("rep"), "sketch": _lists(odd_sketches(low), np.zeros(len(low), bool))})
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sign(similarity: int, shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bands, rows = banding(similarity)
     for batch, raw, off in C.chunks(batches, "text"):
-        sets = shingle_sets(raw, off)
+        sets = shingle_sets(raw, off, shingle)
         n = np.array([len(s) for s in sets], np.int64)
         low = np.stack([samples(s) for s in sets])
-        keys = (low.reshape(len(sets), BANDS, ROWS).astype(np.uint64) * _COEFFICIENTS).sum(axis=2)
-        keys = C.mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = (low[:, : bands * rows].reshape(len(sets), bands, rows).astype(np.uint64) * _COEFFICIENTS[:rows]).sum(axis=2)
+        keys = C.mix(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sketch = odd_sketches(low)
         digest = [[int(C.mix(s ^ np.uint64(c)).sum(dtype=np.uint64)) for s in sets] for c in (0, 0x5851F42D4C957F2D)]
         none = n == 0
@@ -127,9 +144,9 @@ def _lists(rows: np.ndarray, none: np.ndarray) -> pa.Array:
     return out
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets_of(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, off in C.chunks(batches, "text"):
-        yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingle_sets(raw, off)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingle_sets(raw, off, shingle)], pa.binary())})
 
 
 def confirm(similarity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,10 +238,10 @@ def compare_blocks(limit: int, partners: int, batches: Iterator[pa.RecordBatch])
         yield out
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     own = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return C.scratch(own.mapInArrow(sets_of, f"rep {kind}, shingles binary"), "sets")
+    return C.scratch(own.mapInArrow(lambda it: sets_of(shingle, it), f"rep {kind}, shingles binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -270,12 +287,12 @@ def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, partners: int = PARTNERS, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. similarity in per cent, shingle in words."""
     C.tune(docs.sparkSession)
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    signed = C.scratch(docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"), "signed")
+    signed = C.scratch(docs.mapInArrow(lambda it: sign(similarity, shingle, it), f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"), "signed")
     total = signed.count()
     same = ["c1", "c2", "n_shingles"]
     full = signed.filter("n_shingles > 0")
@@ -294,7 +311,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     far = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     tried = C.scratch(near.filter(far <= limit).select("a", "b"), "near")
     ids = C.scratch(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "ids")
-    sets = _sets(docs, ids)
+    sets = _sets(docs, ids, shingle)
     links = _confirmed(tried, sets, similarity)
     C.discard(star, pivots, ids, sets)
     comps = components(links)
@@ -304,7 +321,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = _open(members, comps)
     if open_.limit(1).count():
         ids = C.scratch(open_.select("rep").distinct(), "ids")
-        sets = _sets(docs, ids)
+        sets = _sets(docs, ids, shingle)
         fine_ones = sets.mapInArrow(fine_sketches, f"rep {kind}, sketch array<long>")
         profiles = C.scratch(fine_ones.join(sketches.select("rep", "bands"), "rep"), "profiles")
     fine = largest_distance(similarity, FINE)
