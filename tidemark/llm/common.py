@@ -9,7 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 19
 #: A group of more than this share of all rows is hot; there can be at most 1 / HOT of them.
 HOT = 0.001
+#: Bits of the largest bitmap that is broadcast: 32 MB.
+MAX_BITS = 1 << 28
 
 
 def tune(spark: SparkSession) -> None:
@@ -39,9 +41,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one, in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -96,6 +100,60 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return both.select(*rows.columns, *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values])
 
 
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Adds _maybe: false only where no row of `wanted` has this key (a hash), so that others need not be shuffled.
+
+    A bitmap of about eight bits per wanted row is broadcast, of at most MAX_BITS whatever the tables; beyond, more rows
+    are true, and results stay the same.
+    """
+    bits = min(max(1 << 20, 1 << (8 * wanted.count()).bit_length()), MAX_BITS)
+    slot = F.pmod(F.col(key), F.lit(bits))
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bitmap"))
+    at = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    both = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "_bucket", "left")
+    return both.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
+
+
+def with_row_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Adds t1 and t2, 128 bits that tell rows apart by id and text."""
+    return docs.withColumns({"t1": F.xxhash64(doc_id, text), "t2": F.xxhash64(F.lit("again"), text, doc_id)})
+
+
+def keep_rows(docs: DataFrame, marks: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows that may stay, with all their columns. marks: t1, t2, size, stays, at most one row per t1 and t2.
+
+    Rows without a mark stay, those marked otherwise go, and of `size` rows that share a mark that stays, one stays.
+    """
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    id_, text_ = (names[docs.columns.index(c)] for c in (doc_id, text))
+    own = with_row_hashes(own, id_, text_).withColumn("_row", F.monotonically_increasing_id())
+    marks = scratch(marks.filter("size > 1 or not stays"), "marks")
+    again = marks.filter("stays").limit(1).count()
+    own = maybe_in(own, marks, "t1")
+    both = join_groups(own.filter("_maybe"), marks, ["t1", "t2"], "size", "_row", docs.count())
+    out = own.filter("not _maybe").select(*names).union(both.filter("size is null").select(*names))
+    if again:
+        one = both.filter("stays").groupBy("t1", "t2").agg(F.first(F.struct(*names)).alias("row"))
+        out = out.union(one.select("row.*"))
+    return out.toDF(*docs.columns)
+
+
+def keep_by_text(docs: DataFrame, text: str, decide: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows whose texts decide() accepts, with all their columns, in one pass without a shuffle."""
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    text_ = names[docs.columns.index(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, off in chunks(batches, text_):
+            yield batch.filter(pa.array(decide(raw, off), pa.bool_()))
+
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+
+
 # --- numpy text kernels -------------------------------------------------------------------------------------------
 
 _B = 0x9E3779B97F4A7C15 | 1

@@ -2,23 +2,25 @@
 
 1. Each document becomes the set of its distinct shingles (64-bit hashes), of 3 words unless told otherwise. Its MinHash
    samples give the keys of as many bands as the similarity needs (`banding`), and are folded into a parity bitmap of
-   SKETCH bits, the odd sketch.
-2. Documents with equal sets form one class, held by its smallest id; copies are never expanded.
-3. In every bucket (equal band key) each class is paired with the bucket's smallest id. The population count of the
+   SKETCH bits, the odd sketch. Rows are numbered here; all that follows works on these numbers.
+2. Rows with equal sets form one class, held by its smallest number; copies are never expanded.
+3. In every bucket (equal band key) each class is paired with the bucket's smallest one. The population count of the
    XOR of two odd sketches estimates their similarity; pairs that are clearly below the limit go, the rest are
-   confirmed on the full sets.
-4. Only buckets of three or more whose members are still in several components are looked at again. Members are dealt
-   in blocks, and blocks are compared by odd sketches of FINE times as many samples and bits, which only these members
-   get; a pair counts only in the first bucket that both are in. Each member names its `partners` closest ones that may
-   be similar, which are confirmed. While members had more partners to name, rounds repeat with the new components and
-   32 times as many partners.
+   confirmed on the full sets. Links give components.
+4. Buckets whose members are in several components are looked at again. Their members are dealt in blocks of bounded
+   count and bytes. A task gets a block with its full sets, drops pairs by odd sketch, counts the intersections of the
+   rest, and emits components that it has joined: fewer rows than it has members, never pairs of documents. Buckets of
+   one block are settled by that. Larger ones are dealt anew with the contracted components while that halves what
+   lies outside of each bucket's largest component; the remainder is then compared with every block of its bucket.
 Components come from min-label propagation with pointer jumping; every step is a table in the shared folder.
 
 Bands are chosen so that a pair of just the similarity asked for shares no bucket with a probability of MISS at most:
 40 bands of 8 samples at 0.85 (and 1e-10 at 0.9), 42 bands of 6 samples at 0.8.
 
 Edge cases: documents without words have the empty set, are linked with nothing and kept; fewer words than a shingle
-has are one shingle; rows that share a doc_id count as one node; other columns are not read.
+has are one shingle; ids may be of any type that has an order; rows that share a doc_id are judged each by its own
+text; a null doc_id is larger than all others, and the component_id where all are null; other columns are not read.
+representatives() keeps one row of each component, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -33,28 +35,27 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BANDS, ROWS, SKETCH = 40, 8, 512
-#: How much larger the sketches of the second look are.
-FINE = 8
 SHINGLE, SIMILARITY = 3, 85
 #: The largest chance that a pair of just the similarity asked for shares no bucket.
 MISS = 3e-6
-#: Members of a block that are compared with another block in one step.
-BLOCK = 1024
-PARTNERS = 4
+#: Members of a block, and shingles of its sets together: 32 MB.
+BLOCK, BLOCK_SHINGLES = 1024, 4 << 20
+#: Columns of the matrices that count intersections, and the most pairs of a shingle that are added one by one.
+COLUMNS, FEW = 2048, 32
 
 _random = np.random.default_rng(20)
-_SEEDS = _random.integers(1 << 32, size=FINE * BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SALTS = _random.integers(1 << 63, size=FINE * BANDS * ROWS, dtype=np.uint64)
+_SEEDS = _random.integers(1 << 32, size=BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SALTS = _random.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 _COEFFICIENTS = _random.integers(1 << 63, size=ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def largest_distance(similarity: int, times: int = 1) -> int:
+def largest_distance(similarity: int) -> int:
     """The largest XOR population count of two odd sketches at which a pair may still be as similar as asked for.
 
     Twice the number of differing samples is the size of the difference of the folded sets; the expected count follows
     from it, and five standard deviations are allowed.
     """
-    k, bits, p = times * BANDS * ROWS, times * SKETCH, 1 - similarity / 100
+    k, bits, p = BANDS * ROWS, SKETCH, 1 - similarity / 100
     decay = (1 - 2 / bits) ** (2 * k * p)
     expected = bits / 2 * (1 - decay)
     from_samples = decay * 2 * np.sqrt(k * p * (1 - p))
@@ -89,32 +90,21 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.
     return out
 
 
-def samples(s: np.ndarray, times: int = 1) -> np.ndarray:
+def samples(s: np.ndarray) -> np.ndarray:
     """MinHash samples of one set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    seeds = _SEEDS[: times * BANDS * ROWS]
-    low = np.full(len(seeds), 0xFFFFFFFF, np.uint32)
-    step = 1024 // times
-    for at in range(0, len(x), step):
-        np.minimum(low, (x[at : at + step, None] * seeds).min(axis=0), out=low)
+    low = np.full(len(_SEEDS), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 1024):
+        np.minimum(low, (x[at : at + 1024, None] * _SEEDS).min(axis=0), out=low)
     return low
 
 
 def odd_sketches(low: np.ndarray) -> np.ndarray:
-    """Rows of samples, folded into parity bitmaps of as many times SKETCH bits as there are times BANDS * ROWS samples."""
-    n, k = low.shape
-    bits = SKETCH * k // (BANDS * ROWS)
-    place = (C.mix(low.astype(np.uint64) + _SALTS[:k]) & np.uint64(bits - 1)).astype(np.int64) + bits * np.arange(n)[:, None]
-    parity = np.bincount(place.ravel(), minlength=bits * n) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
-
-
-def fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            own = batch.slice(at, 256)
-            low = np.stack([samples(np.frombuffer(x.as_buffer(), np.uint64), FINE) for x in own.column("shingles")])
-            yield pa.RecordBatch.from_pydict({"rep": own.column("rep"), "sketch": _lists(odd_sketches(low), np.zeros(len(low), bool))})
+    """Rows of samples, folded into parity bitmaps."""
+    n = len(low)
+    place = (C.mix(low.astype(np.uint64) + _SALTS) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH * np.arange(n)[:, None]
+    parity = np.bincount(place.ravel(), minlength=SKETCH * n) & 1
+    return np.packbits(parity.astype(np.uint8).reshape(n, SKETCH), axis=1).view(np.int64)
 
 
 def sign(similarity: int, shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +120,8 @@ def sign(similarity: int, shingle: int, batches: Iterator[pa.RecordBatch]) -> It
         none = n == 0
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"),
+            "t1": batch.column("t1"),
+            "t2": batch.column("t2"),
             "n_shingles": pa.array(n),
             "c1": pa.array(np.array(digest[0], np.uint64).view(np.int64)),
             "c2": pa.array(np.array(digest[1], np.uint64).view(np.int64)),
@@ -146,7 +138,7 @@ def _lists(rows: np.ndarray, none: np.ndarray) -> pa.Array:
 
 def sets_of(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, off in C.chunks(batches, "text"):
-        yield pa.RecordBatch.from_pydict({"rep": batch.column("doc_id"), "shingles": pa.array([s.tobytes() for s in shingle_sets(raw, off, shingle)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"rep": batch.column("rep"), "shingles": pa.array([s.tobytes() for s in shingle_sets(raw, off, shingle)], pa.binary())})
 
 
 def confirm(similarity: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,45 +171,88 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_meeting(ok: np.ndarray, left: np.ndarray, right: np.ndarray, key: int) -> np.ndarray:
-    """The pairs for which this bucket is the first of those that both are in; others are left to that one."""
-    out = np.zeros_like(ok)
-    p, q = np.nonzero(ok)
-    for at in range(0, len(p), 1 << 15):
-        a, b = p[at : at + (1 << 15)], q[at : at + (1 << 15)]
-        first = (left[a] == right[b]).argmax(axis=1)
-        mine = left[a, first] == key
-        out[a[mine], b[mine]] = True
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of the other."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    known, at_left = np.unique(np.concatenate(left), return_inverse=True)
+    own_left = np.repeat(np.arange(len(left)), [len(s) for s in left])
+    values = np.concatenate(right)
+    place = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    hit = known[place] == values
+    at_right, own_right = place[hit], np.repeat(np.arange(len(right)), [len(s) for s in right])[hit]
+    many_left, many_right = np.bincount(at_left, minlength=len(known)), np.bincount(at_right, minlength=len(known))
+    few = many_left * many_right <= FEW
+
+    # shingles of few pairs, one by one
+    order = np.argsort(at_right, kind="stable")
+    begin = np.cumsum(many_right) - many_right
+    mine = few[at_left] & (many_right[at_left] > 0)
+    times = many_right[at_left[mine]]
+    rows = np.repeat(own_left[mine], times)
+    first = np.repeat(begin[at_left[mine]] - np.cumsum(times) + times, times)
+    out += np.bincount(rows * len(right) + own_right[order[first + np.arange(len(rows))]], minlength=out.size).reshape(out.shape)
+
+    # the others as products of 0-1 matrices
+    column = np.cumsum(~few) - 1
+    keep_left, keep_right = ~few[at_left], ~few[at_right]
+    sides = []
+    for own, place in ((own_left[keep_left], column[at_left[keep_left]]), (own_right[keep_right], column[at_right[keep_right]])):
+        order = np.argsort(place, kind="stable")
+        sides.append((own[order], place[order]))
+    for low in range(0, int((~few).sum()), COLUMNS):
+        parts = []
+        for n, (own, place) in zip(out.shape, sides, strict=True):
+            a, b = np.searchsorted(place, [low, low + COLUMNS])
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[own[a:b], place[a:b] - low] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs that join two trees, as (larger root, smaller root)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in pairs.tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((max(a, b), min(a, b)))
     return out
 
 
-def compare_blocks(limit: int, partners: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by unit (key, i, j); each unit has the members of blocks i and j. Emits pairs across components."""
+#: A row of a unit is compared as one of its left members, as one of its right members, or as both.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
+def join_components(similarity: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by unit (key, i, j). Emits components that links between left and right members join."""
 
     def flush(parts: list[pa.RecordBatch]):
         t = pa.Table.from_batches(parts)
-        rep, comp, block = (t.column(c).to_numpy() for c in ("rep", "comp", "block"))
-        key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
-        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(rep), -1)
-        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(len(rep), -1)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        d = distances(sketch[left], sketch[right])
-        ok = (d <= limit) & (comp[left][:, None] != comp[right][None, :])
-        ok = _first_meeting(ok, bands[left], bands[right], key)
-        if not ok.any():
+        comp, role = t.column("comp").to_numpy(), t.column("role").to_numpy()
+        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(comp), -1)
+        left, right = np.flatnonzero(role & LEFT), np.flatnonzero(role & RIGHT)
+        ok = (distances(sketch[left], sketch[right]) <= limit) & (comp[left][:, None] != comp[right][None, :])
+        rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        if not len(rows):
             return None
-        keep = ok
-        if (more := bool((ok.sum(axis=1) > partners).any() or (ok.sum(axis=0) > partners).any())):
-            d = np.where(ok, d, 1 << 20)
-            keep = np.zeros_like(ok)
-            n = min(partners, len(right))
-            keep[np.arange(len(left))[:, None], np.argpartition(d, n - 1, axis=1)[:, :n]] = True
-            n = min(partners, len(left))
-            keep[np.argpartition(d, n - 1, axis=0)[:n], np.arange(len(right))[None, :]] = True
-            keep &= ok
-        p, q = np.nonzero(keep)
-        a, b = rep[left[p]], rep[right[q]]
-        return pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(p), key, np.int64)), "a": np.maximum(a, b), "b": np.minimum(a, b), "more": pa.array(np.full(len(p), more))})
+        left, right, ok = left[rows], right[columns], ok[np.ix_(rows, columns)]
+        shingles = t.column("shingles")
+        a, b = ([np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in side] for side in (left, right))
+        same = intersections(a, b)
+        either = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - same
+        p, q = np.nonzero(ok & (100 * same >= similarity * either))
+        joined = forest(np.unique(np.sort(np.stack([comp[left[p]], comp[right[q]]], axis=1), axis=1), axis=0))
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in joined], pa.int64()), "b": pa.array([x for _, x in joined], pa.int64())})
 
     held: list[pa.RecordBatch] = []
     now = None
@@ -238,129 +273,164 @@ def compare_blocks(limit: int, partners: int, batches: Iterator[pa.RecordBatch])
         yield out
 
 
-def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    kind = dict(docs.dtypes)["doc_id"]
-    own = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return C.scratch(own.mapInArrow(lambda it: sets_of(shingle, it), f"rep {kind}, shingles binary"), "sets")
+def _sets(docs: DataFrame, places: DataFrame, ids: DataFrame, shingle: int, total: int) -> DataFrame:
+    """rep, shingles of the rows with these numbers; docs and places have t1 and t2, a hash of a row's id and text."""
+    wanted = C.scratch(places.join(ids, "rep", "left_semi"), "wanted")
+    own = C.maybe_in(docs.select("t1", "t2", "text").withColumn("_row", F.monotonically_increasing_id()), wanted, "t1").filter("_maybe")
+    own = C.join_groups(own, wanted, ["t1", "t2"], "size", "_row", total)
+    out = own.filter("rep is not null").select("rep", "text").mapInArrow(lambda it: sets_of(shingle, it), "rep long, shingles binary")
+    if wanted.filter("size > 1").limit(1).count():
+        out = out.groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    out = C.scratch(out, "sets")
+    C.discard(wanted)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar; pairs must be a scratch table. Sets of a hot b are dealt by salt."""
     total = pairs.count()
-    kind = dict(sets.dtypes)["rep"]
     counts = C.scratch(pairs.groupBy("b").agg(F.count("*").alias("n")), "fan")
     dealt = C.join_groups(pairs.select("a", "b"), counts, ["b"], "n", "a", total)
     dealt = C.scratch(dealt.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 64))).drop("n"), "dealt")
     heads = dealt.select("b", "salt").distinct().join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("other")), "b")
     both = dealt.join(sets.select(F.col("rep").alias("a"), "shingles"), "a").join(heads, ["b", "salt"])
-    links = C.scratch(both.select("a", "b", "shingles", "other").mapInArrow(lambda it: confirm(similarity, it), f"a {kind}, b {kind}"), "links")
+    links = C.scratch(both.select("a", "b", "shingles", "other").mapInArrow(lambda it: confirm(similarity, it), "a long, b long"), "links")
     C.discard(counts, dealt)
     return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that can be reached. links: a, b."""
+    """node, comp: the smallest node that can be reached. links: a, b. Hubs and large components are dealt out."""
     both = links.select("a", "b").union(links.select("b", "a"))
     edges = C.scratch(both.distinct(), "edges")
+    degrees = C.scratch(edges.groupBy("b").agg(F.count("*").alias("n")), "degrees")
+    total = edges.count()
     labels = C.scratch(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("comp")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        heads = degrees.join(labels.select(F.col("node").alias("b"), "comp"), "b")
+        near = C.join_groups(edges, heads, ["b"], "n", "a", total).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = C.scratch(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")), "low")
-        jump = low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp")
+        roots = low.groupBy("comp").agg(F.count("*").alias("n")).join(low.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp")
+        jump = C.join_groups(low, roots, ["comp"], "n", "node", total)
         new = C.scratch(jump.select("node", "old", F.least("comp", "far").alias("comp")), "labels")
         changed = new.filter("old <> comp").limit(1).count()
         C.discard(labels, low)
         labels = new
         if not changed:
-            C.discard(edges)
+            C.discard(edges, degrees)
             return labels.select("node", "comp")
 
 
-def _open(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, rep, comp, size of the buckets whose members are in several components."""
+def _merged(comps: DataFrame, joined: DataFrame, total: int) -> DataFrame:
+    """The components after some of them (a, b) have been joined."""
+    higher = components(joined)
+    sizes = comps.groupBy("comp").agg(F.count("*").alias("n")).join(higher.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp")
+    moved = C.join_groups(comps, sizes, ["comp"], "n", "node", total).select("node", F.coalesce("top", "comp").alias("comp"))
+    return C.scratch(moved.union(higher.join(comps, "node", "left_anti").select("node", "comp")), "comps")
+
+
+def _open(members: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    """Members (key, rep, weight) of the buckets that hold several components, with the number of blocks of their bucket."""
     labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    labelled = C.scratch(labelled.select("key", "rep", F.coalesce("comp", "rep").alias("comp")), "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
-    open_ = C.scratch(open_.filter("lo <> hi").select("key", "size"), "open")
-    out = C.scratch(C.join_groups(labelled, open_, ["key"], "size", "rep", labelled.count()).filter("size is not null"), "open")
-    C.discard(labelled, open_)
+    labelled = C.scratch(labelled.select("key", "rep", "weight", F.coalesce("comp", "rep").alias("comp")), "labelled")
+    kinds = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    most = F.max(F.struct("n", "comp", "weight"))
+    buckets = kinds.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"), F.sum("weight").alias("all"), most.alias("most"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_SHINGLES)).cast("int")
+    every, minor = blocks(F.col("size"), F.col("all")), blocks(F.col("size") - F.col("most.n"), F.col("all") - F.col("most.weight"))
+    buckets = C.scratch(buckets.filter("kinds > 1").select("key", "size", F.col("most.comp").alias("main"), every.alias("blocks"), minor.alias("minor_blocks")), "open")
+    out = C.join_groups(labelled, buckets, ["key"], "size", "rep", labelled.count()).filter("size is not null")
+    out = C.scratch(out.withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "open")
+    C.discard(labelled, buckets)
     return out
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, partners: int = PARTNERS, shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept. similarity in per cent, shingle in words."""
+def _units(open_: DataFrame, turn: int, cross: bool) -> DataFrame:
+    """key, i, j, role, rep, comp: each block on its own, or each block of the minor members with each block of all."""
+    place = lambda blocks: F.pmod(F.xxhash64(F.lit(turn), "rep"), F.col(blocks)).cast("int")
+    if not cross:
+        return open_.select("key", place("blocks").alias("i"), F.lit(-1).alias("j"), F.when(F.col("minor"), BOTH).otherwise(RIGHT).alias("role"), "rep", "comp")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = open_.filter("minor").select("key", place("minor_blocks").alias("i"), each("blocks").alias("j"), F.lit(LEFT).alias("role"), "rep", "comp")
+    return minor.union(open_.select("key", each("minor_blocks").alias("i"), place("blocks").alias("j"), F.lit(RIGHT).alias("role"), "rep", "comp"))
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, similarity: int, block: int, shingle: int) -> DataFrame:
+    """A row per document: number, doc_id, t1, t2, n_shingles, comp, component_id; comp is null without words."""
     C.tune(docs.sparkSession)
-    docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+    docs = C.with_row_hashes(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")))
     kind = dict(docs.dtypes)["doc_id"]
-    signed = C.scratch(docs.mapInArrow(lambda it: sign(similarity, shingle, it), f"doc_id {kind}, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"), "signed")
+    schema = f"doc_id {kind}, t1 long, t2 long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>"
+    signed = C.scratch(docs.mapInArrow(lambda it: sign(similarity, shingle, it), schema).withColumn("number", F.monotonically_increasing_id()), "signed")
     total = signed.count()
     same = ["c1", "c2", "n_shingles"]
     full = signed.filter("n_shingles > 0")
-    groups = C.scratch(full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    groups = C.scratch(full.groupBy(*same).agg(F.min("number").alias("rep"), F.min("doc_id").alias("lowest"), F.count("*").alias("size")), "classes")
+    places = C.scratch(full.groupBy("t1", "t2").agg(F.min("number").alias("rep"), F.count("*").alias("size")), "places")
     limit = largest_distance(similarity)
 
-    reps = full.join(groups.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    rows = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    reps = full.join(groups.select(F.col("rep").alias("number")), "number", "left_semi").withColumnRenamed("number", "rep")
+    rows = reps.select("rep", F.col("n_shingles").alias("weight"), F.explode("bands").alias("key"))
+    exploded = total * banding(similarity)[0]
     buckets = C.scratch(rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "buckets")
-    members = C.scratch(C.join_groups(rows, buckets, ["key"], "size", "rep", total).filter("size is not null"), "members")
-    sketches = C.scratch(reps.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sketch", "bands"), "sketches")
-    star = C.scratch(members.filter("rep <> pivot").groupBy(F.col("rep").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared")), "star")
+    members = C.scratch(C.join_groups(rows, buckets, ["key"], "size", "rep", exploded).filter("size is not null"), "members")
+    sketches = C.scratch(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"), "sketches")
+    # texts move once: the sets of all members of buckets serve both looks
+    sets = _sets(docs, places, sketches.select("rep"), shingle, total)
+    C.discard(buckets, places)
+    del reps, rows, buckets, places
+    C.release(docs.sparkSession)
+    star = C.scratch(members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
     fan = star.groupBy("b").agg(F.count("*").alias("n"))
     pivots = C.scratch(fan.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("other")), "b"), "pivots")
-    near = C.join_groups(star.select("a", "b"), pivots, ["b"], "n", "a", max(1, total)).join(sketches.select(F.col("rep").alias("a"), "sketch"), "a")
+    near = C.join_groups(star, pivots, ["b"], "n", "a", star.count()).join(sketches.select(F.col("rep").alias("a"), "sketch"), "a")
     far = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     tried = C.scratch(near.filter(far <= limit).select("a", "b"), "near")
-    ids = C.scratch(tried.select(F.col("a").alias("rep")).union(tried.select("b")).distinct(), "ids")
-    sets = _sets(docs, ids, shingle)
     links = _confirmed(tried, sets, similarity)
-    C.discard(star, pivots, ids, sets)
+    C.discard(star, pivots, tried)
+    del star, fan, pivots, near, tried
+    C.release(docs.sparkSession)
     comps = components(links)
 
     # a bucket of two has been settled by its one pair
-    members = members.filter("size > 2").select("key", "rep")
-    open_ = _open(members, comps)
-    if open_.limit(1).count():
-        ids = C.scratch(open_.select("rep").distinct(), "ids")
-        sets = _sets(docs, ids, shingle)
-        fine_ones = sets.mapInArrow(fine_sketches, f"rep {kind}, sketch array<long>")
-        profiles = C.scratch(fine_ones.join(sketches.select("rep", "bands"), "rep"), "profiles")
-    fine = largest_distance(similarity, FINE)
-    while open_.limit(1).count():
-        units = open_.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        units = units.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        units = units.join(profiles, "rep").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-        units = units.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "comp", "sketch", "bands")
-        units = units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = units.mapInArrow(lambda it, n=partners: compare_blocks(fine, n, it), f"key long, a {kind}, b {kind}, more boolean")
-        found = C.scratch(found.groupBy("a", "b").agg(F.max("more").alias("more"), F.collect_set("key").alias("keys")), "found")
-        new_pairs = C.scratch(found.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-        more = found.filter("more").limit(1).count()
-        new = _confirmed(new_pairs, sets, similarity) if new_pairs.limit(1).count() else None
-        if new is not None and new.limit(1).count():
-            links = C.scratch(links.union(new), "links")
-            comps = components(links)
-        if not more:
+    pool, profiles, turn, before = members.filter("size > 2").select("key", "rep", "weight"), None, 0, 0
+    while (minor := (open_ := _open(pool, comps, block)).filter("minor").count()):
+        if profiles is None:
+            profiles = C.scratch(sets.join(open_.select("rep").distinct(), "rep", "left_semi").join(sketches, "rep"), "profiles")
+        cross = turn > 0 and 2 * minor > before
+        units = _units(open_, turn, cross).join(profiles, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        joined = C.scratch(units.mapInArrow(lambda it: join_components(similarity, limit, it), "a long, b long").distinct(), "joined")
+        comps = _merged(comps, joined, total)
+        if cross:
             break
-        partners *= 32
-        tried = C.scratch(tried.union(new_pairs), "near")
-        # buckets without a pair that may be similar have none later either
-        alive = found.select(F.explode("keys").alias("key")).distinct().join(open_.select("key", "size").distinct(), "key")
-        alive = C.scratch(alive, "alive")
-        left = C.scratch(C.join_groups(members, alive, ["key"], "size", "rep", total).filter("size is not null").drop("size"), "left")
-        before, open_ = open_, _open(left, comps)
-        C.discard(before, found, new_pairs, alive, left)
-
-    held = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", F.coalesce("comp", "rep").alias("component_id"))
-    held = C.scratch(held, "held")
-    out = C.join_groups(signed.select("doc_id", *same), held, same, "size", "doc_id", total)
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, with all its columns."""
-    gone = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+        pool, turn, before = open_.filter("blocks > 1").select("key", "rep", "weight"), turn + 1, minor
+    C.discard(members, sets, sketches, *([profiles] if profiles else []))
+    C.release(docs.sparkSession)
+
+    labelled = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", "lowest", F.coalesce("comp", "rep").alias("comp"))
+    labelled = C.scratch(labelled, "labelled")
+    lowest = C.scratch(labelled.groupBy("comp").agg(F.min("lowest").alias("component_id"), F.count("*").alias("n")), "lowest")
+    held = C.scratch(C.join_groups(labelled.drop("lowest"), lowest, ["comp"], "n", "c1", total).drop("n"), "held")
+    C.discard(labelled, lowest)
+    out = C.join_groups(signed.select("number", "doc_id", "t1", "t2", *same), held, same, "size", "number", total)
+    return out.select("number", "doc_id", "t1", "t2", "n_shingles", "comp", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept. similarity in per cent, shingle in words."""
+    out = _classified(docs, doc_id, text, similarity, block, shingle)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id; of rows that share it, one."""
+    rows = C.scratch(_classified(docs, doc_id, text, similarity, block, shingle).filter("comp is not null"), "rows")
+    best = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("comp").agg(F.min("number").alias("number"))
+    # a row's id and text decide: rows that agree in both are one place
+    places = rows.groupBy("t1", "t2").agg(F.min("number").alias("number"), F.count("*").alias("size"))
+    stays = best.select("number", F.lit(True).alias("stays"))
+    marks = places.join(stays, "number", "left").select("t1", "t2", "size", F.coalesce("stays", F.lit(False)).alias("stays"))
+    return C.keep_rows(docs, marks, doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
