@@ -6,8 +6,9 @@ grouping by the full hash. Texts are never shuffled: each step exchanges a few n
 groups that hold a large share of the rows are joined by broadcast (see common.join_groups).
 
 Normalised means without every character of `[\\x20\\x09-\\x0D]`. Edge cases: a null text counts as empty, and all
-empty texts are equal; a group keeps its longest original text, then the smallest doc_id; rows that repeat a doc_id
-count as rows and stay or go together; an empty table gives an empty result. Other columns are not read.
+empty texts are equal; a group keeps its longest original text, then the smallest doc_id; ids may be of any type that
+has an order, and null ones come last; rows that repeat the doc_id that stays are all marked as kept, of which
+distinct_documents() returns one; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,31 +29,40 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    norm = docs.select(F.col(doc_id).alias("doc_id"), F.char_length(F.coalesce(text, F.lit(""))).alias("n_chars"), normalised(F.col(text)).alias("norm"))
-    facts = norm.select("doc_id", "n_chars", F.octet_length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"), F.unhex(F.sha2("norm", 256)).alias("sha"))
+def _grouped(docs: DataFrame, doc_id: str, text: str, prefix: int) -> tuple[DataFrame, DataFrame, int]:
+    """Facts of every row; and of every group of equal texts its size and the row that stays."""
+    own = C.with_row_hashes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    norm = own.select("doc_id", "t1", "t2", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars"), normalised(F.col("text")).alias("norm"))
+    facts = norm.select("doc_id", "t1", "t2", "n_chars", F.octet_length("norm").alias("n"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"), F.unhex(F.sha2("norm", 256)).alias("sha"))
     facts = C.scratch(facts, "exact")
     total = facts.count()
 
     by_length = facts.groupBy("n").agg(F.count("*").alias("size")).filter("size > 1")
     by_length = C.scratch(by_length, "lengths")
-    longs = C.join_groups(facts.select("doc_id", "n", "head"), by_length, ["n"], "size", "doc_id", total).filter("size is not null")
+    longs = C.join_groups(facts.select("t1", "n", "head"), by_length, ["n"], "size", "t1", total).filter("size is not null")
     by_head = longs.groupBy("n", "head").agg(F.count("*").alias("size")).filter("size > 1")
     by_head = C.scratch(by_head, "heads")
-    alive = C.join_groups(facts, by_head, ["n", "head"], "size", "doc_id", total).filter("size is not null").drop("size")
-    best = F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("id")))["id"]
-    groups = alive.groupBy("sha").agg(F.count("*").alias("size"), (-best).alias("keep_id")).filter("size > 1")
-    groups = C.scratch(groups, "equal")
-    out = C.join_groups(facts.select("doc_id", "sha"), groups, ["sha"], "size", "doc_id", total)
-    keep = F.coalesce("keep_id", "doc_id")
+    alive = C.join_groups(facts, by_head, ["n", "head"], "size", "t1", total).filter("size is not null").drop("size")
+    best = F.min(F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2"))
+    groups = alive.groupBy("sha").agg(F.count("*").alias("size"), best.alias("best")).filter("size > 1")
+    return facts, C.scratch(groups.select("sha", "size", F.col("best.doc_id").alias("keep_id"), F.col("best.t1").alias("k1"), F.col("best.t2").alias("k2")), "equal"), total
+
+
+def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    facts, groups, total = _grouped(docs, doc_id, text, prefix)
+    out = C.join_groups(facts.select("doc_id", "t1", "sha"), groups.drop("k1", "k2"), ["sha"], "size", "t1", total)
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = duplicate_groups(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", prefix: int = PREFIX) -> DataFrame:
+    """One row of each group of equal texts, with all its columns."""
+    facts, groups, total = _grouped(docs, doc_id, text, prefix)
+    rows = C.join_groups(facts.select("t1", "t2", "sha"), groups.drop("keep_id"), ["sha"], "size", "t1", total).filter("size is not null")
+    stays = (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2"))
+    marks = rows.withColumn("stays", stays).groupBy("t1", "t2").agg(F.count("*").alias("size"), F.max("stays").alias("stays"))
+    return C.keep_rows(docs, marks, doc_id, text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

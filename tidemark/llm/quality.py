@@ -197,19 +197,23 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted; rows whose fold is 0 never train the model."""
+def _training(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     C.tune(docs.sparkSession)
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    labels = labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")).filter(fold_of(F.col("doc_id")) != 0)
+    return docs, labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("label")).filter(fold_of(F.col("doc_id")) != 0)
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted; rows whose fold is 0 never train the model."""
+    docs, labels = _training(docs, labels, label, doc_id, text)
     out = score(docs, fit(docs, labels, max_rows))
     return out.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
-    bad = classify(docs, labels, **options).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not rejected, each judged by its own text, with all their columns."""
+    model = fit(*_training(docs, labels, label, doc_id, text), max_rows)
+    return C.keep_by_text(docs, text, lambda raw, off: model.score(statistics(raw, off)) >= threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
