@@ -39,6 +39,27 @@ def contamination(docs, items, window=10):
     return out
 
 
+def longest_matches(docs, items, window=10):
+    """doc_id -> (words of the longest match that begins with a window, its first place)."""
+    out = {}
+    items = [w for _, t in items if (w := item_words(t))]
+    for d, t in docs:
+        w, best = item_words(t), (0, None)
+        starts = {}
+        for k, x in enumerate(w):
+            starts.setdefault(x, []).append(k)
+        for item in items:
+            for j in range(max(1, len(item) - window + 1)):
+                for k in starts.get(item[j], []):
+                    n = 0
+                    while k + n < len(w) and j + n < len(item) and w[k + n] == item[j + n]:
+                        n += 1
+                    if n >= min(window, len(item)) and (n > best[0] or n == best[0] and k < best[1]):
+                        best = (n, k)
+        out[d] = best
+    return out
+
+
 def repeats(docs, n=13):
     first = {}
     tokens = {d: plain_words(t) for d, t in docs}

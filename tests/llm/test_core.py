@@ -32,7 +32,44 @@ def test_contamination_brute(spark, block):
     rows = edge_rows()
     items = [(1, None), (2, ""), (30, "one"), (4, rows[20][1]), (5, " ".join(rows[7][1].split()[100:130])), (6, rows[25][1][:60]), (7, "two WORDS"), (8, "w1 w2")]
     got = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block)
-    assert sorted(tuple(r)[:6] for r in got.collect()) == sorted(brute.contamination(rows, items))
+    rows_got = got.collect()
+    assert sorted(tuple(r)[:6] for r in rows_got) == sorted(brute.contamination(rows, items))
+    assert {r.doc_id: (r.longest_match, r.longest_at) for r in rows_got} == brute.longest_matches(rows, items)
+    clean = decontaminate.clean_documents(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block=block)
+    assert clean.columns == frame(spark, []).columns and sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in rows_got if not r.contaminated)
+
+
+def test_repeated_items(spark):
+    """A passage that fills the documents and the items alike makes no pairs of both."""
+    line = " ".join(f"v{k}" for k in range(15))
+    rows = [(k, (line + " ") * 400) for k in range(20)]
+    items = [(k, line) for k in range(3000)]
+    got = decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.n_hit, r.n_items, r.longest_match, r.longest_at) for r in got} == {(6000, 3000, 15, 0)}
+
+
+def test_contamination_oracle(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for n in ("documents", "benchmark"):
+        c.sql(f"create view {n} as select * from '{sf}/{n}.parquet'")
+    want = sorted(c.sql(queries.oracle_sql()["op2_decontamination"]).fetchall())
+    assert sorted(tuple(r) for r in decontaminate.query(spark, sf).collect()) == want
+
+
+def test_long_words_and_texts():
+    r = np.random.default_rng(2)
+    text = "".join(r.choice(list("abc "), size=40_000)) + "x" * 3000 + " é " * 50
+    raw, off = C.utf8(pa.array([text]))
+    starts, ends, _ = C.words(raw, off, C.NOT_SPACE)
+    whole = C.word_hashes(raw, starts, ends)
+    for chunk in (7, 1000):
+        before, C.CHUNK = C.CHUNK, chunk
+        try:
+            assert (C.word_hashes(raw, starts, ends) == whole).all()
+        finally:
+            C.CHUNK = before
 
 
 def test_contamination_query(spark, sf):

@@ -235,11 +235,29 @@ def words(raw: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every process."""
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_B, n)[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_B_INV, n)[starts]
+    """A 64-bit hash of each word's bytes, the same in every process. Long texts are taken in pieces of CHUNK bytes."""
+    h = np.zeros(len(starts), np.uint64)
+    up = np.uint64(1)  # the base to the power of the piece's place
+    carry = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(raw), CHUNK):
+            piece = raw[a : a + CHUNK]
+            n = len(piece)
+            total = np.empty(n + 1, np.uint64)
+            total[0] = carry
+            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _power(_B, n)[:n] * up, out=total[1:])
+            total[1:] += carry
+            s, e = (np.searchsorted(x, [a, a + n]) for x in (starts, ends - 1))
+            # what a word has in this piece counts from its own start: the sum before it is taken off
+            h[s[0] : s[1]] -= total[starts[s[0] : s[1]] - a]
+            h[e[0] : e[1]] += total[ends[e[0] : e[1]] - a]
+            carry = total[-1]
+            up = up * _power(_B, CHUNK)[CHUNK]
+        step = np.uint64(1)
+        for a in range(0, len(raw), CHUNK):
+            s = np.searchsorted(starts, [a, a + CHUNK])
+            h[s[0] : s[1]] *= _power(_B_INV, CHUNK)[starts[s[0] : s[1]] - a] * step
+            step = step * _power(_B_INV, CHUNK)[CHUNK]
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 

@@ -42,8 +42,11 @@ _NOT_LINE = ~_CLASSES["line"]
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return total[first[1:]] - total[first[:-1]]
+    out = np.zeros(len(first) - 1, np.int64)
+    some = first[1:] > first[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, first[:-1][some], dtype=np.int64)
+    return out
 
 
 def _distinct(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -73,7 +76,7 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     # words that end in something else than a letter, digit or wide character, and words without any lower-case letter
     tail = raw[ends - 1] if len(ends) else raw[:0]
     columns.append(share(_sums(~C.ALNUM[C.LOWER[tail]], first), n_words))
-    low = np.concatenate([[0], np.cumsum(C.byte_class((0x61, 0x7A), (0x80, 0xFF))[raw])])
+    low = np.concatenate([[0], np.cumsum(C.byte_class((0x61, 0x7A), (0x80, 0xFF))[raw], dtype=np.int32)])
     columns.append(share(_sums(low[ends] == low[starts], first), n_words))
     l_starts, l_ends, l_first = C.words(raw, off, _NOT_LINE)
     n_lines = np.diff(l_first)
