@@ -34,6 +34,45 @@ def test_extraction_rules():
         html_extract.main_text(odd)
 
 
+PARAGRAPH = "It was in the spring of that year that the people of the town saw the first of the ships, and they were not at all sure what to make of it, for none of them had been told that it would come to this place. " * 2
+ARTICLE = [f"{k} {PARAGRAPH}".strip() for k in range(3)]
+BODY = "<h2>The ships</h2>" + "".join(f"<p>{t}</p>" for t in ARTICLE)
+MENU = "<div class=menu><ul>" + "".join(f"<li><a href=/{k}>Part {k}</a>" for k in range(9)) + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    ['<div class="main with-sidebar">@</div>', '<div class="no-sidebar">@</div>', '<div class="post share-enabled">@</div>', '<div class="content comments-open">@</div>', "<form action=/x><input type=hidden>@</form>", '<div class="sidebar-page">@</div>', "<article>@</article>", "<main>@</main>", '<div id=widget><main class="x">@</main></div>', "<table><tr><td>@</td></tr></table>"],
+)
+@pytest.mark.parametrize(
+    "more",
+    ["", '<div class="ad">The best of all shops in the town is the one that you will find in the street</div>', '<div class=comments><p>' + "I think that this is the best of all that I have read in the days of my life and that it is so. " * 9 + "</p></div>", "<div hidden><p>" + PARAGRAPH + "</p></div>", '<p class="advert">Buy the best of the best in the shop of the town and be the one that has it</p>', '<footer><p>' + PARAGRAPH + "</p></footer>", "<form><label>Your name</label><input><p>Write to us and we will answer</p><button>Send</button></form>"],
+)
+def test_extraction_of_pages_without_marks(around, more):
+    """What goes is listed in the pages themselves: the text must be the heading and the paragraphs."""
+    page = "<html><head><title>t</title></head><body><header><h1>Site</h1></header>" + MENU + around.replace("@", BODY + "\0").replace("\0", more) + "<p>© 2020 The people of the town</p></body></html>"
+    assert html_extract.main_text(page).split("\n") == ["The ships", *[t.strip() for t in ARTICLE]]
+
+
+def test_extraction_second_pass():
+    """Short blocks take the label of their neighbours, also inside an article."""
+    links = "".join(f"<li><a href=/{k}>Story {k} of the day</a></li>" for k in range(5))
+    page = f"<article><h1>Title</h1><p>Short.</p><p>{PARAGRAPH}</p><p>Also short.</p><p>{PARAGRAPH}</p><h3>More stories</h3><ul>{links}</ul><p>see all</p><ul>{links}</ul></article>"
+    assert html_extract.main_text(page).split("\n") == ["Title", "Short.", PARAGRAPH.strip(), "Also short.", PARAGRAPH.strip()]
+    wide = "<div>" + "".join(f"<p>{'本文は長い文章です' * 30}{k}</p>" for k in range(3)) + "<p>短い</p></div>"
+    assert html_extract.main_text(wide).count("\n") == 3
+    assert html_extract.main_text(f"<div><p>Well <span class=ad>Buy!</span><span hidden>secret</span> then</p><p>{PARAGRAPH}</p></div>").split("\n")[0] == "Well then"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<option>", "<a href='", '<p class="', "<!-", "</", "<script", "<textarea>", "<b x='>\"", "<div><p>x"])
+def test_extraction_is_linear(piece):
+    import time
+
+    start = time.time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 10
+
+
 def test_extraction_query(spark, sf):
     """The brute form: everything inside the article element of these pages, cut at paragraphs and headings."""
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
