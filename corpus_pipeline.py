@@ -40,7 +40,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     common.tune(spark)
-    return packing.pack_documents(docs, packing.tokenizer_path())
+    return packing.pack_documents(docs, packing.TOKENIZER)
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", leaks), ("packing", packed)]

@@ -277,6 +277,24 @@ def test_packing_query(spark, sf, tokenizer):
     assert check_packing(documents(spark, sf), packing.query(spark, sf).collect(), tokenizer) > 0.97
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 9, 17, 24, 31, 32, 33, 60, 100, 200, 255])
+def test_short_pieces_fill(length):
+    bins = list(packing.pack(iter([(i, 0, length) for i in range(20_000)])))
+    assert 20_000 * length / (2048 * len(bins)) > 0.87 if length > 32 else 20_000 * length / (2048 * len(bins)) > 0.9
+
+
+def test_mixed_short_pieces_fill():
+    r = np.random.default_rng(1)
+    pieces = [(i, 0, int(n)) for i, n in enumerate(r.integers(3, 33, size=50_000))]
+    bins = list(packing.pack(iter(pieces)))
+    assert sum(p[2] for p in pieces) / (2048 * len(bins)) > 0.95 and sorted(p for b in bins for p in b) == pieces
+
+
+def test_packing_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id string, text string")
+    assert sorted(r.doc_tokens for r in packing.pack_documents(docs, packing.TOKENIZER).collect()) == [1, 3]
+
+
 def test_harmonic_bins():
     bins = list(packing.pack(iter([(i, 0, 1 + i * 37 % 2048) for i in range(5000)])))
     assert sum(map(len, bins)) == 5000 and all(sum(p[2] for p in b) <= 2048 for b in bins)

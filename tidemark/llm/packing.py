@@ -3,14 +3,15 @@
 A length r belongs to class k when capacity / (k + 1) < r <= capacity / k, and a bin of class k takes exactly k
 pieces, so every bin fits by construction and workers never need to look at each other. Documents are cut so that
 most tokens fall into pieces of exactly capacity / k (k = 1, 2, 4, 8), whose bins have no padding at all; only what
-remains below capacity / 8 is packed by the general rule. What a worker's open bins hold at its end is packed first
-fit, longest first.
+remains below capacity / 8 is packed by the general rule, which has about twice the square root of the capacity classes
+down to pieces of one token. What a worker's open bins hold at its end is packed first fit, longest first.
 
 Ids come from the vocabulary file of a `tokenizers` tokenizer. Where that vocabulary proves to be a plain byte-level
 BPE (its merges are in the order of its ids), tiktoken computes the same ids four times faster; texts that hold the
 string of an added token, and other vocabularies, go through `tokenizers` itself.
 
-Edge cases: a null text counts as empty; an empty text is the end id alone; repeated rows are packed each.
+Edge cases: a null text counts as empty; an empty text is the end id alone; repeated rows are packed each; ids may be
+of any type or null; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 CAPACITY = 2048
-#: Residues up to CAPACITY / LAST share the last class.
-LAST = 64
+#: The vocabulary file of the query; workers look for it themselves.
+TOKENIZER = "byte_bpe_50k.json"
 #: The split pattern of the byte-level BPE, a fixed value of the public tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PROBE = "Probe: l'été 123 «ñ» don't\n\n  ###!!  日本語 \t x​ 🙂🙂 aaaaaaaaaaaaaaaaaaaaaaaa  　.\r\n"
@@ -44,9 +45,11 @@ def _bytes_of_letters() -> dict[str, int]:
 
 @lru_cache(2)
 def encoder(path: str):
-    """A function from a text to its ids as an array."""
+    """A function from a text to its ids as an array. A path without a folder names a file of the public tokenizers."""
     from tokenizers import Tokenizer
 
+    path = path if "/" in path else tokenizer_path(path)
+
     slow = Tokenizer.from_file(path)
     exact = lambda s: np.array(slow.encode(s, add_special_tokens=False).ids, np.uint32)
     try:
@@ -76,11 +79,11 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return [*out, n] if n else out
 
 
-def pack(pieces: Iterator[tuple], capacity: int = CAPACITY, last: int = LAST) -> Iterator[list[tuple]]:
+def pack(pieces: Iterator[tuple], capacity: int = CAPACITY) -> Iterator[list[tuple]]:
     """Bins of pieces; a piece is any tuple whose third value is its length."""
     bins: dict[int, list] = {}
     for p in pieces:
-        k = min(capacity // p[2], last)
+        k = capacity // p[2]
         own = bins.setdefault(k, [])
         own.append(p)
         if len(own) == k:
@@ -103,9 +106,12 @@ NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
 def pack_batches(path: str, capacity: int, end_id: int, batches: Iterator[pa.RecordBatch], keep_ids: bool = False) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
+    kind = None
 
     def pieces():
+        nonlocal kind
         for batch in batches:
+            kind = batch.column("doc_id").type
             texts = batch.column("text")
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 ids = np.append(encode(texts[i].as_py() or ""), np.uint32(end_id)).astype("<u4")
@@ -125,16 +131,16 @@ def pack_batches(path: str, capacity: int, end_id: int, batches: Iterator[pa.Rec
             at += p[2]
         sequence += 1
         if len(rows) >= (200 if keep_ids else 8192):
-            yield _batch(rows, keep_ids)
+            yield _batch(rows, keep_ids, kind)
             rows = []
     if rows:
-        yield _batch(rows, keep_ids)
+        yield _batch(rows, keep_ids, kind)
 
 
-def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:
+def _batch(rows: list[tuple], keep_ids: bool, kind: pa.DataType) -> pa.RecordBatch:
     names = [*NAMES, *(["ids"] if keep_ids else []), "sequence_id", "offset"]
     columns = dict(zip(names, zip(*rows, strict=True), strict=True))
-    kinds = {n: pa.binary() if n == "ids" else None if n == "doc_id" else pa.int64() for n in names}
+    kinds = {n: pa.binary() if n == "ids" else kind if n == "doc_id" else pa.int64() for n in names}
     return pa.RecordBatch.from_pydict({n: pa.array(columns[n], kinds[n]) for n in names})
 
 
@@ -150,11 +156,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     return narrow.mapInArrow(lambda it: pack_batches(tokenizer, capacity, end_id, it, keep_ids), schema)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(C.load(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_documents(C.load(spark, sf_dir, "documents"), TOKENIZER)
