@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import html
 import random
@@ -232,6 +233,29 @@ def test_warc_edges(spark):
     assert {r.record_type for r in got if r.page_id == 5} == {"response"}
 
 
+def test_warc_string_ids(spark):
+    pages = spark.createDataFrame([("b", "u", "same"), ("a", "u", "same"), ("é", "u", "other"), (None, None, "same")], "page_id string, url string, html string")
+    got = sorted(((r.page_id or "", r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()))
+    assert got == [("", "response", None), ("a", "response", None), ("b", "revisit", "a"), ("é", "response", None)]
+
+
+def test_warc_archives_are_bounded(spark, tmp_path):
+    rows = [(i, "u", f"{i}" + "x" * (200_000 if i == 7 else 1000)) for i in range(200)]
+    warc.write(frame(spark, rows).coalesce(1), f"file://{tmp_path}/w", file_bytes=20_000)
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 22_000
+    assert warc.read(spark, f"file://{tmp_path}/w").count() == 200
+
+
+def test_warc_candidates_are_linear():
+    import time
+
+    start = time.time()
+    assert len(warc.candidates(b"WARC/1." * 1_000_000 + b"\r\n\r\n")[0]) == 0
+    assert len(warc.candidates(b"WARC/1.0\r\nContent-Length: 5\r\n" * 100_000 + b"\r\n")[0]) == 100_000
+    assert time.time() - start < 10
+
+
 def test_pointer_jumping():
     r = random.Random(4)
     for _ in range(200):
