@@ -1,9 +1,11 @@
 """URL filter: host and path rules, and a character language-model ratio for what no rule decides.
 
-The addresses that rules accept and reject train two variable-order Markov models over a folded alphabet: the
-probability of a character interpolates contexts of two, one and no characters (each order is smoothed by the shorter
-one). An address without a rule is judged by the mean log-likelihood difference per character, against a threshold
-calibrated on the addresses that rules decide. Everything is DataFrame operations.
+The addresses that rules accept and reject train two variable-order Markov models over a folded alphabet: contexts of
+two, one and no characters, each weighed against the shorter one by how often and with how many different followers it
+has occurred (Witten and Bell), so that rare contexts count little and unseen ones not at all. An address without a
+rule is judged by the mean log-likelihood difference per character, against a threshold calibrated on the addresses
+that rules decide. For that each of them is scored by models of the other half of the addresses (halves by md5 of host
+and path), so none is judged by what it has trained. Everything is DataFrame operations.
 
 The models have one row per character triple. The alphabet has 43 symbols, so that is 79,507 rows at most whatever
 the corpus, which bounds the broadcast.
@@ -25,8 +27,6 @@ RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: a-z, 0-9, four marks, one symbol for all else, and the marks of begin and end.
 SYMBOLS = 43
-#: Pseudo-count of the shorter context.
-WEIGHT = 2.0
 #: Scores are calibrated on a grid of this step.
 STEP = 0.01
 
@@ -57,27 +57,45 @@ def triples(host: Column, path: Column) -> Column:
     return F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))), 0)
 
 
+#: The counts of a triple: among accepted and rejected addresses of each half.
+COUNTS = ("allow0", "allow1", "block0", "block1")
+#: Models by what they are trained on: everything, and all but one half.
+MODELS = {"ratio": ("0", "1"), "ratio0": ("1",), "ratio1": ("0",)}
+
+
 def log_ratio(counts: DataFrame) -> DataFrame:
-    """w, ratio for every triple; counts: w, allow, block."""
-    sums = {c: f"sum_{c}" for c in ("allow", "block")}
-    total = counts.agg(*[F.sum(c).alias(c) for c in sums]).first()
-    cuts = {"two": F.substring("w", 1, 2), "last2": F.substring("w", 2, 2), "mid": F.substring("w", 2, 1), "last": F.substring("w", 3, 1)}
-    out = counts.withColumns(cuts)
-    for key in cuts:
-        own = counts.withColumns(cuts).groupBy(key).agg(*[F.sum(c).alias(f"{key}_{c}") for c in sums])
-        out = out.join(F.broadcast(own), key)
-    ps = []
-    for c in sums:
-        p = (F.col(f"last_{c}") + 1.0) / (float(total[c] or 0) + SYMBOLS)
-        p = (F.col(f"last2_{c}") + WEIGHT * p) / (F.col(f"mid_{c}") + WEIGHT)
-        ps.append((F.col(c) + WEIGHT * p) / (F.col(f"two_{c}") + WEIGHT))
-    return out.select("w", (F.log(ps[0]) - F.log(ps[1])).alias("ratio"))
+    """w and for each model the log ratio of the probabilities of its last character after the two before it."""
+    classes = {f"{v}_{m}": [f"{v}{h}" for h in halves] for m, halves in MODELS.items() for v in ("allow", "block")}
+    own = counts.select("w", *[sum(F.col(c) for c in parts).alias(n) for n, parts in classes.items()])
+    keys = {"two": F.substring("w", 1, 2), "pair": F.substring("w", 2, 2), "mid": F.substring("w", 2, 1), "last": F.substring("w", 3, 1)}
+    own = own.withColumns(keys)
+    add = lambda key: [F.sum(n).alias(f"{key}_{n}") for n in classes]
+    kinds = lambda key, of: [F.count_if(F.col(of + n) > 0).alias(f"{key}_kinds_{n}") for n in classes]
+    pairs = own.groupBy("pair", "mid").agg(*add("pair"))
+    by = {
+        "two": own.groupBy("two").agg(*add("two"), *kinds("two", "")),
+        "pair": pairs.drop("mid"),
+        "mid": pairs.groupBy("mid").agg(*[F.sum(f"pair_{n}").alias(f"mid_{n}") for n in classes], *kinds("mid", "pair_")),
+        "last": own.groupBy("last").agg(*add("last")),
+    }
+    total = own.agg(*[F.sum(n).alias(n) for n in classes]).first()
+    out = own
+    for key, table in by.items():
+        out = out.join(F.broadcast(table), key)  # 43 squared rows at most
+    logs = {}
+    for n in classes:
+        p = (F.col(f"last_{n}") + 1.0) / (float(total[n] or 0) + SYMBOLS)
+        for context, follower in (("mid", f"pair_{n}"), ("two", n)):
+            seen, different = F.col(f"{context}_{n}"), F.col(f"{context}_kinds_{n}")
+            p = F.when(seen > 0, (F.col(follower) + different * p) / (seen + different)).otherwise(p)
+        logs[n] = F.log(p)
+    return out.select("w", *[(logs[f"allow_{m}"] - logs[f"block_{m}"]).alias(m) for m in MODELS])
 
 
 def threshold(scores: DataFrame) -> float | None:
     """The middle of the step of the grid at which the two kinds' error rates have the smallest sum; None without both kinds."""
     # scores are means of log ratios, clipped to [-10, 10]: 2,001 rows for each verdict at most
-    grid = F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("score"))) / STEP).cast("int")
+    grid = F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("other_score"))) / STEP).cast("int")
     rows = scores.filter("rule_verdict is not null").groupBy("rule_verdict", grid.alias("g")).agg(F.sum("copies").alias("n")).collect()
     kinds = {v: {r["g"]: r["n"] for r in rows if r["rule_verdict"] == v} for v in ("allow", "block")}
     n = {v: sum(x.values()) for v, x in kinds.items()}
@@ -93,28 +111,29 @@ def threshold(scores: DataFrame) -> float | None:
 
 
 def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict, score."""
+    """page_id, host, path, rule, verdict, score, and other_score, by models of the other half."""
     host, path = parts(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = own.select("*", rule.alias("rule"), verdict.alias("rule_verdict"))
+    half = (F.substring(F.md5(F.concat("host", "path")), 1, 1) >= "8").cast("int")
+    own = own.select("*", rule.alias("rule"), verdict.alias("rule_verdict"), half.alias("half"))
     letters = own.select("*", F.explode(triples(F.col("host"), F.col("path"))).alias("w"))
-    count = lambda v: F.count(F.when(F.col("rule_verdict") == v, 1)).alias(v)
-    counts = C.scratch(letters.groupBy("w").agg(count("allow"), count("block")), "triples")
-    ratios = log_ratio(counts)
+    counts = [F.count_if((F.col("rule_verdict") == c[:-1]) & (F.col("half") == int(c[-1]))).alias(c) for c in COUNTS]
+    ratios = log_ratio(C.scratch(letters.groupBy("w").agg(*counts), "triples"))
     keys = ["page_id", "host", "path", "rule", "rule_verdict"]
-    scores = letters.join(F.broadcast(ratios), "w").groupBy(*keys).agg(F.avg("ratio").alias("score"), F.count("*").alias("n"))
+    other = F.when(F.col("half") == 0, F.col("ratio0")).otherwise(F.col("ratio1"))
+    scores = letters.join(F.broadcast(ratios), "w").groupBy(*keys).agg(F.avg("ratio").alias("score"), F.avg(other).alias("other_score"), F.count("*").alias("n"))
     # rows that repeat a page and address meet in one group: as often as their characters do
     length = F.size(triples(F.col("host"), F.col("path")))
-    scores = C.scratch(scores.select(*keys, "score", (F.col("n") / length).cast("int").alias("copies")), "scores")
+    scores = C.scratch(scores.select(*keys, "score", "other_score", (F.col("n") / length).cast("int").alias("copies")), "scores")
     limit = threshold(scores)
     model = F.lit("allow") if limit is None else F.when(F.col("score") >= limit, "allow").otherwise("block")
-    out = scores.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", model).alias("verdict"), "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = scores.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", model).alias("verdict"), "score", "other_score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.drop("copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(C.load(spark, sf_dir, "pages")).drop("score")
+    return judge(C.load(spark, sf_dir, "pages")).drop("score", "other_score")
 
 
 def _case(value) -> str:
@@ -123,27 +142,38 @@ def _case(value) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'" for h, p, v in by_length) + " END"
 
 
-def _smoothed(c: str) -> str:
-    total = f"(last_{c} + 1.0) / (all_{c} + {SYMBOLS})"
-    two = f"(last2_{c} + {WEIGHT} * ({total})) / (mid_{c} + {WEIGHT})"
-    return f"({c} + {WEIGHT} * ({two})) / (two_{c} + {WEIGHT})"
+def _models() -> str:
+    """The columns of the two models that one choice of counts gives, as CTEs by name of the choice."""
+    parts = []
+    for m, halves in MODELS.items():
+        sums = ", ".join(f"{' + '.join(v + h for h in halves)} AS {v}" for v in ("allow", "block"))
+        windows = ", ".join(
+            f"sum({v}) OVER (PARTITION BY substr(w, 1, 2)) AS two_{v}, count(*) FILTER ({v} > 0) OVER (PARTITION BY substr(w, 1, 2)) AS two_kinds_{v}, "
+            f"sum({v}) OVER (PARTITION BY substr(w, 2, 2)) AS pair_{v}, sum({v}) OVER (PARTITION BY substr(w, 3, 1)) AS last_{v}, sum({v}) OVER () AS all_{v}"
+            for v in ("allow", "block")
+        )
+        mids = ", ".join(f"sum({v}) AS mid_{v}, count(*) FILTER ({v} > 0) AS mid_kinds_{v}" for v in ("allow", "block"))
+        p = {}
+        for v in ("allow", "block"):
+            x = f"(last_{v} + 1.0) / (all_{v} + {SYMBOLS})"
+            for context, follower in (("mid", f"pair_{v}"), ("two", v)):
+                x = f"CASE WHEN {context}_{v} > 0 THEN ({follower} + {context}_kinds_{v} * ({x})) / ({context}_{v} + {context}_kinds_{v}) ELSE {x} END"
+            p[v] = x
+        parts.append(f"""c_{m} AS (SELECT w, {sums} FROM counts), s_{m} AS (SELECT w, substr(w, 2, 1) AS mid, allow, block, {windows} FROM c_{m}),
+  m_{m} AS (SELECT substr(pair, 1, 1) AS mid, {mids} FROM (SELECT substr(w, 2, 2) AS pair, sum(allow) AS allow, sum(block) AS block FROM c_{m} GROUP BY 1) GROUP BY 1),
+  r_{m} AS (SELECT w, ln({p["allow"]}) - ln({p["block"]}) AS {m} FROM s_{m} JOIN m_{m} USING (mid))""")
+    return ",\n  ".join(parts)
 
 
-_SUMS = ", ".join(
-    f"sum({c}) OVER (PARTITION BY substr(w, 1, 2)) AS two_{c}, sum({c}) OVER (PARTITION BY substr(w, 2, 2)) AS last2_{c}, "
-    f"sum({c}) OVER (PARTITION BY substr(w, 2, 1)) AS mid_{c}, sum({c}) OVER (PARTITION BY substr(w, 3, 1)) AS last_{c}, sum({c}) OVER () AS all_{c}"
-    for c in ("allow", "block")
-)
 SQL = f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
   h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-  u AS (SELECT *, {_case(lambda h, p, v: h + p)} AS rule, {_case(lambda h, p, v: v)} AS decided, '^^' || regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[^a-z0-9./_-]', '~', 'g') || '$' AS s FROM h),
-  letters AS (SELECT page_id, host, path, rule, decided, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS w FROM u),
-  counts AS (SELECT w, count(*) FILTER (decided = 'allow') AS allow, count(*) FILTER (decided = 'block') AS block FROM letters GROUP BY 1),
-  sums AS (SELECT w, allow, block, {_SUMS} FROM counts),
-  ratios AS (SELECT w, ln({_smoothed("allow")}) - ln({_smoothed("block")}) AS ratio FROM sums),
-  scores AS (SELECT page_id, host, path, rule, decided, avg(ratio) AS score FROM letters JOIN ratios USING (w) GROUP BY ALL),
-  grid AS (SELECT CAST(round(greatest(-10.0, least(10.0, score)) / {STEP}) AS INT) AS g, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b FROM scores WHERE decided IS NOT NULL GROUP BY 1),
+  u AS (SELECT *, {_case(lambda h, p, v: h + p)} AS rule, {_case(lambda h, p, v: v)} AS decided, substr(md5(host || path), 1, 1) >= '8' AS half, '^^' || regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[^a-z0-9./_-]', '~', 'g') || '$' AS s FROM h),
+  letters AS (SELECT page_id, host, path, rule, decided, half, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS w FROM u),
+  counts AS (SELECT w, {", ".join(f"count(*) FILTER (decided = '{c[:-1]}' AND {'' if c[-1] == '1' else 'NOT '}half) AS {c}" for c in COUNTS)} FROM letters GROUP BY 1),
+  {_models()},
+  scores AS (SELECT page_id, host, path, rule, decided, avg(ratio) AS score, avg(CASE WHEN half THEN ratio1 ELSE ratio0 END) AS other_score FROM letters JOIN r_ratio USING (w) JOIN r_ratio0 USING (w) JOIN r_ratio1 USING (w) GROUP BY ALL),
+  grid AS (SELECT CAST(round(greatest(-10.0, least(10.0, other_score)) / {STEP}) AS INT) AS g, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b FROM scores WHERE decided IS NOT NULL GROUP BY 1),
   loss AS (SELECT (coalesce(lag(g) OVER (ORDER BY g), g - 1) + g) / 2.0 AS middle,
       coalesce(sum(a) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / nullif(sum(a) OVER (), 0)
       + sum(b) OVER (ORDER BY g ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / nullif(sum(b) OVER (), 0) AS loss FROM grid),
