@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,21 +129,47 @@ def test_url_model(spark):
     got = {x.page_id: x for x in url_filter.judge(frame(spark, rows), rules).collect()}
     assert all(got[1000 + i].verdict == "allow" and got[2000 + i].verdict == "block" for i in range(20))
 
-    counts = {}
-    for i, u, _ in rows[:200]:
+    def half(u):
+        return int(hashlib.md5(u.removeprefix("http://").encode()).hexdigest()[0] >= "8")
+
+    def mean_ratio(u, train):
+        """By the formula: every context against the shorter one, by its occurrences and different followers."""
+        counts = [{}, {}]
+        for i, v, _ in train:
+            s = "^^" + v.removeprefix("http://") + "$"
+            for k in range(len(s) - 2):
+                counts[1 - i % 2][s[k : k + 3]] = counts[1 - i % 2].get(s[k : k + 3], 0) + 1
+
+        def p(w, c):
+            n = lambda f: sum(v for g, v in c.items() if f(g))
+            q = (n(lambda g: g[2] == w[2]) + 1) / (sum(c.values()) + url_filter.SYMBOLS)
+            for context, cut in ((w[1], slice(1, 2)), (w[:2], slice(0, 2))):
+                seen = n(lambda g: g[cut] == context)
+                kinds = len({g[2] for g in c if g[cut] == context})
+                if seen:
+                    q = (n(lambda g: g[cut] == context and g[2] == w[2]) + kinds * q) / (seen + kinds)
+            return q
+
         s = "^^" + u.removeprefix("http://") + "$"
-        for k in range(len(s) - 2):
-            counts.setdefault(s[k : k + 3], [0, 0])[1 - i % 2] += 1
+        return np.mean([np.log(p(s[k : k + 3], counts[0]) / p(s[k : k + 3], counts[1])) for k in range(len(s) - 2)])
+
+    for i in (200, 230):
+        assert got[rows[i][0]].score == pytest.approx(mean_ratio(rows[i][1], rows[:200]))
+    for i in (0, 7):
+        others = [r for r in rows[:200] if half(r[1]) != half(rows[i][1])]
+        assert got[i].other_score == pytest.approx(mean_ratio(rows[i][1], others))
+
 
-    def p(w, c):
-        n = lambda f: sum(v[c] for g, v in counts.items() if f(g))
-        q = (n(lambda g: g[2] == w[2]) + 1) / (n(lambda g: True) + url_filter.SYMBOLS)
-        q = (n(lambda g: g[1:] == w[1:]) + url_filter.WEIGHT * q) / (n(lambda g: g[1] == w[1]) + url_filter.WEIGHT)
-        return (counts.get(w, [0, 0])[c] + url_filter.WEIGHT * q) / (n(lambda g: g[:2] == w[:2]) + url_filter.WEIGHT)
+def test_url_oracle(spark, sf):
+    import duckdb
 
-    s = "^^" + rows[200][1].removeprefix("http://") + "$"
-    want = np.mean([np.log(p(s[k : k + 3], 0) / p(s[k : k + 3], 1)) for k in range(len(s) - 2)])
-    assert got[1000].score == pytest.approx(want)
+    from tidemark.llm import queries
+
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{sf}/pages.parquet'")
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(c.sql(queries.oracle_sql()["op3_url_filter"]).fetchall(), key=key)
+    assert sorted((tuple(r) for r in url_filter.query(spark, sf).collect()), key=key) == want
 
 
 def test_url_query(spark, sf):
@@ -176,21 +203,92 @@ def test_language_edges(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
-def fused(logs, declared, suffix, host):
-    """The posterior of one page by the formula, with the evidence given as log likelihoods."""
-    x = np.array(logs) + declared + suffix + np.log(host)
-    return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+WORDS = {"en": "the and of in to this that", "de": "der die das und ist ein"}
+
+
+def brute_languages(rows, model):
+    """Every page's posterior by the formulas, in plain loops."""
+    names = model.languages
+    facts = []
+    for i, url, page in rows:
+        text = html_extract.main_text(page)
+        logs = model.log_likelihoods(*C.utf8(pa.array([text])))[0].astype(float)
+        host = url.split("://", 1)[1].split("/")[0].lower()
+        said = re.search(r'<html[^>]*\slang="([a-z]+)', page or "")
+        e = np.exp(logs - logs.max())
+        facts.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], said[1] if said else "", logs, e / e.sum()))
+    total, n = len(facts), len(names)
+    prior = (sum(f[6] for f in facts) + 1) / (total + n)
+
+    def likelihood(column, value):
+        if value == "":
+            return np.zeros(n)
+        own = [f[6] for f in facts if f[column] == value]
+        share = (len(own) + 1) / (total + 2)
+        return np.log((sum(own) + language.SMOOTH * share) / (total * prior + language.SMOOTH))
+
+    out = {}
+    for f in facts:
+        above = prior
+        for column in (2, 1):
+            others = [g[6] for g in facts if g[column] == f[column] and g is not f]
+            above = (sum(others, np.zeros(n)) + language.SMOOTH * above) / (len(others) + language.SMOOTH)
+        x = f[5] + np.log(above) + likelihood(4, f[4]) + likelihood(3, f[3])
+        e = np.exp(x - x.max())
+        out[f[0]] = (names[int(x.argmax())], e.max() / e.sum())
+    return out
+
+
+def language_pages():
+    r = random.Random(3)
+    rows = []
+    for i in range(90):
+        own = r.choice(["en", "de"])
+        text = " ".join(r.choice(WORDS[own].split()) for _ in range(r.choice([0, 2, 30])))
+        said = r.choice(["", ' lang="en"', ' lang="de"', ' data-lang="en" lang="de"'])
+        rows.append((i, f"x://{r.choice('ab')}{r.randrange(3)}.{r.choice(['site', 'page'])}.{r.choice(['com', 'de'])}/", f"<html{said}><article><p>{text}</p></article>"))
+    return rows
+
+
+def test_language_brute(spark):
+    docs = spark.createDataFrame([(1, WORDS["en"], "en"), (2, WORDS["de"], "de")], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = {r.page_id: (r.lang, r.confidence) for r in language.identify(frame(spark, language_pages()), model).collect()}
+    want = brute_languages(language_pages(), model)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert max(abs(got[i][1] - want[i][1]) for i in want) < 1e-6
+
+
+def test_language_model_brute(spark):
+    """The text model's counts are those of the hashed trigrams of each language's documents."""
+    docs = [(i, f"{WORDS[k]} {i}", k) for i in range(40) for k in ("en", "de")]
+    model = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    for k, name in enumerate(model.languages):
+        table = np.full(1 << language.BITS, 0.05)
+        for _, t, lang in docs:
+            if lang == name:
+                t = re.sub("[^a-z]", " ", t.lower())
+                for j in range(len(t) - 2):
+                    if t[j : j + 2] != "  ":
+                        v = sum(ord(c) << s for c, s in zip(t[j : j + 3], (16, 8, 0), strict=True)) * 0x9E3779B1 % (1 << 32)
+                        table[v >> (32 - language.BITS)] += 1
+        assert np.allclose(model.log[k], np.log(table / table.sum()), atol=1e-4)
+
+
+def test_rare_languages_have_a_model(spark):
+    docs = spark.createDataFrame([(i, "x y z", "en") for i in range(300)] + [(1000, "qq ww", "fil")], "doc_id long, text string, lang string")
+    assert language.fit(docs, sample=10).languages == ["en", "fil"]
+    assert language.declared('<!doctype html><html data-lang="xx" lang=\'fil-PH\'>') == "fil" and language.declared("<p><html lang=en>") == ""
 
 
 def test_language_host_prior(spark):
     """A page without text takes its host's language."""
-    docs = spark.createDataFrame([(1, "the and of in to this that", "en"), (2, "der die das und ist ein", "de")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, WORDS["en"], "en"), (2, WORDS["de"], "de")], "doc_id long, text string, lang string")
     rows = [(i, f"x://a{i % 3}.site.com/", "<article><p>" + "der die das und ist ein " * 5 + "</p></article>") for i in range(30)]
     rows += [(100 + i, f"x://b{i % 3}.page.com/", "<article><p>" + "the and of in to this that " * 5 + "</p></article>") for i in range(30)]
     rows += [(200, "x://a1.site.com/", ""), (201, "x://new.page.com/", "")]
     got = {r.page_id: r for r in language.identify(frame(spark, rows), language.fit(docs)).collect()}
     assert got[200].lang == "de" and got[201].lang == "en" and got[200].confidence > got[201].confidence > 0.5
-    assert fused([0, 0], 0, 0, [0.9, 0.1])[0] == pytest.approx(0.9)
 
 
 def brute_warc(rows, min_bytes):

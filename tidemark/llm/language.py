@@ -3,12 +3,13 @@
 Four kinds of evidence are added in log space: the likelihood of the page's main text under byte-trigram models of
 the languages; the declared markup language and the address suffix, whose likelihoods are estimated from all pages by
 grouped aggregation; and a host prior that is smoothed hierarchically: host towards its domain, the domain towards
-all pages.
+all pages, each without the page that is judged, so that its own text counts once.
 
-The text models are trained on at most SAMPLE documents of known language, those with the smallest hashes of their
-ids; everything else covers all pages and whole texts. Edge cases: pages without text, address or declaration lack
-that evidence only; without any labelled document every page is `und`; repeated rows each get a row; other columns
-are not read.
+The text models are trained on at most SAMPLE documents of each language, those with the smallest hashes of their ids,
+so rare languages have a model too; more than LANGUAGES labels are refused. Everything else covers all pages and whole
+texts. Edge cases: pages without text, address or declaration lack that evidence only; a declaration is taken as it is
+written, up to its first mark; without any labelled document every page is `und`; repeated rows each get a row; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -18,20 +19,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .html_extract import main_text
+from .html_extract import BLOCK, main_text, tags
 from .url_filter import parts
 
-SAMPLE = 4_000
+SAMPLE, LANGUAGES = 1_000, 1_000
 BITS = 15
 #: The text's mean log likelihood counts as that of so many independent trigrams at most.
 TEXT_WEIGHT = 60
 SMOOTH = 5.0
 
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+_LANG = re.compile(r"(?<![^\s\"'/])(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
+
+
+def declared(page: str) -> str:
+    """The language that the html element names."""
+    for tag, opens, attributes, _, _ in tags(page):
+        if tag == "html" and opens and (m := _LANG.search(attributes)):
+            return m[1].lower()
+        if tag in BLOCK and tag not in ("html", "head"):
+            break
+    return ""
 
 
 def trigrams(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +81,11 @@ class TextModel:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     """docs: doc_id, text, lang."""
     C.tune(docs.sparkSession)
-    ids = docs.filter("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = docs.filter("lang is not null and doc_id is not null")
+    if known.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).drop("place")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, off in C.chunks(batches, "text"):
@@ -80,8 +95,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
             lang = pa.array(names.tolist(), pa.string()).take(pa.array(both >> BITS))
             yield pa.RecordBatch.from_pydict({"lang": lang, "h": pa.array((both & ((1 << BITS) - 1)).astype(np.int32)), "n": pa.array(n.astype(np.int64))})
 
-    # `sample` ids at most, and 2 ** BITS counts for each language, whatever the corpus
-    own = docs.filter("lang is not null").join(F.broadcast(ids), "doc_id").select("text", "lang")
+    # for each language `sample` ids at most, and 2 ** BITS counts, whatever the corpus
+    own = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
     counts: dict[str, tuple[list[int], list[int]]] = {}
     for lang, h, n in own.mapInArrow(count, "lang string, h int, n long").groupBy("lang", "h").agg(F.sum("n")).toLocalIterator():
         hashes, sums = counts.setdefault(lang, ([], []))
@@ -117,7 +132,7 @@ def identify(pages: DataFrame, model: TextModel, page_id: str = "page_id", url:
             blob = raw.tobytes()
             whole = [blob[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
             logs = model.log_likelihoods(*C.utf8(pa.array([main_text(x) for x in whole], pa.string())))
-            said = [m[1].lower()[:2] if (m := _LANG.search(x)) else "" for x in whole]
+            said = [declared(x) for x in whole]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "host": batch.column("host"), "declared": pa.array(said, pa.string()), "logs": pa.array(list(logs.astype(float)), pa.list_(pa.float64()))})
 
     facts = own.mapInArrow(read, f"page_id {kind}, host string, declared string, logs array<double>")
@@ -128,8 +143,6 @@ def identify(pages: DataFrame, model: TextModel, page_id: str = "page_id", url:
     ms = [F.col(f"m{k}") for k in range(len(names))]
     everywhere = facts.agg(*mass).first()
     prior = [((everywhere[k] or 0.0) + 1) / (total + len(names)) for k in range(len(names))]
-    smooth = lambda own, n, above: F.array(*[(m + SMOOTH * p) / (n + SMOOTH) for m, p in zip(own, above, strict=True)])
-
     def likelihood(key: str) -> DataFrame:
         """log P(value | language), smoothed towards the value's share of all pages."""
         got = facts.groupBy(key).agg(F.count("*").alias(f"n_{key}"), *mass)
@@ -137,15 +150,18 @@ def identify(pages: DataFrame, model: TextModel, page_id: str = "page_id", url:
         logs = F.array(*[F.log((m + SMOOTH * share) / (total * p + SMOOTH)) for m, p in zip(ms, prior, strict=True)])
         return got.select(key, f"n_{key}", F.when(F.col(key) == "", F.array(*[F.lit(0.0)] * len(names))).otherwise(logs).alias(f"l_{key}"))
 
-    domains = facts.groupBy("domain").agg(F.count("*").alias("n_domain"), *mass)
-    domains = C.scratch(domains.select("domain", "n_domain", smooth(ms, F.col("n_domain"), [F.lit(p) for p in prior]).alias("p_domain")), "domains")
-    hosts = C.scratch(facts.groupBy("host", "domain").agg(F.count("*").alias("n_host"), *mass), "hosts")
-    hosts = C.join_groups(hosts, domains, ["domain"], "n_domain", "host", max(total, 1))
-    hosts = hosts.select("host", "n_host", smooth(ms, F.col("n_host"), [F.col("p_domain")[k] for k in range(len(names))]).alias("p_host"))
-    out = facts.select("page_id", "host", "declared", "suffix", "logs")
+    domains = C.scratch(facts.groupBy("domain").agg(F.count("*").alias("n_domain"), F.array(*mass).alias("m_domain")), "domains")
+    hosts = C.scratch(facts.groupBy("host", "domain").agg(F.count("*").alias("n_host"), F.array(*mass).alias("m_host")), "hosts")
+    hosts = C.join_groups(hosts, domains.withColumn("all_domain", F.col("n_domain")), ["domain"], "n_domain", "host", max(total, 1)).drop("domain", "n_domain")
+    out = facts.select("page_id", "host", "declared", "suffix", "logs", F.col("p").alias("own"))
     for groups, key in ((hosts, "host"), (likelihood("declared"), "declared"), (likelihood("suffix"), "suffix")):
-        out = C.join_groups(out, C.scratch(groups, key), [key], f"n_{key}", "page_id", total).drop(f"n_{key}")
-    both = F.zip_with("logs", F.transform("p_host", lambda p: F.log(p)), lambda a, b: a + b)
+        out = C.join_groups(out, C.scratch(groups.withColumn("n", F.col(f"n_{key}")), key), [key], "n", "page_id", total).drop("n")
+    above = F.array(*[F.lit(p) for p in prior])
+    for key, n in (("domain", "all_domain"), ("host", "n_host")):
+        others = F.zip_with(f"m_{key}", "own", lambda m, p: F.greatest(m - p, F.lit(0.0)))
+        sums = F.zip_with(others, above, lambda m, p: m + SMOOTH * p)
+        above = F.transform(sums, lambda x: x / (F.col(n) - 1 + SMOOTH))  # noqa: B023
+    both = F.zip_with("logs", F.transform(above, lambda p: F.log(p)), lambda a, b: a + b)
     for column in ("l_declared", "l_suffix"):
         both = F.zip_with(both, column, lambda a, b: a + b)
     labels = F.array(*[F.lit(x) for x in names])
