@@ -310,6 +310,20 @@ def test_quality(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.95
 
 
+def test_quality_statistics_brute():
+    texts = [t for _, t in edge_rows()] + ["A-b (c) [d] {e} | f/g \\ #$% \"q\" 'x' ~`^_ @ <x>=+*&", "x\n\nx\ny\n", "ÀÉ日本🙂 ok!?"]
+    got = quality.statistics(*C.utf8(pa.array(texts)))
+    assert np.allclose(got, [brute.quality_statistics(t) for t in texts])
+
+
+def test_quality_brute(spark, sf):
+    rows = documents(spark, sf)
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+    want = brute.quality_scores(rows, labels, quality.SHRINK)
+    got = {r.doc_id: r.score for r in quality.query(spark, sf).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-4
+
+
 def test_quality_edges(spark):
     rows = edge_rows()
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -330,6 +344,22 @@ def test_empty_tables(spark):
     assert quality.classify(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, empty and long texts, repeated rows and clashing columns, through every stage."""
+    import corpus_pipeline as p
+
+    rows = edge_rows(seed=9, n=80) + STRAY + [(3, "one"), (3, "one"), (None, "w1 " * 40_000)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, LONG), (2, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 0), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    pieces = p.run(spark, f"{tmp_path}").collect()
+    ids = {r.doc_id for r in pieces}
+    assert {2, 7, None} <= ids and not any(r.doc_tokens == 121 for r in pieces)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), f"{tmp_path}").count() == 0, name
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
@@ -340,6 +370,9 @@ def test_pipeline(spark, sf):
         out = C.scratch(stage(spark, docs, sf), name)
         assert out.columns == columns
         kept = {r.doc_id for r in out.select("doc_id").collect()}
+        if name == "quality":
+            labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect()]
+            assert kept == {d for d, x in brute.quality_scores(rows, labels, quality.SHRINK).items() if x >= 0.3}
         if name == "exact_dedup":
             assert kept == {r.doc_id for r in exact_dedup.duplicate_groups(docs).filter("kept").collect()}
         if name == "near_dedup":
