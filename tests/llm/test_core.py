@@ -393,3 +393,4 @@ def test_maybe_in(spark, monkeypatch):
         got = C.maybe_in(rows, rows.filter("id % 7 = 0"), "t1").collect()
         assert len(got) == 3000 and all(r._maybe for r in got if r.id % 7 == 0)
         assert sum(r._maybe for r in got) < (440 if bits > 1 << 20 else 700)
+        assert C.within(rows, rows.filter("id % 7 = 0"), "t1").count() == 429 and C.without(rows, rows.filter("id % 7 = 0"), "t1").count() == 2571

@@ -101,13 +101,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 
 def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Adds _maybe: false only where no row of `wanted` has this key (a hash), so that others need not be shuffled.
+    """Adds _maybe: false only where no row of `wanted` has this key, so that others need not be shuffled.
 
     A bitmap of about eight bits per wanted row is broadcast, of at most MAX_BITS whatever the tables; beyond, more rows
     are true, and results stay the same.
     """
     bits = min(max(1 << 20, 1 << (8 * wanted.count()).bit_length()), MAX_BITS)
-    slot = F.pmod(F.col(key), F.lit(bits))
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
     bitmap = wanted.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bitmap"))
     at = F.bitmap_bit_position(slot).cast("int")
     byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
@@ -116,6 +116,17 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return both.select(*rows.columns, F.coalesce(bit, F.lit(False)).alias("_maybe"))
 
 
+def within(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Semi-join, for which only rows that may have a partner are shuffled."""
+    return maybe_in(rows, wanted, key).filter("_maybe").drop("_maybe").join(wanted, key, "left_semi")
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Anti-join, for which only rows that may have a partner are shuffled."""
+    own = maybe_in(rows, gone, key)
+    return own.filter("not _maybe").drop("_maybe").union(own.filter("_maybe").drop("_maybe").join(gone, key, "left_anti"))
+
+
 def with_row_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds t1 and t2, 128 bits that tell rows apart by id and text."""
     return docs.withColumns({"t1": F.xxhash64(doc_id, text), "t2": F.xxhash64(F.lit("again"), text, doc_id)})

@@ -8,8 +8,9 @@
    XOR of two odd sketches estimates their similarity; pairs that are clearly below the limit go, the rest are
    confirmed on the full sets. Links give components.
 4. Buckets whose members are in several components are looked at again. Their members are dealt in blocks of bounded
-   count and bytes. A task gets a block with its full sets, drops pairs by odd sketch, counts the intersections of the
-   rest, and emits components that it has joined: fewer rows than it has members, never pairs of documents. Buckets of
+   count and bytes. A task gets a block with odd sketches and keeps the members that may have a link to another
+   component in it; then it gets the full sets of these, counts their intersections, and emits the components that it
+   has joined: fewer rows than it has members, never pairs of documents. Buckets of
    one block are settled by that. Larger ones are dealt anew with the contracted components while that halves what
    lies outside of each bucket's largest component; the remainder is then compared with every block of its bucket.
 Components come from min-label propagation with pointer jumping; every step is a table in the shared folder.
@@ -233,27 +234,8 @@ def forest(pairs: np.ndarray) -> list[tuple[int, int]]:
 LEFT, RIGHT, BOTH = 1, 2, 3
 
 
-def join_components(similarity: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by unit (key, i, j). Emits components that links between left and right members join."""
-
-    def flush(parts: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(parts)
-        comp, role = t.column("comp").to_numpy(), t.column("role").to_numpy()
-        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(comp), -1)
-        left, right = np.flatnonzero(role & LEFT), np.flatnonzero(role & RIGHT)
-        ok = (distances(sketch[left], sketch[right]) <= limit) & (comp[left][:, None] != comp[right][None, :])
-        rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-        if not len(rows):
-            return None
-        left, right, ok = left[rows], right[columns], ok[np.ix_(rows, columns)]
-        shingles = t.column("shingles")
-        a, b = ([np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in side] for side in (left, right))
-        same = intersections(a, b)
-        either = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - same
-        p, q = np.nonzero(ok & (100 * same >= similarity * either))
-        joined = forest(np.unique(np.sort(np.stack([comp[left[p]], comp[right[q]]], axis=1), axis=1), axis=0))
-        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in joined], pa.int64()), "b": pa.array([x for _, x in joined], pa.int64())})
-
+def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each unit (key, i, j), by which they are sorted."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
@@ -264,13 +246,48 @@ def join_components(similarity: int, limit: int, batches: Iterator[pa.RecordBatc
                 continue
             unit = tuple(key[:, s])
             if held and unit != now:
-                if (out := flush(held)) is not None:
-                    yield out
+                yield pa.Table.from_batches(held)
                 held = []
             now = unit
             held.append(batch.slice(s, e - s))
-    if held and (out := flush(held)) is not None:
-        yield out
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(t: pa.Table, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left and right members of different components whose odd sketches allow a link, and which of them with which."""
+    comp, role = t.column("comp").to_numpy(), t.column("role").to_numpy()
+    sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(comp), -1)
+    left, right = np.flatnonzero(role & LEFT), np.flatnonzero(role & RIGHT)
+    ok = (distances(sketch[left], sketch[right]) <= limit) & (comp[left][:, None] != comp[right][None, :])
+    rows, columns = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    return left[rows], right[columns], ok[np.ix_(rows, columns)]
+
+
+def sift(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each unit that may have a link, in the roles in which they may."""
+    for t in by_unit(batches):
+        left, right, _ = _near(t, limit)
+        role = np.zeros(t.num_rows, np.int32)
+        role[left] |= LEFT
+        role[right] |= RIGHT
+        t = t.set_column(t.column_names.index("role"), "role", pa.array(role))
+        yield from t.filter(pa.array(role > 0)).to_batches()
+
+
+def join_components(similarity: int, limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Emits the components that links between left and right members of a unit join."""
+    for t in by_unit(batches):
+        left, right, ok = _near(t, limit)
+        if not len(left):
+            continue
+        comp, shingles = t.column("comp").to_numpy(), t.column("shingles")
+        a, b = ([np.frombuffer(shingles[int(i)].as_buffer(), np.uint64) for i in side] for side in (left, right))
+        same = intersections(a, b)
+        either = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - same
+        p, q = np.nonzero(ok & (100 * same >= similarity * either))
+        joined = forest(np.unique(np.sort(np.stack([comp[left[p]], comp[right[q]]], axis=1), axis=1), axis=0))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in joined], pa.int64()), "b": pa.array([x for _, x in joined], pa.int64())})
 
 
 def _sets(docs: DataFrame, places: DataFrame, ids: DataFrame, shingle: int, total: int) -> DataFrame:
@@ -342,6 +359,8 @@ def _open(members: DataFrame, comps: DataFrame, block: int) -> DataFrame:
     out = C.join_groups(labelled, buckets, ["key"], "size", "rep", labelled.count()).filter("size is not null")
     out = C.scratch(out.withColumn("minor", F.col("comp") != F.col("main")).drop("main"), "open")
     C.discard(labelled, buckets)
+    del labelled, kinds, buckets
+    C.release(members.sparkSession)
     return out
 
 
@@ -355,6 +374,10 @@ def _units(open_: DataFrame, turn: int, cross: bool) -> DataFrame:
     return minor.union(open_.select("key", each("minor_blocks").alias("i"), place("blocks").alias("j"), F.lit(RIGHT).alias("role"), "rep", "comp"))
 
 
+def _dealt(units: DataFrame) -> DataFrame:
+    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def _classified(docs: DataFrame, doc_id: str, text: str, similarity: int, block: int, shingle: int) -> DataFrame:
     """A row per document: number, doc_id, t1, t2, n_shingles, comp, component_id; comp is null without words."""
     C.tune(docs.sparkSession)
@@ -369,12 +392,16 @@ def _classified(docs: DataFrame, doc_id: str, text: str, similarity: int, block:
     places = C.scratch(full.groupBy("t1", "t2").agg(F.min("number").alias("rep"), F.count("*").alias("size")), "places")
     limit = largest_distance(similarity)
 
-    reps = full.join(groups.select(F.col("rep").alias("number")), "number", "left_semi").withColumnRenamed("number", "rep")
+    copies = C.join_groups(full.select("number", *same), groups.filter("size > 1").select(*same, "rep", "size"), same, "size", "number", total)
+    copies = C.scratch(copies.filter("number <> rep").select("number"), "copies")
+    C.release(docs.sparkSession)
+    reps = C.without(full.select("number", "n_shingles", "bands", "sketch"), copies, "number").withColumnRenamed("number", "rep")
     rows = reps.select("rep", F.col("n_shingles").alias("weight"), F.explode("bands").alias("key"))
     exploded = total * banding(similarity)[0]
     buckets = C.scratch(rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = C.scratch(C.join_groups(rows, buckets, ["key"], "size", "rep", exploded).filter("size is not null"), "members")
-    sketches = C.scratch(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "sketch"), "sketches")
+    C.release(docs.sparkSession)
+    sketches = C.scratch(C.within(reps.select("rep", "sketch"), C.scratch(members.select("rep").distinct(), "ids"), "rep"), "sketches")
     # texts move once: the sets of all members of buckets serve both looks
     sets = _sets(docs, places, sketches.select("rep"), shingle, total)
     C.discard(buckets, places)
@@ -393,18 +420,19 @@ def _classified(docs: DataFrame, doc_id: str, text: str, similarity: int, block:
     comps = components(links)
 
     # a bucket of two has been settled by its one pair
-    pool, profiles, turn, before = members.filter("size > 2").select("key", "rep", "weight"), None, 0, 0
+    pool, turn, before = members.filter("size > 2").select("key", "rep", "weight"), 0, 0
     while (minor := (open_ := _open(pool, comps, block)).filter("minor").count()):
-        if profiles is None:
-            profiles = C.scratch(sets.join(open_.select("rep").distinct(), "rep", "left_semi").join(sketches, "rep"), "profiles")
         cross = turn > 0 and 2 * minor > before
-        units = _units(open_, turn, cross).join(profiles, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        # sketches first: full sets travel only for members that may have a link in their unit
+        units = _dealt(_units(open_, turn, cross).join(sketches, "rep"))
+        units = C.scratch(units.mapInArrow(lambda it: sift(limit, it), units.schema), "units")
+        units = _dealt(units.join(sets, "rep"))
         joined = C.scratch(units.mapInArrow(lambda it: join_components(similarity, limit, it), "a long, b long").distinct(), "joined")
         comps = _merged(comps, joined, total)
         if cross:
             break
         pool, turn, before = open_.filter("blocks > 1").select("key", "rep", "weight"), turn + 1, minor
-    C.discard(members, sets, sketches, *([profiles] if profiles else []))
+    C.discard(members, sets, sketches)
     C.release(docs.sparkSession)
 
     labelled = groups.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "size", "lowest", F.coalesce("comp", "rep").alias("comp"))
