@@ -51,6 +51,21 @@ def test_minutes_bonds_rates(spark, tmp_path):
     assert [tuple(t) for t in tokens] == [("a", "NNG"), ("b", "VV")]
 
 
+def test_bond_layouts(spark, tmp_path):
+    """Files of two layouts, one with two rows, one without a content column."""
+    (tmp_path / "1.csv").write_text("Date,Title,Content,Link\n2024.01.02,t1,c1,l1\n2024.01.04,t4,c4,l4\n")
+    (tmp_path / "2.csv").write_text('Date,Title,Company,Content,PDF_URL\n2024.01.01,t2,ACME,"c2, c2",p2\n')
+    (tmp_path / "3.csv").write_text("Date,Title\n2024.01.03,t3\n")
+    good, bad = readers.bond_files(spark, str(tmp_path))
+    assert [(r.date, r.title, r.content, r.link) for r in good.collect()] == [("2024-01-01", "t2", "c2, c2", "p2"), ("2024-01-02", "t1", "c1", "l1"), ("2024-01-04", "t4", "c4", "l4")]
+    assert [tuple(r) for r in bad.collect()] == [("3.csv", "missing columns: content")]
+
+
+def test_news_source_from_address(spark, tmp_path):
+    write(tmp_path / "a.json", {"other": [{"title": "t", "content": LONG, "url": "https://www.yna.co.kr/1"}, {"title": "u", "content": LONG, "url": "x"}]})
+    assert sorted((r.title, r.source) for r in readers.news_months(spark, f"{tmp_path}/*.json").collect()) == [("t", "yonhap"), ("u", None)]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "k int, v string")
     for _ in range(2):
@@ -87,6 +102,19 @@ def test_connectors(spark):
     assert spark.read.format("test_pages").load().count() == 4
 
 
+def test_more_connectors(spark):
+    pages = spark.createDataFrame([("a", p, n) for p, n in enumerate([5, 0, 0, 4, 0, 0, 0, 9, 1])] + [("b", 0, 0), ("b", 1, 0)], "l string, p int, n int")
+    assert sorted((r.l, r.p) for r in connectors.until_empty(pages, "l", "p", "n").collect()) == [*(("a", k) for k in range(6)), ("b", 0), ("b", 1)]
+    assert [r.body for r in connectors.to_refetch(spark.createDataFrame([("x" * 300,), (None,), ("short",)], "body string")).collect()] == [None, "short"]
+    scripts = spark.createDataFrame([("<script>var items = [{title: 'a', url: 'u'}, {title: 'b', url: 'v'}];</script>",)], "body string")
+    assert [tuple(r) for r in connectors.script_items(scripts, "title: string, url: string", "items").collect()] == [("a", "u"), ("b", "v")]
+    failures = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([("good",), (None,), ("bad",)], "t string")
+    up = connectors.external(lambda t: t.upper() if t != "bad" else 1 / 0, failures)
+    assert [r[0] for r in texts.select(up(F.col("t"))).collect()] == ["GOOD", None, None] and failures.value == 1
+    assert connectors.half_years("2015-02-01", "2016-01-31") == [(20150201, 20150731), (20150801, 20160131)]
+
+
 def test_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -103,11 +131,12 @@ def test_stream_counts(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text("\n".join(json.dumps({"title": "t", "date": f"2024-01-{d:02d} 10:00:00", "source": "yonhap"}) for d in (1, 1, 2, 9)))
     stream = ingest.articles(spark, str(folder)).withColumn("ts", F.col("date").cast("timestamp"))
-    q = ingest.monthly_counts(stream.select("ts", "source"), "ts")
-    w = q.writeStream.outputMode("complete").format("memory").queryName("counts").start()
-    w.processAllAvailable()
-    w.stop()
-    assert {(str(r.day), r.n) for r in spark.sql("select * from counts").collect()} == {("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-09", 1)}
+    for q, name in ((ingest.daily_counts(stream.select("ts", "source"), "ts"), "days"), (ingest.monthly_counts(stream, "ts"), "months")):
+        w = q.writeStream.outputMode("complete").format("memory").queryName(name).start()
+        w.processAllAvailable()
+        w.stop()
+    assert {(str(r.day), r.n) for r in spark.sql("select * from days").collect()} == {("2024-01-01", 2), ("2024-01-02", 1), ("2024-01-09", 1)}
+    assert [tuple(r) for r in spark.sql("select * from months").collect()] == [("2024-01", "yonhap", 4)]
 
 
 def test_cli(spark, tmp_path):
@@ -119,4 +148,7 @@ def test_cli(spark, tmp_path):
         cli.main([stage, "--data", str(tmp_path), "--out", f"{tmp_path}/out"])
     corpus = {r.pk for r in spark.read.parquet(f"{tmp_path}/out/corpus").collect()}
     assert corpus == {"120240105001", "320240105001", "420240104001", "520240104001"}
+    for stage in ("train", "evaluate", "predict"):
+        cli.main([stage, "--data", str(tmp_path), "--out", f"{tmp_path}/out"])
+    assert spark.read.json(f"{tmp_path}/out/evaluation").columns[-1:] != [] and spark.read.parquet(f"{tmp_path}/out/predictions").count() == 4
     assert spark.read.parquet(f"{tmp_path}/out/ngrams").filter(F.array_contains("ngrams", "금리를")).count() >= 3

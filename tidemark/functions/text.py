@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,8 +64,37 @@ def whitespace_tokens(text: Column) -> Column:
     return F.transform(words, lambda t: F.struct(t.alias("token"), F.lit("NNG").alias("pos")))
 
 
-def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]]) -> Tokenizer:
-    """A tokenizer from a morphological tagger; `make` runs once per Python worker. A text on which it fails has no tokens."""
+def rule_tokens(rules: list[tuple[str, str]], other: str = "NNG") -> Tokenizer:
+    """A tokenizer without a morphological analyser: words get the part of speech of the first pattern that they match."""
+
+    def run(text: Column) -> Column:
+        def pos(word: Column) -> Column:
+            out = None
+            for pattern, name in rules:
+                hit = F.regexp_like(word, F.lit(pattern))
+                out = F.when(hit, name) if out is None else out.when(hit, name)
+            return F.lit(other) if out is None else out.otherwise(other)
+
+        return F.transform(whitespace_tokens(text), lambda t: F.struct(t["token"].alias("token"), pos(t["token"]).alias("pos")))
+
+    return run
+
+
+def morphs(text: Column, tokenizer: Tokenizer = whitespace_tokens) -> Column:
+    """The tokens of all parts of speech."""
+    return F.transform(tokenizer(text), lambda t: t["token"])
+
+
+def morphs_joined(text: Column, tokenizer: Tokenizer = whitespace_tokens) -> Column:
+    """The tokens joined by blanks, as they are given to a tagger a second time."""
+    return F.array_join(morphs(text, tokenizer), " ")
+
+
+def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]], failures: Accumulator | None = None) -> Tokenizer:
+    """A tokenizer from a morphological tagger; `make` runs once per Python worker.
+
+    A text on which it fails has no tokens, and is counted in `failures`.
+    """
     kind = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("pos", T.StringType())]))
 
     @F.pandas_udf(kind)
@@ -75,6 +105,8 @@ def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]]) -> Tokeni
             try:
                 return [{"token": t, "pos": p} for t, p in tag(text)] if text else []
             except Exception:
+                if failures is not None:
+                    failures.add(1)
                 return []
 
         for batch in batches:
@@ -184,6 +216,12 @@ def mentions(text: Column, keywords: str = FINANCE) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(keywords)), F.lit(False))
 
 
+def contains_json(column: Column, path: str, value) -> Column:
+    """Whether a JSON text has this value at the path; false for text that isn't JSON."""
+    kind = {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+    return F.coalesce(F.try_variant_get(F.try_parse_json(column), path, kind) == F.lit(value), F.lit(False))
+
+
 def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 

@@ -6,13 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def digest(keys: list) -> Column:
+    """A 256-bit digest of values; lengths and a mark for null keep different lists apart."""
+    parts = []
+    for k in keys:
+        text = (F.col(k) if isinstance(k, str) else k).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.unhex(F.sha2(F.concat(*parts), 256))
+
+
 def first_of(df: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key in the given order.
 
-    Long keys are hashed before the exchange, so texts are not moved as keys; equality is still decided by the keys.
+    Keys travel and are compared as a 256-bit digest, so texts are neither moved nor sorted as keys.
     """
-    keys = [F.col(k) if isinstance(k, str) else k for k in keys]
-    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
+    w = Window.partitionBy(digest(keys)).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -34,9 +42,11 @@ def flag_duplicates(df: DataFrame, keys: list, name: str = "duplicated") -> Data
 
 
 def duplicate_ids(df: DataFrame, key: Column | str, row_id: str) -> DataFrame:
-    """The sorted ids of the rows of each key that occurs more than once."""
+    """key, id, n of every row whose key occurs more than once: long form, since a key may have any number of rows."""
     key = F.col(key) if isinstance(key, str) else key
-    return df.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(row_id)).alias("ids"), F.count("*").alias("n")).filter("n > 1")
+    rows = df.select(key.alias("key"), F.col(row_id).alias("id"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(counts, "key").select("key", "id", "n")
 
 
 def hashed(df: DataFrame, column: str, order: list) -> DataFrame:

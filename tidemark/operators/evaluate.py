@@ -38,26 +38,49 @@ def cell_shares(cells: DataFrame) -> DataFrame:
     return cells.select(F.inline(rows))
 
 
+#: Ranges of probabilities that are ordered on their own.
+BINS = 4096
+
+
+def _bin() -> Column:
+    return F.least(F.floor(F.col("threshold") * BINS), F.lit(BINS - 1))
+
+
 def pr_curve(df: DataFrame, label: str = "label", proba: str = "proba") -> DataFrame:
     """threshold, precision, recall, f1 for each distinct probability, when that and more counts as class 1.
 
-    Counts are grouped by threshold first; the running sums are over the distinct thresholds.
+    Counts are grouped by threshold first. Running sums are within BINS ranges of probabilities, to which the sums of
+    the higher ranges are added, so no task sorts all thresholds.
     """
     by = df.groupBy(F.col(proba).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count("*").alias("_n"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    out = by.withColumns({"tp": F.sum("_p").over(w), "called": F.sum("_n").over(w)})
-    positives = df.agg(F.count_if(F.col(label) == 1).alias("positives"))
-    out = out.join(F.broadcast(positives))
+    by = by.withColumn("_bin", _bin())
+    ranges = by.groupBy("_bin").agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    higher = Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.select("_bin", F.coalesce(F.sum("_ps").over(higher), F.lit(0)).alias("_pb"), F.coalesce(F.sum("_ns").over(higher), F.lit(0)).alias("_nb"), F.sum("_ps").over(every).alias("positives"))
+    w = Window.partitionBy("_bin").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    out = by.join(F.broadcast(ranges), "_bin").withColumns({"tp": F.col("_pb") + F.sum("_p").over(w), "called": F.col("_nb") + F.sum("_n").over(w)})
     p, r = _ratio(F.col("tp"), F.col("called")), _ratio(F.col("tp"), F.col("positives"))
     return out.select("threshold", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"))
 
 
 def pr_auc(curve: DataFrame) -> DataFrame:
     """The area by trapezoids, from recall 0 at precision 1."""
-    w = Window.orderBy(F.desc("threshold"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    height = (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return curve.select((step * height).alias("area")).agg(F.sum("area").alias("auc"))
+    own = curve.select("threshold", "precision", "recall", _bin().alias("_bin"))
+    # the point before a range's first one is the last of the range before it
+    last = own.groupBy("_bin").agg(F.min(F.struct("threshold", "precision", "recall")).alias("_last"))
+    order = Window.orderBy(F.desc("_bin"))
+    last = last.select("_bin", F.lag("_last").over(order).alias("_last"))
+    w = Window.partitionBy("_bin").orderBy(F.desc("threshold"))
+    own = own.join(F.broadcast(last), "_bin")
+    before = lambda c, start: F.coalesce(F.lag(c).over(w), F.col(f"_last.{c}"), F.lit(start))
+    area = (F.col("recall") - before("recall", 0.0)) * (F.col("precision") + before("precision", 1.0)) / 2
+    return own.select(area.alias("area")).agg(F.sum("area").alias("auc"))
+
+
+def f1_summary(by_iteration: DataFrame, score: str = "f1") -> DataFrame:
+    """One row: mean and population deviation of a score over the splits, and their number."""
+    return by_iteration.agg(F.avg(score).alias("mean_f1"), F.stddev_pop(score).alias("std_f1"), F.count("*").alias("n"))
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:

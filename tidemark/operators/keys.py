@@ -44,3 +44,27 @@ def with_row_number(df: DataFrame, order: list, name: str = "row_id") -> DataFra
 
 def document_id(source: Column, day: Column, row: Column) -> Column:
     return F.concat_ws("_", source, F.date_format(day, "yyyyMMdd"), F.format_string("%06d", row))
+
+
+def document_metadata(df: DataFrame, order: list, source: str = "source", date: str = "date") -> DataFrame:
+    """Adds document_id (source, date without marks, running number of all rows), type, year, month and day, and the
+    empty fields that later stages fill. year, month and day are null unless the date is written with its time.
+    """
+    out = with_row_number(df, order, "_row")
+    stamp = F.translate(F.translate(date, " ", "_"), "-:", "")
+    when = F.try_to_timestamp(F.col(date), F.lit("yyyy-MM-dd HH:mm:ss"))
+    none = {c: F.lit(None).cast("double") for c in ("hawkish_score", "dovish_score", "sentiment_confidence", "call_rate", "call_rate_change")}
+    labels = {c: F.lit(None).cast("string") for c in ("sentiment_label", "market_label")}
+    lists = {c: F.array().cast("array<string>") for c in ("unigrams", "bigrams", "trigrams", "fourgrams", "fivegrams", "tokenized_content", "pos_tags", "filtered_tokens")}
+    own = {"document_id": F.concat_ws("_", source, stamp, F.format_string("%06d", "_row")), "document_type": F.lit("news"), "year": F.year(when), "month": F.month(when), "day": F.day(when)}
+    return out.withColumns(own | none | labels | lists).drop("_row")
+
+
+def even_parts(df: DataFrame, order: list, parts: int = 10, name: str = "part") -> DataFrame:
+    """Numbers 1 to `parts` in order, in parts whose sizes differ by one at most, without a window over one partition."""
+    out = with_row_number(df, order, "_row")
+    total = df.count()
+    small, larger = total // parts, total % parts
+    row = F.col("_row")
+    inside = F.when(row < larger * (small + 1), F.floor(row / (small + 1))).otherwise(larger + F.floor((row - larger * (small + 1)) / max(small, 1)))
+    return out.withColumn(name, (inside + 1).cast("long")).drop("_row")

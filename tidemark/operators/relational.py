@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import signed_points
@@ -69,6 +69,33 @@ def register_sql_functions(spark: SparkSession, predictions: str = "predictions"
                WHERE prediction_date BETWEEN start_date AND end_date AND actual_direction IS NOT NULL""")
 
 
+def register_sql_functions_of_text(spark: SparkSession) -> None:
+    """text_trigrams(t) and trigram_similarity(a, b)."""
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION text_trigrams(t STRING) RETURNS ARRAY<STRING>
+        RETURN array_distinct(flatten(transform(filter(split(lower(t), '(?U)[^\\\\p{L}\\\\p{N}]+'), w -> w <> ''),
+                                                w -> transform(sequence(1, length(w) + 1), i -> substring(concat('  ', w, ' '), i, 3)))))""")
+    spark.sql("""
+        CREATE OR REPLACE TEMPORARY FUNCTION trigram_similarity(a STRING, b STRING) RETURNS DOUBLE
+        RETURN coalesce(size(array_intersect(text_trigrams(a), text_trigrams(b))) / nullif(size(array_union(text_trigrams(a), text_trigrams(b))), 0), 0D)""")
+
+
 def row_counts(spark: SparkSession, tables: list[str]) -> dict[str, int]:
     """Rows of each table; 0 for one that doesn't exist."""
     return {t: spark.table(t).count() if spark.catalog.tableExists(t) else 0 for t in tables}
+
+
+def differs(column: Column, value) -> Column:
+    """Inequality that keeps nulls."""
+    return ~column.eqNullSafe(F.lit(value))
+
+
+def fill_at(df: DataFrame, row_id: str, rows: list, columns: list[str], value: str = "fillnull") -> DataFrame:
+    """Nulls of some rows, named by their ids, get a value."""
+    here = F.col(row_id).isin(*rows)
+    return df.withColumns({c: F.when(here, F.coalesce(c, F.lit(value))).otherwise(F.col(c)) for c in columns})
+
+
+def months_of_both(labels: DataFrame, documents: DataFrame, month: str = "month") -> DataFrame:
+    """Monthly counts of labels with those of documents, for months that have both."""
+    return labels.join(documents, month)

@@ -13,6 +13,12 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
 
 
+def counts_by_index(df: DataFrame, column: str) -> DataFrame:
+    """value_counts in the order of the values, with their place."""
+    out = value_counts(df, column)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(column))).orderBy(column)  # one row a value
+
+
 def pivot_counts(df: DataFrame, row: Column, column: str, values: list) -> DataFrame:
     """Counts by row and listed value, 0 where there are none."""
     return df.groupBy(row.alias("row")).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)

@@ -159,12 +159,16 @@ def ascii_ratio_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n"), X.is_english(F.col("text")).alias("english"))
 
 
-@query("""SELECT doc_id, 'src_' || lang || '_' || format('{:06d}', row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) AS document_id FROM documents""")
+@query("""SELECT o_orderkey, o_orderstatus || '_' || CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y%m%d_%H%M%S') ELSE strftime(o_orderdate, '%Y%m%d') END || '_' || format('{:06d}', row_number() OVER (ORDER BY o_orderkey) - 1) AS document_id,
+ 'news' AS document_type, CASE WHEN o_orderkey % 2 = 0 THEN CAST(year(o_orderdate) AS INT) END AS year, CASE WHEN o_orderkey % 2 = 0 THEN CAST(month(o_orderdate) AS INT) END AS month,
+ CASE WHEN o_orderkey % 2 = 0 THEN CAST(day(o_orderdate) AS INT) END AS day, CAST(NULL AS DOUBLE) AS hawkish_score, CAST(NULL AS VARCHAR) AS sentiment_label, 0 AS n_unigrams FROM orders""")
 def document_metadata(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("src_"), F.col("lang"), F.lit("_"), F.format_string("%06d", n)).alias("document_id"))
+    """Dates with and without a time; only the former have a year, month and day."""
+    date = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    date = F.when(F.col("o_orderkey") % 2 == 0, date).otherwise(F.substring(date, 1, 10))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("source"), date.alias("date"))
+    out = keys.document_metadata(own, ["o_orderkey"])
+    return out.select("o_orderkey", "document_id", "document_type", "year", "month", "day", "hawkish_score", "sentiment_label", F.size("unigrams").alias("n_unigrams"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents")
@@ -262,10 +266,9 @@ def dedup_url(spark, sf_dir):
     return dedup.by_url(own, ["page_id"])
 
 
-@query("SELECT md5(text) AS key, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT md5(text) AS key, doc_id AS id, n FROM (SELECT *, count(*) OVER (PARTITION BY md5(text)) AS n FROM documents) WHERE n > 1")
 def duplicate_groups(spark, sf_dir):
-    out = dedup.duplicate_ids(table(spark, sf_dir, "documents"), F.md5("text"), "doc_id")
-    return out.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "n")
+    return dedup.duplicate_ids(table(spark, sf_dir, "documents"), F.md5("text"), "doc_id")
 
 
 @query("SELECT doc_id, count(*) OVER (PARTITION BY lang, md5(text)) > 1 AS duplicated FROM documents")

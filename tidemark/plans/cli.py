@@ -8,11 +8,12 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..operators import evaluate as metrics
 from ..session import build
 from ..sources import readers, writers
 from . import pipeline
 
-STAGES = ("ingest", "corpus", "sentences", "ngrams", "train", "full")
+STAGES = ("ingest", "corpus", "sentences", "ngrams", "train", "evaluate", "predict", "full")
 
 
 def ingest(spark, data: str, out: str) -> None:
@@ -47,11 +48,26 @@ def ngrams(spark, data: str, out: str) -> None:
 
 
 def train(spark, data: str, out: str) -> None:
-    result = pipeline.train(spark.read.parquet(f"{out}/ngrams"), pipeline.Settings())
+    def bags(df):
+        df.write.mode("overwrite").parquet(f"{out}/bags")
+        return spark.read.parquet(f"{out}/bags")
+
+    result = pipeline.train(spark.read.parquet(f"{out}/ngrams"), pipeline.Settings(), bags)
     for name in ("vocabulary", "polarity", "by_iteration", "ensemble", "honest"):
         getattr(result, name).write.mode("overwrite").parquet(f"{out}/{name}")
 
 
+def evaluate(spark, data: str, out: str) -> None:
+    """Mean and deviation of the splits' F1 beside the honest ensemble's measures, as one JSON object."""
+    summary = metrics.f1_summary(spark.read.parquet(f"{out}/by_iteration")).join(spark.read.parquet(f"{out}/honest"))  # one row each
+    summary.coalesce(1).write.mode("overwrite").json(f"{out}/evaluation")
+
+
+def predict(spark, data: str, out: str) -> None:
+    """The direction of every document, from the polarities of its n-grams."""
+    pipeline.predict(spark.read.parquet(f"{out}/ngrams"), spark.read.parquet(f"{out}/polarity")).write.mode("overwrite").parquet(f"{out}/predictions")
+
+
 def main(argv: list[str] | None = None) -> dict[str, str]:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("stage", choices=STAGES)

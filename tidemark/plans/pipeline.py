@@ -1,11 +1,12 @@
 """The end-to-end flow: corpus, sentences, n-grams, repeated splits, polarity, evaluation.
 
-Everything is one lazy plan but for `materialise`, which writes a table and reads it back: after tokenizing, the only
-expensive opaque step, since the counts, the bags and the scoring all read its result.
+Everything is one lazy plan but for what `materialise` does to the bags, which the counts, the models and the scoring all
+read: callers that write several results pass a function that writes them to a table and reads it back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -68,14 +69,14 @@ class Result:
     honest: DataFrame
 
 
-def train(rows: DataFrame, settings: Settings) -> Result:
+def train(rows: DataFrame, settings: Settings, materialise: Callable[[DataFrame], DataFrame] = lambda df: df) -> Result:
     """rows: sentence_id, label, ngrams.
 
     by_iteration has each split's metrics on its own test rows. `ensemble` votes on a split that the models were
     trained on (as published); `honest` votes on each row only with the models that didn't see it.
     """
     words = vocabulary.vocabulary(rows, minimum=settings.minimum)
-    bags = vocabulary.restrict(vocabulary.bag(rows, "sentence_id", carry=["label"]), words)
+    bags = materialise(vocabulary.restrict(vocabulary.bag(rows, "sentence_id", carry=["label"]), words))
     ids = bags.select("sentence_id", "label").distinct()
     tests = bayes.tests_by_hash(ids, "sentence_id", iterations=settings.iterations, share=settings.share, seed=settings.seed)
     models, prior = bayes.split_models(ids, bags, tests, "sentence_id", settings.iterations)
@@ -86,3 +87,15 @@ def train(rows: DataFrame, settings: Settings) -> Result:
     seen = bags.join(every.select("sentence_id", "iter"), "sentence_id")
     voted = bayes.vote(bayes.predict(every, seen, models, prior, "sentence_id", ["iter"]), "sentence_id")
     return Result(words, bayes.polarity(models), evaluate.metrics(scored, ["iter"]), evaluate.metrics(voted), evaluate.metrics(bayes.vote(scored, "sentence_id")))
+
+
+def predict(rows: DataFrame, polarity: DataFrame, row_id: str = "pk") -> DataFrame:
+    """row_id, score, matched, pred of rows with ngrams: the sum of the polarities of their n-grams, and its sign.
+
+    A row without any known n-gram has a null prediction.
+    """
+    counts = rows.select(row_id, F.explode("ngrams").alias("ngram")).groupBy(row_id, "ngram").agg(F.count("*").alias("tf"))
+    known = counts.join(polarity.select("ngram", "mean_score"), "ngram").groupBy(row_id)
+    known = known.agg(F.sum(F.col("tf") * F.col("mean_score")).alias("score"), F.sum("tf").alias("matched"))
+    out = rows.select(row_id).distinct().join(known, row_id, "left")
+    return out.select(row_id, "score", F.coalesce("matched", F.lit(0)).alias("matched"), F.when(F.col("score") > 0, 1).when(F.col("score").isNotNull(), 0).alias("pred"))

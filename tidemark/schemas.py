@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ARTICLE = "title string, content string, date string, url string, source string, keyword string, content_length long"
-NEWS_MONTH = f"yonhap array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in ARTICLE.split(','))}>>"
-NEWS_MONTH = ", ".join(NEWS_MONTH.replace("yonhap", s, 1) for s in ("yonhap", "edaily", "infomax"))
+NEWS_MONTH = f"map<string, array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in ARTICLE.split(','))}>>>"
 NEWS_SAMPLE = "date string, title string, content string, link string, author string, keyword string, source string, source_section string, content_length double, relevance_score double"
 MINUTES = "title string, date string, year string, content string, discussion string, decision string, pdf_url string, pdf_pages int, status string, error string"
 BOND = "date string, title string, content string, link string"

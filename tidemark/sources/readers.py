@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import dates as D
 from ..functions.cleansing import clean
-from ..operators.dedup import within_file
+from ..operators.dedup import first_of, within_file
 from ..operators.keys import source_of_link
 
 # The contents that the cleansers keep are longer than this.
 MIN_NEWS, MIN_MINUTES, MIN_BOND = 10, 50, 20
 
 
+NEWS_SOURCES = ("yonhap", "edaily", "infomax")
+#: Columns that a report's CSV file may have.
+WIDTH = 32
+
+
+def file_name() -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)
+
+
 def _or_empty(read, spark: SparkSession, schema: str) -> DataFrame:
     try:
         return read()
@@ -25,18 +34,17 @@ def _or_empty(read, spark: SparkSession, schema: str) -> DataFrame:
         raise
 
 
-def news_months(spark: SparkSession, path: str) -> DataFrame:
+def news_months(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
     """Month files, each an object of article lists by source; names with `summary` are left out.
 
     file, source, position, and the article's fields.
     """
-    raw = spark.read.schema(S.NEWS_MONTH).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    raw = raw.withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0)).filter(~F.col("file").contains("summary"))
-    sources = [s for s in ("yonhap", "edaily", "infomax")]
-    lists = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("articles")) for s in sources])
-    rows = raw.select("file", F.explode(lists).alias("l")).select("file", F.col("l.name").alias("source_key"), F.posexplode("l.articles").alias("position", "a"))
-    link_source = source_of_link(F.col("a.url"))
-    return rows.select("file", F.coalesce("source_key", link_source).alias("source"), "position", "a.title", "a.content", "a.date", "a.url", "a.keyword", "a.content_length")
+    raw = spark.read.option("wholetext", True).option("pathGlobFilter", names).option("recursiveFileLookup", True).text(path)
+    raw = raw.withColumn("file", file_name()).filter(~F.col("file").contains("summary"))
+    rows = raw.select("file", F.explode(F.from_json("value", S.NEWS_MONTH)).alias("key", "articles")).select("file", "key", F.posexplode("articles").alias("position", "a"))
+    # the key names the source; an unknown key leaves it to the address
+    source = F.coalesce(F.when(F.col("key").isin(*NEWS_SOURCES), F.col("key")), source_of_link(F.col("a.url")))
+    return rows.select("file", source.alias("source"), "position", "a.title", "a.content", "a.date", "a.url", "a.keyword", "a.content_length")
 
 
 def cleaned_news(raw: DataFrame) -> DataFrame:
@@ -46,9 +54,9 @@ def cleaned_news(raw: DataFrame) -> DataFrame:
     return own.filter(F.length("content") > MIN_NEWS)
 
 
-def news_list(spark: SparkSession, path: str) -> DataFrame:
-    """Flat lists, whose address field is `link`."""
-    return spark.read.schema(S.NEWS_SAMPLE).option("multiLine", True).json(path)
+def news_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Flat lists, whose address field is `link`; with lines an object a line instead of a list a file."""
+    return spark.read.schema(S.NEWS_SAMPLE).option("multiLine", not lines).json(path)
 
 
 def news_year(spark: SparkSession, folder: str, year: int, month: int | None = None) -> DataFrame:
@@ -56,9 +64,9 @@ def news_year(spark: SparkSession, folder: str, year: int, month: int | None = N
     return news_months(spark, f"{folder.rstrip('/')}/{names}")
 
 
-def minutes(spark: SparkSession, path: str) -> DataFrame:
+def minutes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Content falls back to discussion and decision."""
-    raw = _or_empty(lambda: spark.read.schema(S.MINUTES).option("multiLine", True).json(path), spark, S.MINUTES)
+    raw = _or_empty(lambda: spark.read.schema(S.MINUTES).option("multiLine", not lines).json(path), spark, S.MINUTES)
     parts = F.concat_ws("\n", F.coalesce("discussion", F.lit("")), F.coalesce("decision", F.lit("")))
     parts = F.when((F.coalesce("discussion", F.lit("")) == "") & (F.coalesce("decision", F.lit("")) == ""), "").otherwise(parts)
     return raw.withColumn("content", F.coalesce(F.nullif("content", F.lit("")), parts))
@@ -69,36 +77,42 @@ def cleaned(df: DataFrame, chain: str, minimum: int) -> DataFrame:
     return own.filter(F.length("content") > minimum)
 
 
-def bonds(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(lambda: spark.read.schema(S.BOND).option("multiLine", True).json(path), spark, S.BOND)
+def bonds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _or_empty(lambda: spark.read.schema(S.BOND).option("multiLine", not lines).json(path), spark, S.BOND)
 
 
 def bond_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Reports of one CSV file each, sorted by date, and the files that couldn't be used with the reason."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(f"{folder.rstrip('/')}/*.csv")
-    names = {c.lower(): c for c in raw.columns}
-    missing = [c for c in ("date", "title", "content") if c not in names]
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+$", 0).alias("file")
-    if missing:
-        none = spark.createDataFrame([], S.BOND + ", file string")
-        return none, raw.select(file).distinct().withColumn("error", F.lit(f"missing columns: {', '.join(missing)}"))
-    link = F.col(names["link"]) if "link" in names else F.col(names["pdf_url"]) if "pdf_url" in names else F.lit(None).cast("string")
-    own = raw.select(F.regexp_replace(names["date"], r"\.", "-").alias("date"), F.col(names["title"]).alias("title"), F.col(names["content"]).alias("content"), link.alias("link"), file)
+    """Reports of small CSV files, sorted by date, and the files or rows that couldn't be used with the reason.
+
+    Each file is read by its own header, so files of several layouts may lie in one folder.
+    """
+    cells = [f"c{k}" for k in range(WIDTH)]
+    reader = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
+    raw = reader.option("recursiveFileLookup", True).csv(folder).select(F.col("_metadata.file_path").alias("path"), file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells"))
+    first = F.min(F.struct("place", "cells"))
+    heads = raw.groupBy("path", "file").agg(first["place"].alias("head"), F.transform(first["cells"], lambda c: F.lower(F.trim(c))).alias("names"))
+    required = F.array(*[F.lit(c) for c in ("date", "title", "content")])
+    heads = heads.withColumn("missing", F.array_except(required, "names"))
+    broken = heads.filter(F.size("missing") > 0).select("file", F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")).alias("error"))
+    rows = raw.join(heads.filter(F.size("missing") == 0).drop("file"), "path").filter("place <> head")
+    value = lambda name: F.get("cells", (F.array_position("names", name) - 1).cast("int"))
+    link = F.coalesce(*[F.when(F.array_contains("names", n), value(n)) for n in ("link", "pdf_url")])
+    own = rows.select(F.regexp_replace(value("date"), r"\.", "-").alias("date"), value("title").alias("title"), value("content").alias("content"), link.alias("link"), "file")
     empty = F.coalesce(F.trim("content"), F.lit("")).isin("", "nan")
-    bad = own.filter(empty).select("file", F.lit("no content").alias("error"))
-    return own.filter(~empty).orderBy("date", "file"), bad
+    return own.filter(~empty).orderBy("date", "file"), broken.union(own.filter(empty).select("file", F.lit("no content").alias("error")))
 
 
 def call_rates(spark: SparkSession, path: str) -> DataFrame:
     """The daily series with its published column names; one row for each date."""
     raw = spark.read.option("header", True).csv(path).withColumnsRenamed(S.RATE_COLUMNS)
     own = [F.col(c).try_cast("double").alias(c) if c != "date" else D.lenient(F.col("date")).alias("date") for c in S.RATE_COLUMNS.values() if c in raw.columns]
-    return raw.select(*own).filter("date is not null").dropDuplicates(["date"])
+    rows = raw.select(*own).filter("date is not null")
+    return first_of(rows, ["date"], [F.col(c).asc_nulls_last() for c in rows.columns if c != "date"] or ["date"])
 
 
-def base_rates(spark: SparkSession, path: str) -> DataFrame:
+def base_rates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """date and rate of `연도`, `날짜` and `기준금리` columns; dates are `N월 N일` or written in full, rates may have a `%`."""
-    raw = spark.read.option("multiLine", True).json(path)
+    raw = spark.read.option("multiLine", not lines).json(path)
     day = F.coalesce(D.dashed(F.col("날짜")), D.month_day(F.col("연도"), F.col("날짜")))
     return raw.select(day.alias("date"), F.regexp_replace(F.col("기준금리").cast("string"), "%", "").try_cast("double").alias("rate"))
 
@@ -124,11 +138,11 @@ def jdbc_query(spark: SparkSession, url: str, query: str, **options) -> DataFram
 
 
 def file_counts(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> dict[str, int]:
-    """Items of each source: ("list", path) counts the elements of JSON lists, ("files", glob) files; 0 for a missing one."""
+    """Items of each source: ("list", path) counts the elements of JSON lists, ("lines", path) lines, ("files", glob) files; 0 for a missing one."""
     out = {}
     for name, (kind, path) in folders.items():
         try:
-            out[name] = spark.read.option("multiLine", True).json(path).count() if kind == "list" else spark.read.format("binaryFile").load(path).select("path").count()
+            out[name] = spark.read.option("multiLine", kind == "list").json(path).count() if kind in ("list", "lines") else spark.read.format("binaryFile").load(path).select("path").count()
         except AnalysisException:
             out[name] = 0
     return out

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import relational
 from ..operators.dedup import first_of
+from ..operators.keys import even_parts
 from ..operators.reports import first_alphabetically
 
 
@@ -65,3 +66,18 @@ def pending(df: DataFrame, path: str, key: str) -> DataFrame:
 
 def mark_done(df: DataFrame, path: str, key: str) -> None:
     df.select(key).distinct().filter(F.col(key).isNotNull()).write.mode("append").parquet(path)
+
+
+def append_one(spark: SparkSession, path: str, schema: str, **values) -> None:
+    """One row, committed on its own."""
+    spark.createDataFrame([values], schema).write.mode("append").parquet(path)
+
+
+def predictions(scored: DataFrame, path: str, label: str = "label", proba: str = "proba") -> None:
+    """Labels and probabilities, from which curves are drawn."""
+    scored.select(label, proba).write.mode("errorifexists").parquet(path)
+
+
+def shards(df: DataFrame, path: str, parts: int = 10, order: list | None = None) -> None:
+    """A fixed number of shards, as folders part=1 and so on, of sizes that differ by one row at most."""
+    even_parts(df, order or df.columns, parts).write.mode("errorifexists").partitionBy("part").parquet(path)
