@@ -61,7 +61,7 @@ def read_minutes(spark, sf_dir):
     return readers.minutes(spark, path, lines=True).select(F.col("title").cast("long").alias("doc_id"), F.md5("content").alias("digest"))
 
 
-@query("SELECT 0 AS layout, n_nationkey AS id, '2024-01-02' AS date, n_name AS content, 'l' || n_nationkey AS link FROM nation UNION ALL SELECT 1, r_regionkey, '2024-01-01', r_name, 'p' || r_regionkey FROM region")
+@query("SELECT 0 AS layout, CAST(n_nationkey AS BIGINT) AS id, '2024-01-02' AS date, n_name AS content, 'l' || n_nationkey AS link FROM nation UNION ALL SELECT 1, r_regionkey, '2024-01-01', r_name, 'p' || r_regionkey FROM region")
 def read_bond_files(spark, sf_dir):
     """One CSV file for each row, in two layouts, in one folder."""
     path = shared_folder(spark, "bonds")
@@ -81,11 +81,11 @@ def read_bonds(spark, sf_dir):
     return both.select(F.col("title").cast("long").alias("id"), "content")
 
 
-@query(f"WITH {_RATES} SELECT date, round(rate, 6) AS call_rate, round(rate / 2, 6) AS cd_91d FROM rates")
+@query(f"WITH {_RATES} SELECT date, round(rate, 6) AS call_rate, round(rate * 2, 6) AS cd_91d FROM rates")
 def read_call_rates(spark, sf_dir):
     """The published column names, every third day twice."""
     path = shared_folder(spark, "rates")
-    own = rates(spark, sf_dir).select(F.date_format("date", "yyyy-MM-dd").alias("날짜"), F.col("rate").alias("콜금리"), (F.col("rate") / 2).alias("CD(91일)"))
+    own = rates(spark, sf_dir).select(F.date_format("date", "yyyy-MM-dd").alias("날짜"), F.col("rate").alias("콜금리"), (F.col("rate") * 2).alias("CD(91일)"))
     writers.csv(own.union(own.filter(F.day("날짜") % 3 == 0)), path)
     return rounded(readers.call_rates(spark, path), "call_rate", "cd_91d")
 
