@@ -1,6 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from tests.llm import brute
 from tests.llm.data import edge_rows, frame
 from tidemark.llm import substring_dedup as S
@@ -20,6 +24,24 @@ def test_frequent_passage(spark):
     assert sorted(tuple(x) for x in S.remove_repeats(frame(spark, rows)).collect()) == sorted(brute.repeats(rows))
 
 
+def test_shared_fingerprints_brute():
+    """The same rows for every way to cut them into batches."""
+    r = np.random.default_rng(1)
+    for t in range(100):
+        rows = sorted(zip(r.integers(0, 12, size=60).tolist(), r.integers(0, 3 + t % 5, size=60).tolist(), strict=True))
+        docs = {f: {d for g, d in rows if g == f} for f, _ in rows}
+        want = {(f, d, d > min(docs[f])) for f, d in rows if len(docs[f]) > 1}
+        cuts = [0, *sorted(r.integers(0, 61, size=t % 7).tolist()), 60]
+        batches = [pa.RecordBatch.from_pydict({"fp": pa.array([x[0] for x in rows[a:b]], pa.int64()), "doc_id": pa.array([x[1] for x in rows[a:b]], pa.int64())}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        got = [tuple(x.values()) for b in S.shared_fingerprints(iter(batches)) for x in b.to_pylist()]
+        assert set(got) == want and len({x for x in got if not x[2]}) == len([x for x in got if not x[2]])
+
+
+def test_string_ids(spark):
+    with pytest.raises(ValueError):
+        S.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_query(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in S.query(spark, sf).collect()) == sorted(brute.repeats(docs))

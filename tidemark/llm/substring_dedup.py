@@ -11,13 +11,16 @@ may broadcast them, and streaming all documents through all shards is quadratic.
 spans: the windows of `window` words that two documents share.
 1. Winnowing: the smallest hash of a window's GRAM-word grams is its fingerprint. Equal windows have equal
    fingerprints, and neighbouring windows mostly share theirs, so a document has few. (fingerprint, document) pairs
-   are dealt by fingerprint; only fingerprints of two documents go on. Very frequent ones are known from a sample to
-   be of several documents, so they take part without being dealt.
+   are dealt by fingerprint and sorted; only fingerprints of two documents go on. The FREQUENT most frequent ones of a
+   sample are known to be of several documents, so they take part without being dealt; any other one has less than
+   1 / FREQUENT of the sample's pairs, so no task gets a hot one.
 2. Windows of the remaining fingerprints are grouped by their own 64-bit hash, pre-aggregated: smallest document.
 3. Windows whose smallest document is another one mark their words; the rest is joined by single spaces.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose nothing; repeats within one document
-stay; rows that share a doc_id count as one document for each other but each get a row; other columns are not read.
+stay; rows that share a doc_id count as one document for each other but each get a row; rows without a doc_id lose and
+lend nothing; ids are integers, since windows are judged by smaller ids, and others are refused; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -78,24 +81,35 @@ def emit_fingerprints(window: int, frequent: np.ndarray, batches: Iterator[pa.Re
 
 
 def shared_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a fingerprint are in this partition; keeps those of several documents, and says who isn't first."""
-    parts = [(b.column("fp").to_numpy(), b.column("doc_id").to_numpy()) for b in batches]
-    if not parts:
-        return
-    fp, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
-    order = np.lexsort((doc, fp))
-    fp, doc = fp[order], doc[order]
-    if not len(fp):
-        return
-    begin = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-    size = np.diff(np.append(begin, len(fp)))
-    lowest = np.repeat(doc[begin], size)
-    keep = np.repeat(doc[begin + size - 1] != doc[begin], size)
-    for at in range(0, len(fp), 1 << 20):
-        s = slice(at, at + (1 << 20))
-        k = keep[s]
-        yield pa.RecordBatch.from_pydict({"fp": pa.array(fp[s][k]), "doc_id": pa.array(doc[s][k]), "later": pa.array((doc[s] > lowest[s])[k])})
+    """Rows come sorted by fingerprint and document; keeps those of several documents, and says who isn't first.
+
+    Only the open group's fingerprint and first document are held from batch to batch; of the first document's rows one
+    is kept, as soon as another document turns up.
+    """
+    held_fp = held_doc = None
+    waiting = False  # whether the open group's first document has yet to be sent
+    for batch in batches:
+        fp, doc = batch.column("fp").to_numpy(), batch.column("doc_id").to_numpy()
+        if not len(fp):
+            continue
+        start = np.ones(len(fp), bool)
+        start[1:] = fp[1:] != fp[:-1]
+        start[0] = held_fp is None or fp[0] != held_fp
+        group = np.cumsum(start)
+        own = np.flatnonzero(start)
+        lowest = np.concatenate([[held_doc or 0], doc[own]])
+        later = doc > lowest[group]
+        several = np.bincount(group[later], minlength=len(lowest)) > 0
+        first_fp, first_doc = fp[own][several[1:]], doc[own][several[1:]]
+        if waiting and several[0]:
+            first_fp, first_doc = np.append(first_fp, held_fp), np.append(first_doc, held_doc)
+        yield pa.RecordBatch.from_pydict({
+            "fp": pa.array(np.concatenate([fp[later], first_fp]), pa.int64()),
+            "doc_id": pa.array(np.concatenate([doc[later], first_doc]), pa.int64()),
+            "later": pa.array(np.arange(later.sum() + len(first_fp)) < later.sum()),
+        })
+        waiting = (waiting or len(own) > 0) and not several[-1]
+        held_fp, held_doc = fp[-1], lowest[-1]
 
 
 def _values(lists, i: int) -> np.ndarray:
@@ -167,6 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     """doc_id, n_words, n_removed, kept_sha256; with keep_text also the kept words."""
     spark = docs.sparkSession
     C.tune(spark)
+    if dict(docs.dtypes)[doc_id] not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{doc_id} must be an integer")
     # t tells rows apart that share a doc_id
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("t"))
     pairs = "fp long, doc_id long"
@@ -177,7 +193,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
 
     # "later" rows may lose words; the first document of a fingerprint only lends its windows
     named = docs.filter("doc_id is not null")
-    dealt = named.mapInArrow(lambda it: emit_fingerprints(window, frequent, it), pairs).repartition("fp")
+    dealt = named.mapInArrow(lambda it: emit_fingerprints(window, frequent, it), pairs).repartition("fp").sortWithinPartitions("fp", "doc_id")
     shared = dealt.mapInArrow(shared_fingerprints, "fp long, doc_id long, later boolean")
     lists = shared.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), F.col("fp"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("fp"))).alias("firsts"))
     lists = C.scratch(lists, "fingerprints")
@@ -190,11 +206,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     C.release(spark)
 
     all_ = windows.select("doc_id", F.explode(F.array_distinct(F.concat("w", "w_first"))).alias("win"))
-    lowest = C.scratch(all_.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("win", "lo"), "lowest")
+    lowest = C.scratch(all_.groupBy("win").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("win", "lo", "n"), "lowest")
     del all_
     C.release(spark)
     asked = windows.select("doc_id", "t", F.inline(F.arrays_zip(F.col("w").alias("win"), F.col("at").alias("place"))))
-    gone = asked.join(lowest, "win").filter("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_list("place").alias("gone"))
+    # a common window has as many rows as documents: hot ones are broadcast and dealt out
+    pairs = lowest.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    gone = C.join_groups(asked, lowest, ["win"], "n", "doc_id", pairs).filter("doc_id > lo").groupBy("doc_id", "t").agg(F.collect_list("place").alias("gone"))
     gone = C.scratch(gone, "gone")
     C.discard(lowest, windows)
     del asked, lowest, windows
