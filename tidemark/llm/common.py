@@ -127,6 +127,15 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return own.filter("not _maybe").drop("_maybe").union(own.filter("_maybe").drop("_maybe").join(gone, key, "left_anti"))
 
 
+def left_join_some(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join with a scratch table of one row a key, for which only rows that may have a partner are shuffled."""
+    own = maybe_in(rows, table, keys[-1])
+    new = [f for f in table.schema if f.name not in keys]
+    hit = own.filter("_maybe").drop("_maybe").join(table.hint("shuffle_hash"), keys, "left").select(*rows.columns, *[f.name for f in new])
+    rest = own.filter("not _maybe").select(*rows.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in new])
+    return hit.union(rest)
+
+
 def with_row_hashes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds t1 and t2, 128 bits that tell rows apart by id and text."""
     return docs.withColumns({"t1": F.xxhash64(doc_id, text), "t2": F.xxhash64(F.lit("again"), text, doc_id)})

@@ -198,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     lists = shared.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), F.col("fp"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("fp"))).alias("firsts"))
     lists = C.scratch(lists, "fingerprints")
     C.release(spark)
-    both = docs.join(lists.hint("shuffle_hash"), "doc_id", "left")
+    both = C.left_join_some(docs, lists, ["doc_id"])
     schema = "doc_id long, t long, w array<long>, at array<int>, w_first array<long>"
     windows = C.scratch(both.mapInArrow(lambda it: candidate_windows(window, frequent, it), schema), "windows")
     C.discard(lists)
@@ -218,7 +218,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     del asked, lowest, windows
     C.release(spark)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return docs.join(gone.hint("shuffle_hash"), ["doc_id", "t"], "left").select("doc_id", "text", "gone").mapInArrow(lambda it: cut(window, keep_text, it), out)
+    return C.left_join_some(docs, gone, ["doc_id", "t"]).select("doc_id", "text", "gone").mapInArrow(lambda it: cut(window, keep_text, it), out)
 
 
 class SuffixAutomaton:
