@@ -84,8 +84,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     known = docs.filter("lang is not null and doc_id is not null")
     if known.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).drop("place")
+    # hashes below a language's bound are a little more than the sample, so that no task orders a whole language
+    share = F.least(F.lit(1.0), (sample + 8 * sample**0.5 + 40) / F.col("n"))
+    pairs = known.select("doc_id", "lang").distinct().withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)))
+    few = pairs.join(F.broadcast(known.groupBy("lang").agg(F.count("*").alias("n"))), "lang").filter(F.col("h") < share * (1 << 32))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample).select("doc_id", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, off in C.chunks(batches, "text"):
