@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPSILON, floored, log_or_minus_infinity, probability_of_one
+from ..session import shared_folder
 
 # Iterations, test share and the first seed.
 ITERATIONS, TEST_SHARE, SEED = 30, 0.1, 33
@@ -166,10 +167,15 @@ def topic_model(k: int = 30, iterations: int = 15, seed: int = SEED):
 
 
 def topics(docs: DataFrame, tokens: str = "tokens", k: int = 30, iterations: int = 15, vocabulary: int | None = None, seed: int = SEED) -> DataFrame:
-    """Mean topic weights of an LDA over token counts: topic, weight."""
+    """Mean topic weights of an LDA over token counts: topic, weight.
+
+    The counts are written to the shared folder once, so that no pass builds them from the texts again.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    counts = token_counts(docs, tokens, vocabulary).transform(docs)
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "counts")
+    token_counts(docs, tokens, vocabulary).transform(docs).select("features").write.parquet(path)
+    counts = spark.read.parquet(path)
     weights = topic_model(k, iterations, seed).fit(counts).transform(counts).select(vector_to_array("topicDistribution").alias("w"))
     return weights.select(F.posexplode("w").alias("topic", "weight")).groupBy("topic").agg(F.avg("weight").alias("weight"))
 
