@@ -179,3 +179,80 @@ def quality_scores(docs, labels, shrinks, folds=5):
             best = (loss, shrink, slope, bias)
     difference = _densities(x, y, best[1])
     return {d: 1 / (1 + math.exp(-min(max(best[2] * difference(np.array(quality_statistics(t))) + best[3], -40), 40))) for d, t in docs}
+
+
+def simhash(text, k=3):
+    import xxhash
+
+    w = plain_words(lower(text or ""))
+    grams = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def linked(fingerprints, limit=2):
+    """fingerprints: id -> number. id -> smallest id that links reach."""
+    ids = sorted(fingerprints)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if bin(fingerprints[i] ^ fingerprints[j]).count("1") <= limit:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def vector_codes(rows, scale=4096, parts=8, entries=16, rounds=6):
+    """rows: (id, vector, label). id -> (code, error, label error), and the entries' integers."""
+    kept = [(i, [math.floor(scale * float(x)) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: r[0])
+    width = len(kept[0][1]) // parts
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(v, p) for _, v, _ in kept[:entries]] for p in range(parts)]
+    dist = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+
+    def near(p, x):
+        return min((dist(x, e), k) for k, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        new = [list(b) for b in books]
+        for p in range(parts):
+            groups = defaultdict(list)
+            for _, v, _ in kept:
+                groups[near(p, cut(v, p))[1]].append(cut(v, p))
+            for k, own in groups.items():
+                new[p][k] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+        books = new
+    out, by_label = {}, defaultdict(int)
+    for i, v, label in kept:
+        found = [near(p, cut(v, p)) for p in range(parts)]
+        out[i] = ("".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), label)
+        by_label[label] += out[i][1]
+    return {i: (c, e, by_label[label]) for i, (c, e, label) in out.items()}, [x for b in books for e in b for x in e]
+
+
+def phrases(docs, least=100, longest=5, first=2000):
+    """docs: (language, text). Rows of language, rank, phrase, a, l, r, n, score."""
+    f, n = defaultdict(int), defaultdict(int)
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    f[lang, tuple(w[i : i + k])] += 1
+    candidates = {key: a for key, a in f.items() if len(key[1]) > 1 and a >= least}
+    rows = defaultdict(list)
+    for (lang, p), a in candidates.items():
+        score, _, l, r = min((1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k, f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p)))
+        longer = (q for (other, q), b in candidates.items() if other == lang and len(q) > len(p) and b >= a)
+        if not any(p == q[i : i + len(p)] for q in longer for i in range(len(q) - len(p) + 1)):
+            rows[lang].append((-score, -a, " ".join(p).encode(), l, r))
+    return [(lang, k, p.decode(), -a, l, r, n[lang], -s) for lang, own in rows.items() for k, (s, a, p, l, r) in enumerate(sorted(own)[:first], 1)]

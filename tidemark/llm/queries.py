@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_extract, language, minhash, packing, quality, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, html_extract, language, minhash, packing, phrases, quality, simhash, substring_dedup, url_filter, vector_codes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": language.query,
         "op9_warc": warc.query,
         "op10_minhash": minhash.query,
+        "op11_simhash": simhash.query,
+        "op12_vector_codes": vector_codes.query,
+        "op13_phrases": phrases.query,
     }
 
 
@@ -32,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.SQL,
         "op9_warc": warc.SQL,
         "op10_minhash": minhash.SQL,
+        "op12_vector_codes": vector_codes.SQL,
+        "op13_phrases": phrases.SQL,
     }
