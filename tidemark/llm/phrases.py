@@ -81,7 +81,7 @@ class Filter:
 def filter_of(hashes: DataFrame, count: int) -> Filter:
     """Of column g, with about eight bits each, 32 MB at most."""
     bits = min(max(1 << 20, 1 << (8 * count).bit_length()), C.MAX_BITS)
-    slot = F.pmod(F.col("g"), F.lit(bits))
+    slot = F.pmod(F.col("g"), F.lit(bits)) + 1  # these functions count from 1
     rows = hashes.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bitmap"))
     out = np.zeros(bits // 8, np.uint8)
     for r in rows.collect():
