@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import bayes, dedup, evaluate, keys, label, relational, reports, vocabulary
+from tidemark.operators import bayes, containment, dedup, evaluate, keys, label, relational, reports, splits, vocabulary
 from tidemark.plans import catalogue, pipeline
 from tidemark.schemas import missing_parents, required, unique_violations
 
@@ -124,40 +125,76 @@ def test_prior_and_ties(spark):
     assert bayes.vote(votes, "id").first().pred == 1
 
 
+def marked(spark, rows, n):
+    df, bags = long(spark, rows)
+    return tuple(x.withColumn("tested", splits.by_modulus(F.col("id"), n)) for x in (df.select("id", "label"), bags))
+
+
 def test_split_models_brute(spark):
-    """Counts by subtraction equal a fit on the training rows, iteration by iteration."""
+    """Counts by subtraction equal a fit on the training rows, iteration by iteration, and so do the scores of its test rows."""
     rows = [r for r in sample(2) if r[2]]
-    df, bags = long(spark, rows)
-    tests = bayes.tests_by_modulus(df.select("id", "label"), "id", 4)
-    models, prior = bayes.split_models(df.select("id", "label"), bags, tests, "id", 4)
-    got = defaultdict(dict)
-    for r in models.collect():
-        got[r.iter][r.ngram] = (r.log_theta_0, r.log_theta_1)
-    priors = {r.iter: (r.prior_0, r.prior_1) for r in prior.collect()}
+    ids, bags = marked(spark, rows, 4)
+    models, prior = splits.models(splits.counts(bags, iterations=4), 4), splits.priors(ids, iterations=4)
+    got = {r.ngram: r for r in models.collect()}
+    p = prior.first()
+    scored = {(r.id, r.iter): r for r in splits.predict(ids, bags, models, prior, "id", iterations=4).collect()}
+    tests = 0
     for it in range(4):
-        log, p = brute_model([r for r in rows if r[0] % 10 != it % 10])
-        assert set(got[it]) == set(log) and priors[it] == pytest.approx(tuple(p))
-        assert all(got[it][w] == pytest.approx(log[w]) for w in log)
+        log, own = brute_model([r for r in rows if r[0] % 10 != it % 10])
+        assert {w for w, r in got.items() if r.theta_0[it] is not None} == set(log)
+        assert all((got[w].theta_0[it], got[w].theta_1[it]) == pytest.approx(log[w]) for w in log)
+        assert (p.prior_0[it], p.prior_1[it]) == pytest.approx(tuple(own))
+        for i, y, grams in rows:
+            if i % 10 == it % 10:
+                s = [math.log(own[k]) + sum(log[g][k] for g in grams if g in log) for k in (0, 1)]
+                assert (scored[i, it].l0, scored[i, it].l1) == pytest.approx(s) and scored[i, it].label == y
+                tests += 1
+    assert tests == len(scored) > 0
+    scores = {r.ngram: r for r in splits.polarity(models, 4).collect()}
+    for w, r in got.items():
+        each = [b - a for a, b in zip(r.theta_0, r.theta_1, strict=True) if a is not None]
+        mean = sum(each) / len(each)
+        assert (scores[w].mean_score, scores[w].num_iterations) == (pytest.approx(mean), len(each))
+        assert scores[w].std_score == pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in each) / len(each)), abs=1e-9)
 
 
 def test_splits_by_modulus_differ(spark):
     """All 30 splits are different tenths, and each round of ten tests every row once."""
-    rows = spark.createDataFrame([(i, i % 2) for i in range(200)], "id long, label int")
-    parts = defaultdict(set)
-    for r in bayes.tests_by_modulus(rows, "id").collect():
-        parts[r.iter].add(r.id)
-    assert len(parts) == bayes.ITERATIONS == len({frozenset(x) for x in parts.values()})
+    rows = spark.range(200).select("id", splits.by_modulus(F.col("id")).alias("tested")).collect()
+    parts = {i: {r.id for r in rows if r.tested >> i & 1} for i in range(bayes.ITERATIONS)}
+    assert bayes.ITERATIONS == len({frozenset(x) for x in parts.values()})
     assert all(len(x) == 20 for x in parts.values())
     assert all(set().union(*(parts[10 * k + i] for i in range(10))) == set(range(200)) for k in range(3))
 
 
+def test_splits_by_digest(spark):
+    """Each iteration tests about its share, independently of the others; the mask is what MD5 says."""
+    rows = spark.range(4000).select("id", splits.by_digest(F.col("id")).alias("tested")).collect()
+    for i in range(bayes.ITERATIONS):
+        assert 330 < sum(r.tested >> i & 1 for r in rows) < 470
+        assert sum(r.tested >> i & 1 and r.tested >> (i + 1) % 30 & 1 for r in rows) < 80
+    digest = lambda i, k: hashlib.md5(f"33:{i // 8}:{k}".encode()).hexdigest()[i % 8 * 4 :][:4]
+    assert all(r.tested == sum(1 << i for i in range(30) if int(digest(i, r.id), 16) < 6554) for r in rows[:200])
+    assert {r[0] for r in spark.range(5).select(splits.by_digest(F.col("id"), 3, 1.0)).collect()} == {7}
+    with pytest.raises(ValueError):
+        splits.by_digest(F.col("id"), 63)
+
+
+def test_splits_plan(spark, tmp_path):
+    """Nothing is exchanged by iteration, and no n-gram is repeated for each: two exchanges by n-gram at most."""
+    _, bags = marked(spark, sample(2), 30)
+    bags.write.parquet(f"{tmp_path}/bags")
+    plan = splits.polarity(splits.models(splits.counts(spark.read.parquet(f"{tmp_path}/bags"))))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("hashpartitioning") == plan.count("hashpartitioning(ngram") <= 2
+
+
 def test_polarity_flips(spark):
     rows = [r for r in sample(3) if r[2]]
     scores = []
     for flip in (0, 1):
-        df, bags = long(spark, [(i, y ^ flip, g) for i, y, g in rows])
-        ids = df.select("id", "label")
-        scores.append({r.ngram: r.mean_score for r in bayes.polarity(bayes.split_models(ids, bags, bayes.tests_by_hash(ids, "id", iterations=5), "id", 5)[0]).collect()})
+        _, bags = long(spark, [(i, y ^ flip, g) for i, y, g in rows])
+        bags = bags.withColumn("tested", splits.by_digest(F.col("id"), 5))
+        scores.append({r.ngram: r.mean_score for r in splits.polarity(splits.models(splits.counts(bags, iterations=5), 5), 5).collect()})
     assert scores[0].keys() == scores[1].keys() and all(scores[0][k] == pytest.approx(-scores[1][k], abs=1e-9) for k in scores[0])
 
 
@@ -199,7 +236,7 @@ def test_evaluate(spark):
 def test_reports(spark):
     p = spark.createDataFrame([("금리 인상", 3.0, 0.1, 30), ("금리", 2.0, 0.1, 30), ("x", 2.7, 0.2, 30), ("y", 2.7, 0.2, 30), ("물가", -3.0, 0.1, 30)], "ngram string, mean_score double, std_score double, num_iterations int")
     assert [r.ngram for r in reports.top(p, 2).collect()] == ["금리 인상", "x"]
-    assert {r.ngram for r in reports.drop_contained(p).collect()} == {"금리 인상", "x", "y", "물가"}
+    assert {r.ngram for r in containment.drop_contained(p).collect()} == {"금리 인상", "x", "y", "물가"}
     assert {r.ngram for r in reports.discriminative(p).collect()} == {"금리 인상", "금리", "x"}
     assert {r.ngram for r in reports.discriminative(p, by_scores=False).collect()} == {"금리 인상", "금리", "x", "y"}
     assert {(r.theme, r.ngram) for r in reports.theme_top(p, k=1).collect()} == {("정책/금리", "금리 인상"), ("물가/성장", "물가")}

@@ -1,8 +1,6 @@
-"""Multinomial naive Bayes over long-form bags of n-grams: sentence-level, repeated splits, and date-level.
+"""Multinomial naive Bayes over long-form bags of n-grams: sentence-level and date-level. Repeated splits are in splits.py.
 
-Priors are empirical (not smoothed), theta has Laplace smoothing, and the vocabulary of a split is what occurs in its
-training rows. All repeated splits are one job: each bag row belongs to the test part of some iterations, so a split's
-training counts are the total counts less its test counts; rows are exploded only over the iterations that test them.
+Priors are empirical (not smoothed), theta has Laplace smoothing, and the vocabulary is what occurs in the training rows.
 """
 
 from __future__ import annotations
@@ -18,12 +16,12 @@ ITERATIONS, TEST_SHARE, SEED = 30, 0.1, 33
 
 
 def stratified_test(rows: DataFrame, label: str, row_id: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Adds in_test: the share of each class with the smallest hashes, the same under any partitioning.
+    """Adds in_test: the share of each class with the smallest digests of seed and id, the same in every engine.
 
-    The cut is found from the hashes' quantile bucket counts, so no class is sorted in one task.
+    The cut is found from the counts of the digests' first digits, so no class is sorted in one task.
     """
-    h = F.xxhash64(F.lit(seed), F.col(row_id))
-    bucket = F.pmod(h, F.lit(4096))
+    h = F.md5(F.concat_ws(":", F.lit(seed), F.col(row_id)))
+    bucket = F.substring(h, 1, 3)
     keyed = rows.withColumns({"_h": h, "_b": bucket})
     sizes = keyed.groupBy(label, "_b").agg(F.count("*").alias("_n"))  # 4096 rows for each class at most
     w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,27 +31,6 @@ def stratified_test(rows: DataFrame, label: str, row_id: str, share: float = TES
     return out.withColumn("in_test", place <= F.round(F.col("_all") * share)).select(*rows.columns, "in_test")
 
 
-def tests_by_modulus(rows: DataFrame, row_id: str, iterations: int = ITERATIONS, modulus: int = 10) -> DataFrame:
-    """iter and the rows that it tests: row id mod modulus equals iter mod modulus.
-
-    After every `modulus` iterations the id's higher digits are added once more, so that later rounds deal the rows out
-    anew and don't repeat the splits of the first.
-    """
-    m, own = F.lit(modulus), F.col(row_id)
-    higher = F.floor(own / m)
-    its = F.filter(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: F.pmod(own + F.floor(i / m) * higher, m) == F.pmod(i, m))
-    return rows.select("*", F.explode(its).alias("iter"))
-
-
-def tests_by_hash(rows: DataFrame, row_id: str, label: str = "label", iterations: int = ITERATIONS, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """iter and the rows that it tests: in each iteration an independent share of each class, by hash.
-
-    The share is met exactly in expectation; classes are treated alike, since the hash doesn't depend on them.
-    """
-    its = F.filter(F.sequence(F.lit(0), F.lit(iterations - 1)), lambda i: F.pmod(F.xxhash64(i + seed, F.col(row_id)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return rows.select("*", F.explode(its).alias("iter"))
-
-
 def class_counts(bags: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """ngram, count_0, count_1; every label other than 0 counts as 1."""
     return bags.groupBy(*(keys or []), "ngram").agg(
@@ -89,28 +66,6 @@ def predict(rows: DataFrame, bags: DataFrame, model: DataFrame, prior: DataFrame
     return out.withColumns({"pred": F.when(F.col("l1") > F.col("l0"), 1).otherwise(0), "proba": probability_of_one(F.col("l0"), F.col("l1"))}).drop("_s0", "_s1", "prior_0", "prior_1")
 
 
-def split_models(rows: DataFrame, bags: DataFrame, tests: DataFrame, row_id: str, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
-    """The model and the prior of every iteration. rows: id, label; bags: id, label, ngram, tf; tests: id, iter."""
-    total = class_counts(bags)
-    held = class_counts(bags.join(tests.select(row_id, "iter"), row_id), ["iter"])
-    every = total.select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
-    held = held.withColumnsRenamed({"count_0": "_h0", "count_1": "_h1"})
-    trained = every.join(held, ["iter", "ngram"], "left").select("iter", "ngram", *[(F.col(f"count_{k}") - F.coalesce(f"_h{k}", F.lit(0))).alias(f"count_{k}") for k in (0, 1)])
-    trained = trained.filter("count_0 + count_1 > 0")
-    n = [F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)]
-    whole = rows.agg(*n).select("*", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iter"))
-    out = tests.groupBy("iter").agg(*[x.alias(f"m{k}") for k, x in enumerate(n)])
-    left = whole.join(out, "iter", "left").select("iter", *[(F.col(f"n{k}") - F.coalesce(f"m{k}", F.lit(0))).alias(f"n{k}") for k in (0, 1)])
-    prior = left.select("iter", *[(F.col(f"n{k}") / (F.col("n0") + F.col("n1"))).alias(f"prior_{k}") for k in (0, 1)])
-    return theta(trained, ["iter"]), prior
-
-
-def polarity(models: DataFrame) -> DataFrame:
-    """Mean and population deviation over the iterations, and how many had the n-gram; positive is hawkish."""
-    out = models.groupBy("ngram").agg(F.avg("polarity").alias("mean_score"), F.stddev_pop("polarity").alias("std_score"), F.count("*").cast("int").alias("num_iterations"))
-    return out.withColumn("stance", F.when(F.col("mean_score") > 0, "hawkish").otherwise("dovish"))
-
-
 def vote(predictions: DataFrame, row_id: str) -> DataFrame:
     """The ensemble: mean vote of 0.5 or more is class 1, and the mean probability."""
     out = predictions.groupBy(row_id, "label").agg(F.avg("pred").alias("mean_vote"), F.avg("proba").alias("proba"))

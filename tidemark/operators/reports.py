@@ -74,12 +74,6 @@ def first_alphabetically(polarity: DataFrame, stance: str, k: int = 100) -> Data
     return polarity.filter(F.col("stance") == stance).orderBy("ngram").limit(k).select("ngram")
 
 
-def drop_contained(ngrams: DataFrame) -> DataFrame:
-    """Without n-grams that are a proper part of another one; for short lists, which is why a loop join will do."""
-    other = ngrams.select(F.col("ngram").alias("_other"))
-    return ngrams.join(F.broadcast(other), F.col("_other").contains(F.col("ngram")) & (F.col("_other") != F.col("ngram")), "left_anti")
-
-
 def discriminative(polarity: DataFrame, keywords: str = X.FINANCE, highest: bool = True, domain: float = 1.5, general: float = 2.5, enough: int = 30, by_scores: bool = True) -> DataFrame:
     """The strongest n-grams of the domain, and if there are too few the strongest of all.
 

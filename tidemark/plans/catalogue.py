@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleansing, dates, numeric
 from ..functions import text as X
-from ..operators import bayes, dedup, evaluate, keys, label, relational, reports, vocabulary
+from ..operators import bayes, containment, dedup, evaluate, keys, label, relational, reports, splits, vocabulary
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,7 +488,7 @@ def nb_predict(spark, sf_dir):
     return out.select("doc_id", "label", F.round("l0", 4).alias("l0"), F.round("l1", 4).alias("l1"), "pred")
 
 
-#: Repeated splits by modulus, since hash functions differ between engines; see bayes.tests_by_modulus.
+#: Repeated splits by modulus, since hash functions differ between engines; see splits.by_modulus.
 ITERATIONS = bayes.ITERATIONS
 _PART = "(doc_id + iter // 10 * (doc_id // 10)) % 10"
 _SPLITS = f"""it AS (SELECT CAST(unnest(range(0, {ITERATIONS})) AS INT) AS iter),
@@ -503,21 +503,20 @@ _SCORED = f"""pr AS (SELECT iter, avg((label = 0)::INT) AS p0, avg((label = 1)::
  preds AS (SELECT *, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS pred, 1 / (1 + exp(least(l0 - l1, 700))) AS proba FROM scored)"""
 
 
-def splits(spark, sf_dir):
-    bags = bags_of(spark, sf_dir)
-    ids = bags.select("doc_id", "label").distinct()
-    tests = bayes.tests_by_modulus(ids, "doc_id", ITERATIONS)
-    return bags, ids, tests, *bayes.split_models(ids, bags, tests, "doc_id", ITERATIONS)
+def split_models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The bags with the iterations that test them, and the models of all iterations."""
+    bags = bags_of(spark, sf_dir).withColumn("tested", splits.by_modulus(F.col("doc_id"), ITERATIONS))
+    return bags, splits.models(splits.counts(bags))
 
 
 def scored(spark, sf_dir) -> DataFrame:
-    bags, _, tests, models, prior = splits(spark, sf_dir)
-    held = bags.join(tests.select("doc_id", "iter"), "doc_id")
-    return bayes.predict(tests, held, models, prior, "doc_id", ["iter"])
+    bags, models = split_models(spark, sf_dir)
+    ids = bags.select("doc_id", "label", "tested").distinct()
+    return splits.predict(ids, bags, models, splits.priors(ids), "doc_id")
 
 
 def polarity(spark, sf_dir) -> DataFrame:
-    return bayes.polarity(splits(spark, sf_dir)[3])
+    return splits.polarity(split_models(spark, sf_dir)[1])
 
 
 @query(f"WITH {_BAGS}, {_SPLITS} SELECT ngram, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, num_iterations, CASE WHEN mean_score > 0 THEN 'hawkish' ELSE 'dovish' END AS stance FROM pol")
@@ -595,7 +594,8 @@ def tone_index(spark, sf_dir):
     return rounded(bayes.tone(scored(spark, sf_dir).join(sources, "doc_id"), "source"), "tone")
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, max(quality) AS label FROM labels JOIN documents USING (doc_id) GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('{bayes.SEED}:' || doc_id), doc_id) AS place, count(*) OVER (PARTITION BY label) AS n FROM d)
+ SELECT doc_id, label, place <= round(n * {bayes.TEST_SHARE}) AS in_test FROM r""")
 def stratified_split(spark, sf_dir):
     rows = labelled(spark, sf_dir).select("doc_id", "label")
     return bayes.stratified_test(rows, "label", "doc_id")
@@ -675,7 +675,7 @@ _KEYS = {"first": "th|re", "second": "on|er", "third": "qu|ch"}
 @query(f"""WITH {_BAGS}, {_SPLITS}, p AS (SELECT ngram, round(mean_score, 6) AS mean_score FROM pol ORDER BY round(mean_score, 6) DESC, ngram LIMIT 50)
  SELECT ngram, mean_score FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE contains(q.ngram, p.ngram) AND q.ngram <> p.ngram)""")
 def ngram_substring_antijoin(spark, sf_dir):
-    return reports.drop_contained(reports.top(rounded(polarity(spark, sf_dir).select("ngram", "mean_score"), "mean_score"), 50))
+    return containment.drop_contained(reports.top(rounded(polarity(spark, sf_dir).select("ngram", "mean_score"), "mean_score"), 50))
 
 
 @query(f"""WITH {_BAGS}, {_SPLITS}, p AS (SELECT ngram, round(mean_score, 6) AS mean_score FROM pol ORDER BY round(mean_score, 6) DESC, ngram LIMIT 100),
@@ -714,10 +714,20 @@ def lda_topics(spark, sf_dir):
     return bayes.topics(own)
 
 
-@query()
+#: The whole flow: sentences of labelled documents, their n-grams, the vocabulary, 30 splits by digest, the lexicon.
+_HITS = " + ".join(f"(substr(md5('{bayes.SEED}:{i // 8}:' || doc_id || '#' || position), {1 + i % 8 * 4}, 4) < '{round(bayes.TEST_SHARE * 65536):04x}')::BIGINT * {1 << i}" for i in range(ITERATIONS))
+_STANCE = f"""{_SPLIT}, own AS (SELECT doc_id, position, label, {_TOKENS.replace("text", "sentence")} AS toks, {_HITS} AS tested FROM sentences JOIN (SELECT doc_id, max(quality) AS label FROM labels GROUP BY 1) USING (doc_id)),
+ raw AS ({" UNION ALL ".join(f"SELECT doc_id, position, label, tested, unnest(list_transform(range(1, greatest(len(toks) - {n - 2}, 1)), lambda i: toks[i:i + {n - 1}])) AS w FROM own" for n in range(1, 6))}),
+ kept AS (SELECT label, tested, array_to_string(w, ' ') AS ngram FROM raw WHERE {_VALID} QUALIFY count(*) OVER (PARTITION BY array_to_string(w, ' ')) >= {vocabulary.MIN_FREQUENCY}),
+ it AS (SELECT CAST(unnest(range(0, {ITERATIONS})) AS INT) AS iter),
+ sums AS (SELECT ngram, label, tested, count(*) AS tf FROM kept GROUP BY ALL),
+ tc AS (SELECT iter, ngram, coalesce(sum(tf) FILTER (label = 0), 0) AS count_0, coalesce(sum(tf) FILTER (label <> 0), 0) AS count_1 FROM sums, it WHERE (tested >> iter) & 1 = 0 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_STANCE}, {_SPLITS[_SPLITS.index("tt AS"):]} SELECT ngram, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, num_iterations, CASE WHEN mean_score > 0 THEN 'hawkish' ELSE 'dovish' END AS stance FROM pol""")
 def stance_pipeline(spark, sf_dir):
     """The flow of the pipeline module from labelled documents to the polarity lexicon."""
     docs = labelled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("pk"), F.lit(None).cast("date").alias("date"), "label", F.col("text").alias("content"))
     settings = pipeline.Settings(skip_english=False)
     rows = pipeline.ngram_rows(pipeline.sentence_rows(docs), settings)
-    return pipeline.train(rows, settings).polarity
+    return rounded(pipeline.train(rows, settings).polarity, "mean_score", "std_score")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bayes, evaluate, keys, label, vocabulary
+from ..operators import bayes, evaluate, keys, label, splits, vocabulary
 
 
 @dataclass
@@ -54,10 +54,14 @@ def sentence_statistics(rows: DataFrame) -> DataFrame:
 
 
 def ngram_rows(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Adds sentence_id (a hash of the document and the place, the same in every run) and ngrams; sentences without any go."""
+    """Adds ngrams, sentence_id and tested, the splits' test parts that the sentence is in; sentences without n-grams go.
+
+    Both depend on the document and the place only, so they are the same in every run.
+    """
     tokens = X.content_words(F.col("sentence"), settings.tokenizer, skip_english=settings.skip_english)
     out = rows.withColumn("ngrams", X.all_ngrams(tokens, settings.low, settings.high)).filter(F.size("ngrams") > 0)
-    return out.withColumn("sentence_id", F.xxhash64("pk", "position"))
+    tested = splits.by_digest(F.concat_ws("#", "pk", "position"), settings.iterations, settings.share, settings.seed)
+    return out.withColumns({"sentence_id": F.xxhash64("pk", "position"), "tested": tested})
 
 
 @dataclass
@@ -70,23 +74,22 @@ class Result:
 
 
 def train(rows: DataFrame, settings: Settings, materialise: Callable[[DataFrame], DataFrame] = lambda df: df) -> Result:
-    """rows: sentence_id, label, ngrams.
+    """rows: sentence_id, label, ngrams, tested.
 
     by_iteration has each split's metrics on its own test rows. `ensemble` votes on a split that the models were
     trained on (as published); `honest` votes on each row only with the models that didn't see it.
     """
     words = vocabulary.vocabulary(rows, minimum=settings.minimum)
-    bags = materialise(vocabulary.restrict(vocabulary.bag(rows, "sentence_id", carry=["label"]), words))
-    ids = bags.select("sentence_id", "label").distinct()
-    tests = bayes.tests_by_hash(ids, "sentence_id", iterations=settings.iterations, share=settings.share, seed=settings.seed)
-    models, prior = bayes.split_models(ids, bags, tests, "sentence_id", settings.iterations)
-    held = bags.join(tests.select("sentence_id", "iter"), "sentence_id")
-    scored = bayes.predict(tests, held, models, prior, "sentence_id", ["iter"])
+    bags = materialise(vocabulary.restrict(vocabulary.bag(rows, "sentence_id", carry=["label", "tested"]), words))
+    ids = bags.select("sentence_id", "label", "tested").distinct()
+    n = settings.iterations
+    models, prior = splits.models(splits.counts(bags, iterations=n), n), splits.priors(ids, iterations=n)
+    scored = splits.predict(ids, bags, models, prior, "sentence_id", iterations=n)
     leaked = bayes.stratified_test(ids, "label", "sentence_id", settings.share, settings.seed + 100).filter("in_test").drop("in_test")
-    every = leaked.select("*", F.explode(F.sequence(F.lit(0), F.lit(settings.iterations - 1))).alias("iter"))
-    seen = bags.join(every.select("sentence_id", "iter"), "sentence_id")
-    voted = bayes.vote(bayes.predict(every, seen, models, prior, "sentence_id", ["iter"]), "sentence_id")
-    return Result(words, bayes.polarity(models), evaluate.metrics(scored, ["iter"]), evaluate.metrics(voted), evaluate.metrics(bayes.vote(scored, "sentence_id")))
+    every = leaked.withColumn("tested", F.lit((1 << n) - 1))
+    seen = bags.drop("tested").join(every.select("sentence_id", "tested"), "sentence_id")
+    voted = bayes.vote(splits.predict(every, seen, models, prior, "sentence_id", iterations=n), "sentence_id")
+    return Result(words, splits.polarity(models, n), evaluate.metrics(scored, ["iter"]), evaluate.metrics(voted), evaluate.metrics(bayes.vote(scored, "sentence_id")))
 
 
 def predict(rows: DataFrame, polarity: DataFrame, row_id: str = "pk") -> DataFrame:
