@@ -90,7 +90,7 @@ def morphs_joined(text: Column, tokenizer: Tokenizer = whitespace_tokens) -> Col
     return F.array_join(morphs(text, tokenizer), " ")
 
 
-def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]], failures: Accumulator | None = None) -> Tokenizer:
+def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]], failures: Accumulator) -> Tokenizer:
     """A tokenizer from a morphological tagger; `make` runs once per Python worker.
 
     A text on which it fails has no tokens, and is counted in `failures`.
@@ -105,8 +105,7 @@ def tagger(make: Callable[[], Callable[[str], list[tuple[str, str]]]], failures:
             try:
                 return [{"token": t, "pos": p} for t, p in tag(text)] if text else []
             except Exception:
-                if failures is not None:
-                    failures.add(1)
+                failures.add(1)
                 return []
 
         for batch in batches:
@@ -222,6 +221,55 @@ def contains_json(column: Column, path: str, value) -> Column:
     return F.coalesce(F.try_variant_get(F.try_parse_json(column), path, kind) == F.lit(value), F.lit(False))
 
 
+def _item_holds(needle) -> Callable[[Column], Column]:
+    return lambda item: _holds(item, needle, False)
+
+
+def _named(key: str) -> Callable[[Column, Column], Column]:
+    return lambda name, _: name == F.lit(key)
+
+
+def _holds(value: Column, needle, top: bool) -> Column:
+    """Containment of a needle in a VARIANT."""
+    kind = F.schema_of_variant(value)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    if isinstance(needle, dict):
+        fields = F.try_variant_get(value, "$", "map<string,variant>")
+        out = fields.isNotNull()
+        for key, part in needle.items():
+            out = out & F.coalesce(_holds(F.get(F.map_values(F.map_filter(fields, _named(key))), 0), part, False), F.lit(False))
+    elif isinstance(needle, list):
+        out = items.isNotNull()
+        for part in needle:
+            out = out & F.coalesce(F.exists(items, _item_holds(part)), F.lit(False))
+    else:
+        as_kind = lambda k: F.try_variant_get(value, "$", k) == F.lit(needle)
+        if needle is None:
+            out = F.is_variant_null(value)
+        elif isinstance(needle, bool):
+            out = (kind == "BOOLEAN") & as_kind("boolean")
+        elif isinstance(needle, str):
+            out = (kind == "STRING") & as_kind("string")
+        else:
+            out = F.regexp_like(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")) & (F.try_variant_get(value, "$", "double") == F.lit(float(needle)))
+            if isinstance(needle, int):  # doubles don't tell large whole numbers apart
+                out = out & ((kind != "BIGINT") | as_kind("bigint"))
+        if top:  # a list holds a lone value that is one of its items
+            out = out | F.coalesce(F.exists(items, _item_holds(needle)), F.lit(False))
+    return F.coalesce(out, F.lit(False))
+
+
+def holds_json(column: Column, needle) -> Column:
+    """Whether a JSON text contains a needle (objects, lists, strings, numbers, booleans, None) at any depth that it describes.
+
+    An object contains another one if it has all its keys, and each value contains the other's. A list contains another
+    one if each of the other's items is contained in some item, in any order and number; a list as a whole also contains
+    a single value that is one of its items. Values are equal in kind and value, numbers by value. Null, and text that
+    isn't JSON, contain nothing.
+    """
+    return _holds(F.try_parse_json(column), needle, True)
+
+
 def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
