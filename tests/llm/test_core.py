@@ -394,3 +394,20 @@ def test_maybe_in(spark, monkeypatch):
         assert len(got) == 3000 and all(r._maybe for r in got if r.id % 7 == 0)
         assert sum(r._maybe for r in got) < (440 if bits > 1 << 20 else 700)
         assert C.within(rows, rows.filter("id % 7 = 0"), "t1").count() == 429 and C.without(rows, rows.filter("id % 7 = 0"), "t1").count() == 2571
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "x " + " " * 1_000_000 + "y", "\t " * 600_000, "a" * 2_000_000], ids=["blanks", "lines", "between", "tabs", "letters"])
+def test_packing_long_runs(spark, tokenizer, text):
+    """White space beyond the regular expression's stack, through the operator: the ids are the tokenizer's."""
+    got = packing.pack_documents(frame(spark, [(1, text), (2, "short")]), packing.TOKENIZER, keep_ids=True).collect()
+    pieces = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start)
+    ids = np.frombuffer(b"".join(bytes(r.ids) for r in pieces), "<u4")
+    assert ids[-1] == 1 and list(ids[:-1]) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert pieces[0].doc_tokens == len(ids) and any(r.doc_id == 2 for r in got)
+
+
+def test_plain_vocabulary():
+    spec = {"model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2, "ba": 3}, "merges": ["a b", "b a"]}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}
+    assert packing._is_plain(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": ["b a", "a b"]}}, {"model": spec["model"] | {"dropout": 0.1}}):
+        assert not packing._is_plain(spec | change)
