@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import morphology
 from tidemark.functions import text as X
 from tidemark.operators import containment
+from tidemark.sources.buckets import Buckets
+from tidemark.streaming import crawl, stateful
 
 
 # --- morphological analysis
@@ -116,3 +118,84 @@ def test_json_brute(spark):
     for x in needles:
         got = {q.id for q in rows.filter(X.holds_json(F.col("v"), x)).collect()}
         assert got == {k for k, d in enumerate(docs) if holds(d, x)}, x
+
+
+# --- stores and streams
+
+
+def lines(folder, name, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("\n".join(json.dumps(dict(zip(("k", "title"), r, strict=True))) for r in rows))
+
+
+def test_stateful_ingest(spark, tmp_path):
+    """First rows of new keys only, also over batches and a restart, and without reading the table."""
+    inbox, table = tmp_path / "in", tmp_path / "t"
+    known = spark.createDataFrame([("old", "x"), (None, "x")], "k string, title string")
+    stream = lambda: spark.readStream.schema("k string, title string").json(str(inbox))
+
+    def run(**more):
+        stateful.ingest(stream(), str(table), f"{tmp_path}/cp", ["k"], ["title"], known=known, **more).awaitTermination()
+        return sorted((r.k, r.title) for r in stateful.read(spark, str(table)).collect())
+
+    lines(inbox, "a.json", [("a", "2"), ("a", "1"), ("old", "0"), ("b", None), ("b", "z"), (None, "n")])
+    assert run() == [("a", "1"), ("b", "z")]
+    for file in table.glob("batch=*/*"):  # a batch that read the table would find nothing and add all again
+        file.unlink()
+    lines(inbox, "b.json", [("a", "0"), ("c", "3"), ("old", "1")])
+    assert run() == [("c", "3")]
+
+
+def test_buckets(spark, tmp_path):
+    store = Buckets(spark, f"{tmp_path}/t", ("k",), "k int, v string", 8)
+    assert store.read().collect() == [] and store.merge(store.read(), ["v"]) == []
+    store.merge(spark.createDataFrame([(i, "old") for i in range(100)], "k int, v string"), ["v"])
+    files = lambda: {r[0] for r in store.read().select(F.input_file_name()).distinct().collect()}
+    before = files()
+    touched = store.merge(spark.createDataFrame([(3, "b"), (3, "a"), (500, "new")], "k int, v string"), ["v"])
+    assert len(touched) <= 2 and len(before - files()) <= 2 and len(before & files()) >= 6
+    want = {i: "old" for i in range(100)} | {3: "a", 500: "new"}
+    assert {r.k: r.v for r in store.read().collect()} == want and store.read().count() == 101
+    # a merge that fails before its version is written leaves the table as it was
+    store.spark.createDataFrame([(1, "lost", 1)], "k int, v string, bucket int").write.partitionBy("bucket").parquet(f"{tmp_path}/t/data/v=3")
+    assert {r.k: r.v for r in store.read().collect()} == want
+    store.merge(spark.createDataFrame([(4, None)], "k int, v string"), ["v"])
+    assert {r.k: r.v for r in store.read().collect()} == want | {4: None}
+
+
+def test_crawl_goes_on(spark, tmp_path):
+    """A second run asks for the days since the first one only; short replies are asked for again."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def fetch(source, day, log=str(log)):
+        import pathlib
+        import uuid
+
+        tried = len(list(pathlib.Path(log).glob(f"{source}|{day}|*")))
+        pathlib.Path(log, f"{source}|{day}|{uuid.uuid4().hex}").touch()
+        return None if source == "gone" else "short" if source == "slow" and not tried else f"{source} {day} " + "x" * 300
+
+    crawl.register(spark, "tidemark_test_crawl", fetch, attempts=2)
+
+    def run(last):
+        crawl.collect(crawl.replies(spark, "tidemark_test_crawl", ["fast", "slow", "gone"], "2024-01-30", last), f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
+        return sorted((r.source, r.day, r.attempts, r.short) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+
+    want = lambda days: sorted((s, d, n, short) for d in days for s, n, short in (("fast", 1, False), ("slow", 2, False), ("gone", 2, True)))
+    first = ["2024-01-30", "2024-01-31", "2024-02-01"]
+    assert run(first[-1]) == want(first)
+    assert run(first[-1]) == want(first)
+    assert run("2024-02-03") == want([*first, "2024-02-02", "2024-02-03"])
+    assert len(list(log.glob("fast|*"))) == 5 and len(list(log.glob("slow|*"))) == 10
+
+
+def test_crawl_replays_a_batch(spark, tmp_path):
+    """A batch whose commit is lost is asked for again, and replaces what it wrote."""
+    crawl.register(spark, "tidemark_test_replay", lambda source, day: "y" * 300)
+    run = lambda: crawl.collect(crawl.replies(spark, "tidemark_test_replay", ["a"], "2024-01-01", "2024-01-04"), f"{tmp_path}/t", f"{tmp_path}/cp").awaitTermination()
+    run()
+    for file in (tmp_path / "cp" / "commits").glob("*"):
+        file.unlink()
+    run()
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
