@@ -68,7 +68,7 @@ def _grams(high: int) -> str:
 _RATES = "rates AS (SELECT CAST(l_shipdate AS DATE) AS date, avg(l_discount) AS rate FROM lineitem GROUP BY 1)"
 _DAYS = "days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders)"
 #: Labelled documents, bags of 1- to 5-grams, and the vocabulary of n-grams that occur MIN times.
-MIN, HIGH = 5, 5
+MIN, HIGH = vocabulary.MIN_FREQUENCY, 5
 _BAGS = f"""{_grams(HIGH)}, bags AS (
     SELECT g.doc_id, l.quality AS label, g.ngram, count(*) AS tf FROM grams g
     JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l USING (doc_id) GROUP BY ALL),

@@ -14,8 +14,9 @@ from ..functions import text as X
 from ..operators import dedup, evaluate, keys, relational, reports
 from ..session import shared_folder
 from ..sources import connectors, readers, writers
-from ..streaming import ingest
-from .catalogue import _BAGS, _RATES, _SCORED, _SPLITS, _TOKENS, QUERIES, SQL, query, rates, rounded, scored, table
+from ..sources.buckets import Buckets
+from ..streaming import crawl, ingest, stateful
+from .catalogue import _BAGS, _RATES, _SCORED, _SPLITS, _TOKENS, _WHITE, QUERIES, SQL, _trigrams, query, rates, rounded, scored, table
 
 __all__ = ["QUERIES", "SQL"]
 _CELLS = "count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn"
@@ -46,10 +47,21 @@ def read_news_months(spark, sf_dir):
     return raw.select(F.col("title").cast("long").alias("doc_id"), "source", F.md5("content").alias("digest"))
 
 
-@query(f"SELECT doc_id, {_KEYED} AS source FROM documents WHERE doc_id // 1000 = 0")
+@query(f"SELECT scan, doc_id, {_KEYED} AS source FROM documents, (SELECT unnest(['year', 'month']) AS scan) WHERE doc_id % 4 < 2 AND (scan = 'year' OR doc_id % 4 = 1 AND doc_id // 4 % 12 = 2)")
 def read_news_year(spark, sf_dir):
-    raw = readers.news_months(spark, f"{written_months(spark, sf_dir)}/month=0", "*.txt")
-    return raw.select(F.col("title").cast("long").alias("doc_id"), "source")
+    """Month files of two years, a thousand documents a file: those of one year, and those of one of its months."""
+    path = shared_folder(spark, "years")
+    article = F.struct(F.col("doc_id").cast("string").alias("title"), F.col("lang").alias("content"), F.lit("2024-01-05").alias("date"), F.concat(F.lit("http://www.edaily.co.kr/"), "doc_id").alias("url"))
+    key = F.when(F.col("doc_id") % 3 == 0, "yonhap").when(F.col("doc_id") % 3 == 1, "infomax").otherwise("unknown")
+    month = F.when(F.col("doc_id") % 4 == 1, (F.floor(F.col("doc_id") / 4) % 12) + 1).otherwise(1).cast("int")
+    year = F.when(F.col("doc_id") % 4 < 2, "2023").otherwise("2024")
+    own = table(spark, sf_dir, "documents").select(F.concat(year, F.lit("_"), F.format_string("%02d", month)).alias("file"), F.floor(F.col("doc_id") / 4000).alias("part"), key.alias("key"), article.alias("a"))
+    lists = own.groupBy("file", "part", "key").agg(F.collect_list("a").alias("articles"))
+    files = lists.groupBy("file", "part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "articles")))).alias("value"))
+    files.repartition("file", "part").write.partitionBy("file", "part").text(path)
+    year_rows, month_rows = (readers.news_year(spark, path, 2023, m, "", "*.txt") for m in (None, 3))
+    one = lambda df, scan: df.select(F.lit(scan).alias("scan"), F.col("title").cast("long").alias("doc_id"), "source")
+    return one(year_rows, "year").union(one(month_rows, "month"))
 
 
 @query("""SELECT doc_id, md5(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || lang ELSE '' END) AS digest FROM documents""")
@@ -102,10 +114,11 @@ def read_base_rates(spark, sf_dir):
 
 @query("SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS date, count(*) AS n, count(*) % 2 AS label FROM orders GROUP BY 1 HAVING day(any_value(o_orderdate)) > 2")
 def read_dated_ngrams(spark, sf_dir):
-    """Two objects keyed by date; dates without a label go."""
+    """Objects keyed by date, a file for each month; dates without a label go."""
     path = shared_folder(spark, "dated")
     own = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(F.collect_list(F.col("o_orderkey").cast("string")).alias("v"))
-    one = lambda df, name: df.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("date", "v")))).alias("value")).write.text(f"{path}/{name}")
+    month = F.substring("date", 1, 7).alias("month")  # 31 dates at most
+    one = lambda df, name: df.groupBy(month).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("date", "v")))).alias("value")).repartition("month").write.partitionBy("month").text(f"{path}/{name}")
     one(own, "ngrams")
     one(own.filter(F.day("date") > 2).withColumn("v", F.size("v") % 2), "labels")
     return readers.dated_ngrams(spark, f"{path}/ngrams", f"{path}/labels").select("date", F.size("ngrams").cast("long").alias("n"), F.col("label").cast("long").alias("label"))
@@ -326,11 +339,33 @@ def text_functions(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, md5(text) AS content, md5(trim(lang || 'x')) AS discussion, md5(source || 'y') AS decision FROM (SELECT doc_id, lang, source, substr('위원 토의 내용 ' || lang || 'x 심의 결과 ' || source || 'y', 1, 10000) AS text FROM documents)")
+_STRIPPED = f"regexp_replace(coalesce(text, ''), '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')"
+
+
+def minutes_of(spark, sf_dir) -> DataFrame:
+    """Every document's text as the discussion of minutes."""
+    text = F.concat(F.lit("위원 토의내용 "), F.coalesce("text", F.lit("")), F.lit(" 심의결과 "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit("회의 2024.08.29").alias("title"))
+
+
+def digests(own: DataFrame) -> DataFrame:
+    return own.select("doc_id", *[F.md5(c).alias(c) for c in ("content", "discussion", "decision")])
+
+
+@query(f"""WITH m AS (SELECT doc_id, '위원 토의내용 ' || coalesce(text, '') || ' 심의결과 ' || source AS whole, substr({_STRIPPED}, 1, 5000) AS talk, source FROM documents)
+ SELECT doc_id, md5(content) AS content, md5(discussion) AS discussion, md5(decision) AS decision FROM (SELECT doc_id, substr(whole, 1, 10000) AS content, nullif(talk, '') AS discussion, source AS decision FROM m)""")
 def minutes_sections(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("위원 토의 내용 "), "lang", F.lit("x 심의 결과 "), "source", F.lit("y")).alias("text"), F.lit("회의 2024.08.29").alias("title"))
-    out = connectors.minutes_sections(own)
-    return out.select("doc_id", F.md5("content").alias("content"), F.md5("discussion").alias("discussion"), F.md5("decision").alias("decision"))
+    return digests(connectors.minutes_sections(minutes_of(spark, sf_dir)))
+
+
+@query(f"""WITH m AS (SELECT doc_id, '위원 토의내용 ' || coalesce(text, '') || ' 심의결과 ' || source AS whole, {_STRIPPED} AS talk, source FROM documents)
+ SELECT 'paired' AS generation, doc_id, md5(whole) AS content, md5(nullif(substr(regexp_replace(talk, '[{_WHITE}]+', ' ', 'g'), 1, 5000), '')) AS discussion, md5(source) AS decision FROM m
+ UNION ALL SELECT 'old', doc_id, md5(whole), md5(nullif(replace(talk, chr(10), ''), '')), md5(source) FROM m""")
+def minutes_sections_old(spark, sf_dir):
+    """The two older generations: white space collapsed, or line ends deleted and nothing cut."""
+    own = minutes_of(spark, sf_dir)
+    one = lambda g: digests(connectors.minutes_sections(own, g)).select(F.lit(g).alias("generation"), "*")
+    return one("paired").union(one("old"))
 
 
 @query("""WITH p AS (SELECT page_id, regexp_replace(url, '^http://', 'https://') AS url, CAST(page_id % 50 AS VARCHAR) AS title, DATE '2024-01-01' + CAST(page_id % 60 AS INT) AS day FROM pages WHERE page_id % 11 <> 0),
@@ -351,11 +386,12 @@ def search_replies(spark, sf_dir):
     return connectors.search_replies(own, "r array<struct<date: string, title: string>>", "r").select(F.col("date").cast("long").alias("page_id"), "title")
 
 
-@query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn <= c.turn AND d.turn >= 2)")
+@query("""WITH p AS (SELECT conv_id, turn, length(coalesce(text, '')) % 3 AS items FROM conversations), m AS (SELECT *, row_number() OVER w AS n, max((items > 0)::INT) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS filled FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ e AS (SELECT *, max((n >= 3 AND filled = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS ended FROM m) SELECT conv_id, turn, items FROM e WHERE ended = 0""")
 def listing_until_empty(spark, sf_dir):
-    """Pages before the third empty one in a row: here all are empty."""
-    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0).alias("items"))
-    return connectors.until_empty(own, "conv_id", "turn", "items").select("conv_id", "turn")
+    """Conversations as listings, turns as their pages: a page has as many items as its length leaves, modulo 3."""
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) % 3).cast("long").alias("items"))
+    return connectors.until_empty(own, "conv_id", "turn", "items").select("conv_id", "turn", "items")
 
 
 @query("SELECT c_custkey, CAST(unnest(range(1, CAST(ceil(least(n, 1000) / 50.0) AS BIGINT) + 1)) AS INT) AS page FROM (SELECT c_custkey, c_custkey % 1200 AS n FROM customer)")
@@ -420,11 +456,43 @@ def rate_table(spark, sf_dir):
     return connectors.rate_table(own, 5, 20).select(F.col("year").cast("long").alias("year"), "rate")
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS source, strftime(unnest(range(DATE '2024-01-30', DATE '2024-02-02', INTERVAL 1 DAY)), '%Y-%m-%d') AS day, 1 AS n FROM nation WHERE n_nationkey < 2")
+_TONGUE = "regexp_extract(coalesce(url, ''), '^https?://[^/]*/([a-z][a-z])/', 1)"
+
+
+@query(f"""WITH p AS (SELECT {_TONGUE} AS source, strftime(DATE '2024-01-01' + CAST(page_id % 45 AS INT), '%Y-%m-%d') AS day, length(html) AS n FROM pages),
+ s AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS source), d AS (SELECT strftime(unnest(range(DATE '2024-01-01', DATE '2024-02-15', INTERVAL 1 DAY)), '%Y-%m-%d') AS day)
+ SELECT source, day, count(n) AS replies, count(*) FILTER (n < 200) AS short FROM s CROSS JOIN d LEFT JOIN p USING (source, day) GROUP BY 1, 2""")
 def crawl_all(spark, sf_dir):
-    """Every source for every day, each a partition of a Python data source."""
-    sources = {str(r[0]): (lambda day: iter([(1,)])) for r in table(spark, sf_dir, "nation").filter("n_nationkey < 2").select("n_nationkey").collect()}
-    return connectors.crawl_all(spark, "tidemark_crawl", "2024-01-30", "2024-02-01", sources, "n int")
+    """Sources by language and day, asked for in two runs of which the second goes on where the first ended, and the pages that have been saved for each request."""
+    path, name = shared_folder(spark, "crawl"), "tidemark_crawl"
+    crawl.register(spark, name, lambda source, day: None, attempts=1)
+    for last in ("2024-01-20", "2024-02-14"):
+        crawl.collect(crawl.replies(spark, name, ["de", "en", "es", "fr"], "2024-01-01", last), f"{path}/t", f"{path}/checkpoint").awaitTermination()
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 45).cast("int")), "yyyy-MM-dd")
+    saved = table(spark, sf_dir, "pages").select(F.regexp_extract(F.coalesce("url", F.lit("")), "^https?://[^/]*/([a-z][a-z])/", 1).alias("source"), day.alias("day"), F.col("html").alias("body"))
+    counts = saved.groupBy("source", "day").agg(F.count("body").alias("replies"), F.count_if(F.length("body") < connectors.SHORTEST_REPLY).alias("short"))
+    requests = spark.read.parquet(f"{path}/t").select("source", "day")
+    return requests.join(counts, ["source", "day"], "left").select("source", "day", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("replies", "short")])
+
+
+@query("SELECT o_custkey AS url, 1 AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) GROUP BY 1")
+def stream_ingest_stateful(spark, sf_dir):
+    """Keys in a state store: those that the table had before and those that have come are added once, over two runs."""
+    path, stream = shared_folder(spark, "stateful"), streamed_orders(spark, sf_dir)
+    known = table(spark, sf_dir, "customer").filter("c_nationkey < 10").select(F.col("c_custkey").cast("string").alias("url"))
+    for _ in range(2):
+        stateful.ingest(stream, f"{path}/t", f"{path}/checkpoint", ["url"], ["title"], known=known).awaitTermination()
+    return stateful.count_keys(stateful.read(spark, f"{path}/t"), ["url"]).select(F.col("url").cast("long").alias("url"), F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 450000 THEN 'new' ELSE 'old' END AS version FROM orders WHERE o_totalprice > 450000 OR o_orderstatus = 'F'")
+def sink_upsert_buckets(spark, sf_dir):
+    """Two merges into a table in buckets."""
+    store = Buckets(spark, shared_folder(spark, "buckets"), ("o_orderkey",), "o_orderkey long, version string")
+    orders = table(spark, sf_dir, "orders")
+    store.merge(orders.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("old").alias("version")), ["version"])
+    store.merge(orders.filter("o_totalprice > 450000").select("o_orderkey", F.lit("new").alias("version")), ["version"])
+    return store.read()
 
 
 @query("SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS n FROM orders GROUP BY 1")
@@ -459,9 +527,10 @@ def more_date_forms(spark, sf_dir):
     )
 
 
-@query("SELECT doc_id, round(CASE WHEN n > 0 THEN i / n ELSE 0 END, 6) AS similarity FROM (SELECT doc_id, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS n FROM (SELECT doc_id, " + "list_distinct([substr('  ' || lower(lang) || ' ', k, 3) for k in range(1, length(lang) + 2)]) AS a, list_distinct([substr('  ' || lower(source) || ' ', k, 3) for k in range(1, length(source) + 2)]) AS b FROM documents))")
+@query(f"""WITH t AS (SELECT doc_id, {_trigrams("lang || ' ' || source")} AS a, {_trigrams("text")} AS b FROM documents), s AS (SELECT doc_id, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n FROM t)
+ SELECT doc_id, round(CASE WHEN n - i > 0 THEN i / (n - i) ELSE 0 END, 6) AS similarity FROM s""")
 def trigram_sql_function(spark, sf_dir):
-    """trigram_similarity() as a function of SQL."""
+    """trigram_similarity() as a function of SQL, on whole texts."""
     relational.register_sql_functions_of_text(spark)
     table(spark, sf_dir, "documents").createOrReplaceTempView("tidemark_documents")
-    return rounded(spark.sql("SELECT doc_id, trigram_similarity(lang, source) AS similarity FROM tidemark_documents"), "similarity")
+    return rounded(spark.sql("SELECT doc_id, trigram_similarity(concat(lang, ' ', source), text) AS similarity FROM tidemark_documents"), "similarity")

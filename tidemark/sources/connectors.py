@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -119,8 +120,8 @@ def search_documents(rows: DataFrame, limit: int | None = None, order: list | No
     return capped(own, limit, order or ["date", "url"]) if limit else own
 
 
-def external(call: Callable[[str], str | None], failures=None) -> Callable[[Column], Column]:
-    """A text service as a function of a column, a batch of texts at a time; a text on which it fails has null."""
+def external(call: Callable[[str], str | None], failures: Accumulator) -> Callable[[Column], Column]:
+    """A text service as a function of a column, a batch of texts at a time; a text on which it fails has null and is counted."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -128,8 +129,7 @@ def external(call: Callable[[str], str | None], failures=None) -> Callable[[Colu
             try:
                 return None if text is None else call(text)
             except Exception:
-                if failures is not None:
-                    failures.add(1)
+                failures.add(1)
                 return None
 
         return texts.map(one)

@@ -17,7 +17,7 @@ MIN_NEWS, MIN_MINUTES, MIN_BOND = 10, 50, 20
 
 
 NEWS_SOURCES = ("yonhap", "edaily", "infomax")
-#: Columns that a report's CSV file may have.
+#: Columns that a report's CSV file may have; a file with more is named among the broken ones.
 WIDTH = 32
 
 
@@ -59,9 +59,10 @@ def news_list(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return spark.read.schema(S.NEWS_SAMPLE).option("multiLine", not lines).json(path)
 
 
-def news_year(spark: SparkSession, folder: str, year: int, month: int | None = None) -> DataFrame:
-    names = f"*{year}*{month:02d}*.json" if month else f"*{year}*.json"
-    return news_months(spark, f"{folder.rstrip('/')}/{names}")
+def news_year(spark: SparkSession, folder: str, year: int, month: int | None = None, suffix: str = ".json", names: str = "*.json") -> DataFrame:
+    """The files, or folders of files, whose name has the year, and after it the month if one is given."""
+    found = f"*{year}*{month:02d}*{suffix}" if month else f"*{year}*{suffix}"
+    return news_months(spark, f"{folder.rstrip('/')}/{found}", names)
 
 
 def minutes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -81,20 +82,24 @@ def bonds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return _or_empty(lambda: spark.read.schema(S.BOND).option("multiLine", not lines).json(path), spark, S.BOND)
 
 
-def bond_files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def bond_files(spark: SparkSession, folder: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """Reports of small CSV files, sorted by date, and the files or rows that couldn't be used with the reason.
 
-    Each file is read by its own header, so files of several layouts may lie in one folder.
+    Each file is read by its own header, so files of several layouts may lie in one folder. The header of a file may have
+    `width` columns; one column more is read to tell.
     """
-    cells = [f"c{k}" for k in range(WIDTH)]
+    cells = [f"c{k}" for k in range(width + 1)]
     reader = spark.read.schema(", ".join(f"{c} string" for c in cells)).option("multiLine", True).option("quote", '"').option("escape", '"').option("pathGlobFilter", "*.csv")
     raw = reader.option("recursiveFileLookup", True).csv(folder).select(F.col("_metadata.file_path").alias("path"), file_name().alias("file"), F.monotonically_increasing_id().alias("place"), F.array(*cells).alias("cells"))
     first = F.min(F.struct("place", "cells"))
     heads = raw.groupBy("path", "file").agg(first["place"].alias("head"), F.transform(first["cells"], lambda c: F.lower(F.trim(c))).alias("names"))
     required = F.array(*[F.lit(c) for c in ("date", "title", "content")])
-    heads = heads.withColumn("missing", F.array_except(required, "names"))
-    broken = heads.filter(F.size("missing") > 0).select("file", F.concat(F.lit("missing columns: "), F.array_join("missing", ", ")).alias("error"))
-    rows = raw.join(heads.filter(F.size("missing") == 0).drop("file"), "path").filter("place <> head")
+    missing = F.array_except(required, F.array_compact("names"))
+    problem = F.when(F.get("names", F.lit(width)).isNotNull(), F.lit(f"more than {width} columns"))
+    problem = problem.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", ")))
+    heads = heads.withColumn("error", problem)
+    broken = heads.filter("error is not null").select("file", "error")
+    rows = raw.join(heads.filter("error is null").select("path", "head", "names"), "path").filter("place <> head")
     value = lambda name: F.get("cells", (F.array_position("names", name) - 1).cast("int"))
     link = F.coalesce(*[F.when(F.array_contains("names", n), value(n)) for n in ("link", "pdf_url")])
     own = rows.select(F.regexp_replace(value("date"), r"\.", "-").alias("date"), value("title").alias("title"), value("content").alias("content"), link.alias("link"), "file")
@@ -112,9 +117,9 @@ def call_rates(spark: SparkSession, path: str) -> DataFrame:
 
 def base_rates(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """date and rate of `연도`, `날짜` and `기준금리` columns; dates are `N월 N일` or written in full, rates may have a `%`."""
-    raw = spark.read.option("multiLine", not lines).json(path)
+    raw = spark.read.schema("`연도` string, `날짜` string, `기준금리` string").option("multiLine", not lines).json(path)
     day = F.coalesce(D.dashed(F.col("날짜")), D.month_day(F.col("연도"), F.col("날짜")))
-    return raw.select(day.alias("date"), F.regexp_replace(F.col("기준금리").cast("string"), "%", "").try_cast("double").alias("rate"))
+    return raw.select(day.alias("date"), F.regexp_replace("기준금리", "%", "").try_cast("double").alias("rate"))
 
 
 def dated_ngrams(spark: SparkSession, ngrams_path: str, labels_path: str) -> DataFrame:
@@ -142,7 +147,8 @@ def file_counts(spark: SparkSession, folders: dict[str, tuple[str, str]]) -> dic
     out = {}
     for name, (kind, path) in folders.items():
         try:
-            out[name] = spark.read.option("multiLine", kind == "list").json(path).count() if kind in ("list", "lines") else spark.read.format("binaryFile").load(path).select("path").count()
+            # a schema of one absent field: items are counted, and no schema is inferred from the whole data before
+            out[name] = spark.read.schema("`-` string").option("multiLine", kind == "list").json(path).count() if kind in ("list", "lines") else spark.read.format("binaryFile").load(path).select("path").count()
         except AnalysisException:
             out[name] = 0
     return out
