@@ -6,10 +6,12 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..functions import morphology
+from .. import schemas
+from ..functions import cleansing, morphology, numeric
 from ..functions import text as X
-from ..operators import containment, vocabulary
-from .catalogue import _WHITE, QUERIES, SQL, _grams, grams, query, table, texts
+from ..operators import bayes, containment, dedup, evaluate, relational, vocabulary
+from ..sources import connectors
+from .catalogue import _BAGS, _COUNTS, _SCORED, _SPLITS, _TOKENS, _WHITE, MIN, QUERIES, SQL, _collapse, _grams, bags_of, grams, query, rounded, scored, table, texts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -103,3 +105,108 @@ def json_nested(spark, sf_dir):
     )
     own = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
     return own.select("event_id", *[X.holds_json(F.col("doc"), n).alias(name) for name, n in NEEDLES.items()])
+
+
+# --- small operators over whole tables ------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(array_to_string(regexp_extract_all('금리' || lang || '인상, ' || text || '물가', '[가-힣]+'), ' ')) AS digest FROM documents")
+def hangul_runs(spark, sf_dir):
+    own = table(spark, sf_dir, "documents")
+    return own.select("doc_id", F.md5(cleansing.keep_hangul(F.concat(F.lit("금리"), "lang", F.lit("인상, "), "text", F.lit("물가")))).alias("digest"))
+
+
+@query(f"SELECT doc_id, md5(substr({_collapse('text')}, 1, 50000)) AS digest FROM documents")
+def pdf_texts(spark, sf_dir):
+    """White space collapsed; the cut at 50,000 characters is the published one."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(cleansing.pdf_text(F.col("text"))).alias("digest"))
+
+
+@query(f"WITH tok AS (SELECT {_TOKENS} AS t FROM documents), g AS (SELECT unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i:i + 1])) AS w FROM tok) SELECT array_to_string(w, ' ') AS ngram, count(*) AS n FROM g WHERE w[1] <> w[2] GROUP BY 1")
+def chart_ngrams(spark, sf_dir):
+    """Two-word n-grams that charts may show."""
+    own = table(spark, sf_dir, "documents").select(F.explode(X.ngrams(X.content_words(F.col("text")), 2)).alias("ngram"))
+    return own.groupBy("ngram").agg(F.count("*").alias("n")).filter(X.presentable_ngram(F.col("ngram")))
+
+
+@query(f"""SELECT page_id, md5(array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: {_collapse("regexp_replace(p, '<[^>]*>', '', 'g')")}), lambda p: p <> '' AND NOT starts_with(p, '※')), chr(10))) AS digest FROM pages""")
+def paragraph_texts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.paragraphs(F.col("html"))).alias("digest"))
+
+
+_COUNTED = ("nation", "orders", "documents", "pages", "events")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _COUNTED) + " UNION ALL SELECT 'absent', 0")
+def row_counts(spark, sf_dir):
+    """Rows of tables by name, 0 for one that isn't there."""
+    for t in _COUNTED:
+        table(spark, sf_dir, t).createOrReplaceTempView(f"tidemark_{t}")
+    counts = relational.row_counts(spark, [f"tidemark_{t}" for t in (*_COUNTED, "absent")])
+    return spark.createDataFrame([(k.removeprefix("tidemark_"), n) for k, n in counts.items()], "name string, n long")
+
+
+@query("SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) = 1")
+def dedup_title_date(spark, sf_dir):
+    own = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    return dedup.first_of(own, ["o_custkey", "day"], ["o_orderkey"]).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
+def result_cap(spark, sf_dir):
+    """The newest results up to the search service's limit."""
+    own = connectors.capped(table(spark, sf_dir, "orders"), connectors.MAX_RESULTS, [F.desc("o_orderdate"), "o_orderkey"])
+    return own.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+
+
+@query(f"""WITH {_BAGS}, {_COUNTS}, p AS (SELECT ngram, count_0 / sum(count_0) OVER () AS p0, count_1 / sum(count_1) OVER () AS p1 FROM counts)
+ SELECT ngram, p0 = 0 AS never_0, p1 = 0 AS never_1, round(CASE WHEN p0 > 0 THEN ln(p0) END, 6) AS log_0, round(CASE WHEN p1 > 0 THEN ln(p1) END, 6) AS log_1 FROM p""")
+def unsmoothed_logs(spark, sf_dir):
+    """The notebook's model without smoothing: what a class never has counts as minus infinity."""
+    own = bayes.probability_table(bags_of(spark, sf_dir), MIN, epsilon=False)
+    logs = {k: numeric.log_or_minus_infinity(F.col(f"prob_{k}")) for k in (0, 1)}
+    never = {k: logs[k] == F.lit(float("-inf")) for k in logs}
+    return own.select("ngram", *[never[k].alias(f"never_{k}") for k in never], *[F.round(F.when(~never[k], logs[k]), 6).alias(f"log_{k}") for k in logs])
+
+
+@query(f"""WITH {_BAGS}, {_SPLITS}, {_SCORED}, c AS (SELECT label, pred, count(*) AS n FROM preds GROUP BY 1, 2)
+ SELECT label, pred, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 6) AS pct FROM (SELECT unnest([0, 1]) AS label) CROSS JOIN (SELECT unnest([0, 1]) AS pred) LEFT JOIN c USING (label, pred)""")
+def confusion_shares(spark, sf_dir):
+    return rounded(evaluate.cell_shares(evaluate.confusion(scored(spark, sf_dir))), "pct")
+
+
+@query("""WITH a AS (SELECT count(*) AS n, avg((toxic = 0)::INT) AS accuracy FROM labels WHERE quality IS NOT NULL), b AS (SELECT *, round_even(n * 0.5, 0) AS ones FROM a),
+ c AS (SELECT n, ones, round_even(ones * accuracy, 0) AS tp, round_even((n - ones) * accuracy, 0) AS tn FROM b) SELECT tp::BIGINT AS tp, (ones - tp)::BIGINT AS fn, tn::BIGINT AS tn, (n - ones - tn)::BIGINT AS fp FROM c""")
+def cells_from_accuracy(spark, sf_dir):
+    """A symmetric matrix from a total and an accuracy: here of calling every labelled document clean."""
+    a = table(spark, sf_dir, "labels").filter("quality is not null").agg(F.count("*").alias("n"), F.avg((F.col("toxic") == 0).cast("int")).alias("accuracy")).first()
+    cells = evaluate.cells_from_accuracy(a["n"], a["accuracy"] or 0.0)
+    return spark.createDataFrame([tuple(cells.values())], ", ".join(f"{k} long" for k in cells))
+
+
+@query("""SELECT 'required' AS problem, count(*) AS n FROM documents WHERE doc_id IS NULL OR text IS NULL OR lang IS NULL
+ UNION ALL SELECT 'unique', count(*) FROM (SELECT doc_id FROM labels GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'parent', count(*) FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+def schema_checks(spark, sf_dir):
+    """Required fields, unique keys and references; the parents are the English documents, so some are missing."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    whole = schemas.required(documents, "doc_id", "text", "lang").agg(F.count("*").alias("whole"))
+    lacking = documents.agg(F.count("*").alias("rows")).join(F.broadcast(whole)).select((F.col("rows") - F.col("whole")).alias("n"))  # one row each
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("problem"), "n")
+    repeated = one(schemas.unique_violations(labels, "doc_id"), "unique")
+    orphans = one(schemas.missing_parents(labels, "doc_id", documents.filter("lang = 'en'"), "doc_id"), "parent")
+    return lacking.select(F.lit("required").alias("problem"), "n").union(repeated).union(orphans)
+
+
+@query("SELECT page_id, md5(url) AS title, page_id % 7 AS place FROM pages WHERE url IS NOT NULL")
+def page_script_items(spark, sf_dir):
+    """Items of an object literal in a page's script."""
+    script = F.format_string("<script>var items = [{title: '%s', place: %s, page: %s}];</script>", F.md5("url"), F.col("page_id") % 7, F.col("page_id"))
+    own = table(spark, sf_dir, "pages").filter("url is not null").select(F.concat(F.coalesce("html", F.lit("")), script).alias("body"))
+    return connectors.script_items(own, "title: string, place: bigint, page: bigint", "items").select(F.col("page").alias("page_id"), "title", "place")
+
+
+@query("SELECT doc_id, CAST(length(text) AS VARCHAR) AS reply FROM documents")
+def external_service(spark, sf_dir):
+    """A text service in place: its reply is the text's length; what it fails on would be counted."""
+    failures = spark.sparkContext.accumulator(0)
+    return table(spark, sf_dir, "documents").select("doc_id", connectors.external(lambda t: str(len(t)), failures)(F.col("text")).alias("reply"))
