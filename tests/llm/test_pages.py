@@ -373,3 +373,42 @@ def test_warc_query(spark, sf):
     assert sorted(tuple(r) for r in warc.query(spark, sf).collect()) == sorted(brute_warc(rows, 0))
     digest = spark.range(1).select(warc.base32_sha1(F.lit("abc"))).first()[0]
     assert digest == base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+
+
+LONG_TEXT = "This is the text of a page that we have read, and it was written by one who is at home in the matter of which it is about."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<body>{f'<p class=legal>{LONG_TEXT}</p>' * 4}</body>", [LONG_TEXT] * 4),
+    (f"<article><h1>Head</h1>{f'<p class=\"related-text\">{LONG_TEXT}</p>' * 4}</article>", ["Head", *[LONG_TEXT] * 4]),
+    (f"<body><p>{LONG_TEXT}</p><p class=notice>{LONG_TEXT}</p><p>{LONG_TEXT}</p></body>", [LONG_TEXT] * 2),
+    ("<div><a>Home</a> <a>News</a></div><h1>Title</h1><p>Short text.</p><div class=footer>Foot</div>", ["Title", "Short text."]),
+    ("<h1>Title</h1><p>Short text.</p>", ["Title", "Short text."]),
+    (f"<article><p>{LONG_TEXT}</p></article><article class='comment'><p>{LONG_TEXT} Nice.</p></article>", [LONG_TEXT]),
+    (f"<article class='comments-open post'><p>{LONG_TEXT}</p></article>", [LONG_TEXT]),
+    (f"<div class='nav-open'><p>{LONG_TEXT} Menu.</p></div><p>{LONG_TEXT}</p>", [LONG_TEXT]),
+    (f"<div class='cookie-banner-open'><p>{LONG_TEXT} Cookies.</p></div><div class='has-sidebar'><p>{LONG_TEXT}</p></div>", [LONG_TEXT]),
+    (f"<p>{LONG_TEXT} <math><mi>x</mi></math> is it.</p>", [f"{LONG_TEXT} x is it."]),
+    (f"<p>{LONG_TEXT} <span class=ad>Buy</span>now</p>", [f"{LONG_TEXT} now"]),
+    (f"<p><span class=legal>{LONG_TEXT}</span></p>", [LONG_TEXT]),
+    (f"<p>{LONG_TEXT}</p><p hidden>{LONG_TEXT} Hidden.</p>", [LONG_TEXT]),
+    (f"<p hidden>{LONG_TEXT}</p>", []),
+])
+def test_suspects(page, want):
+    assert html_extract.main_text(page).split("\n") == (want or [""])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</td>" * 200_000, "<div>" * 150_000 + "</div>" * 150_000, "<td></div>" * 100_000, "<p class=nav-open>x" * 50_000, "<span class=ad>" * 60_000])
+def test_nesting_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def test_long_address(spark):
+    """The cost of an address follows its length."""
+    rows = [(k, f"http://a.com/x/{'ab-' * n}", None) for k, n in enumerate((3, 350_000))] + [(9, "http://x.com/en/1", None), (10, "http://x.net/de/1", None)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(frame(spark, rows)).collect()}
+    assert set(got) == {0, 1, 9, 10} and got[9] == "block" and got[10] == "allow"

@@ -1,13 +1,14 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Menus, asides, page headers and footers, buttons, dialogs and hidden
-elements go by their element, role or attribute. Elements whose class or id names such a thing, and forms, are
-suspects: they go unless they hold the page's content, so a class word alone never condemns the article.
+elements go by their element, role or attribute. Elements whose class or id names such a thing, paragraphs, headings and
+inline elements among them, and forms, are suspects: they go unless the page has no content without them. A word of a
+state counts only before the word that it is about: `has-sidebar` names an element beside a sidebar, `nav-open` a menu.
 
 The first pass decides the clear blocks of what is left: mostly links, or a short copyright line, is boilerplate; long
 ones, and shorter ones with enough stop words, are content. On pages in a language without known stop words length
 decides alone. The second pass gives each open block the label of its nearest decided neighbours, a heading that of
-the next one. Where a page marks its article, neighbours are those of the same article, equally near ones count as
+the next one. Where nothing on a page is decided as content, open blocks without links are. Where a page marks its article, neighbours are those of the same article, equally near ones count as
 content, and open blocks outside of it only become content between two content blocks.
 
 Edge cases: null or empty HTML gives an empty text; unclosed and stray tags are tolerated, and cost no more than others
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 # HTML element names and common class words.
-RAW = frozenset("script style textarea title noscript template svg math iframe object select canvas audio video".split())
+RAW = frozenset("script style textarea title noscript template svg iframe object select canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -46,6 +47,8 @@ CLASSES = frozenset(
 )
 #: Words that make a class the state of an element, and those that name content.
 STATES = frozenset("with without no has is not open opened enabled closed disabled on off active allow allowed layout".split())
+#: Those that also count on an article element.
+ARTICLE_CLASSES = frozenset("comment comments disqus reply replies respond related recommended recommendations sponsored advert advertisement promo".split())
 CONTENT_CLASSES = frozenset("main content article post entry story body text page".split())
 STOP_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she so that the their they this to was we were which will with you "
@@ -81,6 +84,7 @@ class Block:
     linked: int
     node: int
     bad: bool
+    soft: bool  # a suspect by its own class
     heading: bool
     stop: float
 
@@ -92,17 +96,16 @@ class Block:
         return self.linked > LINK_DENSITY * self.size or self.size < LONG and ("©" in self.text or self.text[:9].lower() == "copyright")
 
 
-def _names_boilerplate(value: str) -> bool:
+def _names_boilerplate(value: str, names: frozenset = CLASSES) -> bool:
     """Whether one of the classes, not that of a state, names boilerplate and none names content."""
     bad = False
     for token in value.split():
         words = [w.lower() for w in _CLASS_WORD.findall(token)]
-        if STATES.intersection(words):
-            continue
-        if CLASSES.intersection(words):
-            bad = True
-        elif CONTENT_CLASSES.intersection(words):
-            return False
+        first = next((k for k, w in enumerate(words) if w in names), None)
+        if first is not None:
+            bad |= not STATES.intersection(words[:first])
+        elif CONTENT_CLASSES.intersection(words) and not STATES.intersection(words):
+            return names is not CLASSES and bad
     return bad
 
 
@@ -118,7 +121,7 @@ def _hints(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
             hard = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hard = True
-        elif name in ("class", "id") and tag not in ("article", "main") and _names_boilerplate(value):
+        elif name in ("class", "id") and tag != "main" and _names_boilerplate(value, ARTICLE_CLASSES if tag == "article" else CLASSES):
             soft = True
     return hard, soft
 
@@ -166,33 +169,36 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
     out: list[Block] = []
     nodes = [Node(-1, "")]
     now = 0
-    parts: list[tuple[str, bool]] = []
-    link = heading = leaf = False
-    skipped, depth = "", 0  # an inline element whose text is left out
+    open_tags: dict[str, int] = {}  # how many elements of a name are open, so that no stray end tag looks for one
+    parts: list[tuple[str, bool, bool]] = []  # text, whether it is in a link, whether it is in a suspect
+    link = heading = hidden = suspect = False
+    skipped, depth, gone = "", 0, False  # an inline element that is a suspect, or whose text is left out
     before = 0
 
     def close() -> None:
         nonlocal parts
-        if parts:
-            words = html.unescape("".join(p for p, _ in parts)).split()
-            if words:
-                text = " ".join(words)
-                linked = " ".join(html.unescape(p) for p, own in parts if own)
-                stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words)
-                size = max(len(words), len(text) // WIDE_WORD)
-                out.append(Block(text, size, max(len(linked.split()), len(linked) // WIDE_WORD), now, leaf, heading, stops / len(words)))
-            parts = []
+        # suspects within a block go, unless they are all of it
+        whole = all(s for p, _, s in parts if p.strip())
+        own = parts if whole else [x for x in parts if not x[2]]
+        parts = []
+        words = html.unescape("".join(p for p, _, _ in own)).split()
+        if words:
+            text = " ".join(words)
+            linked = " ".join(html.unescape(p) for p, link_, _ in own if link_)
+            stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words)
+            size = max(len(words), len(text) // WIDE_WORD)
+            out.append(Block(text, size, max(len(linked.split()), len(linked) // WIDE_WORD), now, hidden, suspect or whole and own[0][2], heading, stops / len(words)))
 
     for tag, opens, attributes, begin, end in tags(page):
-        if begin > before and not depth:
-            parts.append((page[before:begin], link))
+        if begin > before and not (depth and gone):
+            parts.append((page[before:begin], link, depth > 0))
         before = end
         if not tag:
             continue
         if tag in BLOCK:
             depth = 0
             close()
-            leaf, heading = False, opens and tag in HEADINGS
+            hidden, suspect, heading = False, False, opens and tag in HEADINGS
             if tag in CONTAINER:
                 link = False
                 if opens:
@@ -200,27 +206,27 @@ def blocks(page: str) -> tuple[list[Block], list[Node]]:
                     hard, soft = _hints(tag, attributes, article >= 0)
                     nodes.append(Node(now, tag, hard, soft, len(nodes) if article < 0 and tag in ("article", "main") else article))
                     now = len(nodes) - 1
-                else:
-                    k = now
-                    while k and nodes[k].tag != tag:
-                        k = nodes[k].parent
-                    if k:
-                        now = nodes[k].parent
+                    open_tags[tag] = open_tags.get(tag, 0) + 1
+                elif open_tags.get(tag):
+                    closed = ""
+                    while closed != tag:
+                        closed, now = nodes[now].tag, nodes[now].parent
+                        open_tags[closed] -= 1
             elif opens and tag not in ("body", "html", "head"):
-                leaf = any(_hints(tag, attributes, True))
+                hidden, suspect = _hints(tag, attributes, True)
         elif tag in RAW:
-            if tag not in ("svg", "math"):
+            if tag != "svg":
                 close()
         elif tag == "a":
             link = opens
         elif tag == "br":
-            parts.append((" ", link))
+            parts.append((" ", link, depth > 0))
         elif depth:
             depth += (tag == skipped) * (1 if opens else -1)
-        elif opens and tag in INLINE and attributes and any(_hints(tag, attributes, True)):
-            skipped, depth = tag, 1
-    if before < len(page) and not depth:
-        parts.append((page[before:], link))
+        elif opens and tag in INLINE and attributes and any(hints := _hints(tag, attributes, True)):
+            skipped, depth, gone = tag, 1, hints[0]
+    if before < len(page) and not (depth and gone):
+        parts.append((page[before:], link, depth > 0))
     close()
     return out, nodes
 
@@ -260,7 +266,9 @@ def main_blocks(found: list[Block], nodes: list[Node]) -> list[Block]:
         spared |= {k for k, n in enumerate(nodes) if n.soft and k in has_long and 2 * inside[k] > held}
         gone = _condemned(nodes, spared)
 
-    left = [b for b in found if not b.bad and not gone[b.node]]
+    # suspects by their own class count only where nothing else does
+    alone = not any(r and not b.soft and not gone[b.node] for b, r in zip(found, rich, strict=True))
+    left = [b for b, r in zip(found, rich, strict=True) if not b.bad and not gone[b.node] and (not b.soft or alone and r)]
     article = [nodes[b.node].article for b in left]
     content = [b.is_content(known) for b in left]
     share = lambda inner: sum(b.size for b, c, a in zip(left, content, article, strict=True) if c and (a >= 0) == inner and (inner or b.size >= LONG))
@@ -272,6 +280,8 @@ def main_blocks(found: list[Block], nodes: list[Node]) -> list[Block]:
     for b, c, a in zip(left, content, article, strict=True):
         # what a marked article leaves outside is open at best
         labels.append(False if b.is_boilerplate() else True if c and (a >= 0 or not marked) else None)
+    if not any(labels):
+        return [b for b, x in zip(left, labels, strict=True) if x is None and not b.linked]
     before: list[int] = []
     seen: dict[int, int] = {}
     last = -1

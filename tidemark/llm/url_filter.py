@@ -52,9 +52,10 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def triples(host: Column, path: Column) -> Column:
     """Every character of the folded address, and its end, with the two before it."""
     folded = F.regexp_replace(F.translate(F.concat(host, path), UPPER, LOWER), r"[^a-z0-9./_-]", "~")
-    padded = F.concat(F.lit("^^"), folded, F.lit("$"))
-    # within the outer lambda the padded address is computed once, not for each character
-    return F.get(F.transform(F.array(padded), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))), 0)
+    # an array of characters, since cutting a string at a place counts its characters from the start; within the outer
+    # lambda it is computed once, not for each character
+    letters = F.split(F.concat(F.lit("^^"), folded, F.lit("$")), "")
+    return F.get(F.transform(F.array(letters), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))), 0)
 
 
 #: The counts of a triple: among accepted and rejected addresses of each half.
@@ -96,7 +97,7 @@ def threshold(scores: DataFrame) -> float | None:
     """The middle of the step of the grid at which the two kinds' error rates have the smallest sum; None without both kinds."""
     # scores are means of log ratios, clipped to [-10, 10]: 2,001 rows for each verdict at most
     grid = F.round(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col("other_score"))) / STEP).cast("int")
-    rows = scores.filter("rule_verdict is not null").groupBy("rule_verdict", grid.alias("g")).agg(F.sum("copies").alias("n")).collect()
+    rows = scores.filter("rule_verdict is not null").groupBy("rule_verdict", grid.alias("g")).agg(F.count("*").alias("n")).collect()
     kinds = {v: {r["g"]: r["n"] for r in rows if r["rule_verdict"] == v} for v in ("allow", "block")}
     n = {v: sum(x.values()) for v, x in kinds.items()}
     if not all(n.values()):
@@ -117,19 +118,17 @@ def judge(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "u
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     half = (F.substring(F.md5(F.concat("host", "path")), 1, 1) >= "8").cast("int")
     own = own.select("*", rule.alias("rule"), verdict.alias("rule_verdict"), half.alias("half"))
-    letters = own.select("*", F.explode(triples(F.col("host"), F.col("path"))).alias("w"))
+    # rows are numbered, so that characters travel with a number and not with their address
+    own = C.scratch(own.withColumn("_row", F.monotonically_increasing_id()), "addresses")
+    letters = own.select("_row", "half", "rule_verdict", F.explode(triples(F.col("host"), F.col("path"))).alias("w"))
     counts = [F.count_if((F.col("rule_verdict") == c[:-1]) & (F.col("half") == int(c[-1]))).alias(c) for c in COUNTS]
     ratios = log_ratio(C.scratch(letters.groupBy("w").agg(*counts), "triples"))
-    keys = ["page_id", "host", "path", "rule", "rule_verdict"]
     other = F.when(F.col("half") == 0, F.col("ratio0")).otherwise(F.col("ratio1"))
-    scores = letters.join(F.broadcast(ratios), "w").groupBy(*keys).agg(F.avg("ratio").alias("score"), F.avg(other).alias("other_score"), F.count("*").alias("n"))
-    # rows that repeat a page and address meet in one group: as often as their characters do
-    length = F.size(triples(F.col("host"), F.col("path")))
-    scores = C.scratch(scores.select(*keys, "score", "other_score", (F.col("n") / length).cast("int").alias("copies")), "scores")
+    means = letters.join(F.broadcast(ratios), "w").groupBy("_row").agg(F.avg("ratio").alias("score"), F.avg(other).alias("other_score"))
+    scores = C.scratch(own.join(means, "_row").select("page_id", "host", "path", "rule", "rule_verdict", "score", "other_score"), "scores")
     limit = threshold(scores)
     model = F.lit("allow") if limit is None else F.when(F.col("score") >= limit, "allow").otherwise("block")
-    out = scores.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", model).alias("verdict"), "score", "other_score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return out.drop("copy")
+    return scores.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", model).alias("verdict"), "score", "other_score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
