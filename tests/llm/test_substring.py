@@ -85,3 +85,24 @@ def test_repeated_rows(spark):
     rows = [(1, run("a")), (2, run("a") + " " + run("b")), (2, run("c")), (2, run("c")), (3, run("c"))]
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in S.remove_repeats(frame(spark, rows)).collect())
     assert got == [(1, 20, 0), (2, 20, 0), (2, 20, 0), (2, 40, 20), (3, 20, 20)]
+
+
+def test_many_equal_rows(spark):
+    """Rows that repeat an id and a long text cost no more than others."""
+    import time
+
+    text = " ".join(f"w{k}" for k in range(2000))
+    rows = [(1, text)] + [(2, text + " tail")] * 4000 + [(3, "a b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    began = time.time()
+    got = {tuple(r) for r in S.remove_repeats(docs).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {(1, 2000, 0), (2, 2001, 2000), (3, 2, 0)}
+    assert time.time() - began < 90
+
+
+def test_equal_pairs_over_batches():
+    batch = lambda rows: pa.RecordBatch.from_pydict({"fp": pa.array([f for f, _ in rows], pa.int64()), "doc_id": pa.array([d for _, d in rows], pa.int64())})
+    parts = [[(1, 1), (1, 1), (1, 2)], [(1, 2)], [(1, 2), (1, 3), (2, 5)], [(2, 5), (3, 1), (3, 4)]]
+    got = [(f, d, later) for b in S.shared_fingerprints(map(batch, parts)) for f, d, later in zip(*(b.column(c).to_pylist() for c in ("fp", "doc_id", "later")), strict=True)]
+    assert sorted(got) == [(1, 1, False), (1, 2, True), (1, 3, True), (3, 1, False), (3, 4, True)]

@@ -87,9 +87,17 @@ def shared_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     is kept, as soon as another document turns up.
     """
     held_fp = held_doc = None
+    sent = (None, None)  # the last pair of the batch before
     waiting = False  # whether the open group's first document has yet to be sent
     for batch in batches:
         fp, doc = batch.column("fp").to_numpy(), batch.column("doc_id").to_numpy()
+        if not len(fp):
+            continue
+        new = np.ones(len(fp), bool)  # a document counts once for a fingerprint
+        new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
+        new[0] = (fp[0], doc[0]) != sent
+        sent = (fp[-1], doc[-1])
+        fp, doc = fp[new], doc[new]
         if not len(fp):
             continue
         start = np.ones(len(fp), bool)
@@ -202,6 +210,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     schema = "doc_id long, t long, w array<long>, at array<int>, w_first array<long>"
     windows = C.scratch(both.mapInArrow(lambda it: candidate_windows(window, frequent, it), schema), "windows")
     C.discard(lists)
+    # rows that repeat an id and text have the same windows, which count once and mark all of them
+    repeated = C.scratch(docs.groupBy("doc_id", "t").agg(F.count("*").alias("n")).filter("n > 1").select("t"), "repeated")
+    if repeated.limit(1).count():
+        own = C.maybe_in(windows, repeated, "t")
+        windows = C.scratch(own.filter("not _maybe").drop("_maybe").union(own.filter("_maybe").drop("_maybe").dropDuplicates(["doc_id", "t"])), "windows")
+    C.discard(repeated)
     del both, lists, shared, dealt
     C.release(spark)
 
