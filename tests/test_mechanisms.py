@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import morphology
 from tidemark.functions import text as X
-from tidemark.operators import containment
+from tidemark.operators import containment, similar
 from tidemark.sources.buckets import Buckets
 from tidemark.streaming import crawl, stateful
 
@@ -199,3 +199,34 @@ def test_crawl_replays_a_batch(spark, tmp_path):
         file.unlink()
     run()
     assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+
+
+# --- similarity
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.85, 1.0])
+def test_search_brute(spark, least):
+    r = random.Random(4)
+    words = ["rate", "rates", "hike", "hikes", "금리", "인상", "동결", "a", "Fed", "the", "policy"]
+    titles = [" ".join(r.choice(words) for _ in range(r.randrange(0, 6))) for _ in range(90)] + [None, "", "--", "Rate hike", "rate HIKE!"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "k int, t string")
+
+    def grams(t):
+        return {f"  {w} "[i : i + 3] for w in "".join(c if c.isalnum() else " " for c in t.lower()).split() for i in range(len(w) + 1)}
+
+    first = {}
+    for k, t in enumerate(titles):
+        if t is not None:
+            first.setdefault(t, k)
+    asked = {}
+    for k, t in enumerate(titles):
+        if t is not None and k % 5 == 0:
+            asked.setdefault(t, k)
+    want = {}
+    for q, k in asked.items():
+        for t, j in first.items():
+            a, b = grams(q), grams(t)
+            if q != t and a and b and len(a & b) / len(a | b) >= least:
+                want[k, j] = (round(len(a & b) / len(a | b), 9), titles.count(t))
+    got = {(x.query, x.id): (round(x.similarity, 9), x.copies) for x in similar.search(rows.filter("k % 5 = 0"), rows, "k", "t", least).collect()}
+    assert got == want and (want or least == 1.0)

@@ -22,6 +22,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ COST, LARGEST, CACHED, LONGEST = 10_000, 2_000_000, 200_000, 1_000
 TOKENS = "array<struct<token: string, pos: string>>"
 
 
+@lru_cache(4096)
 def kind_of(character: str) -> str:
     if "가" <= character <= "힣":
         return "hangul"
@@ -104,17 +107,47 @@ class Analyser:
                 merged.append([begin, end, tag, known])
         return [(word[b:e], t) for b, e, t, _ in merged]
 
+    def plain_path(self, word: str) -> list[tuple[str, str]]:
+        """The same without costs between tags: one best way to each place."""
+        ends: dict[int, list] = {}
+        if len(self.automaton):
+            for last, (length, own) in self.automaton.iter(word):
+                ends.setdefault(last + 1, []).append((last + 1 - length, own))
+        # cost, tokens, tag, begin, unknown
+        best: list[tuple] = [(0, 0, "", -1, False)]
+        for i, c in enumerate(word):
+            before = best[i]
+            way = (before[0] + self.unknown, before[1] + 1, UNKNOWN[kind_of(c)], i, True)
+            for begin, own in ends.get(i + 1, ()):
+                before = best[begin]
+                for tag, cost in own:
+                    new = (before[0] + cost, before[1] + 1, tag, begin, False)
+                    if new < way:
+                        way = new
+            best.append(way)
+        out: list[tuple[str, str]] = []
+        end, joins = len(word), False
+        while end:
+            _, _, tag, begin, unknown = best[end]
+            if joins and unknown and out[-1][1] == tag:
+                out[-1] = (word[begin:end] + out[-1][0], tag)
+            else:
+                out.append((word[begin:end], tag))
+            end, joins = begin, unknown
+        return out[::-1]
+
     def word(self, word: str) -> list[tuple[str, str]]:
-        found = self.seen.get(word)
-        if found is None:
-            found = [x for at in range(0, len(word), LONGEST) for x in self.path(word[at : at + LONGEST])]
-            if len(self.seen) >= CACHED:
-                self.seen.clear()
-            self.seen[word] = found
+        """Analyses a word, and remembers it."""
+        path = self.path if self.follows else self.plain_path
+        found = path(word) if len(word) <= LONGEST else [x for at in range(0, len(word), LONGEST) for x in path(word[at : at + LONGEST])]
+        if len(self.seen) >= CACHED:
+            self.seen.clear()
+        self.seen[word] = found
         return found
 
     def text(self, text: str) -> list[tuple[str, str]]:
-        return [x for w in text.split() for x in self.word(w)]
+        seen = self.seen
+        return [x for w in text.split() for x in (seen.get(w) or self.word(w))]
 
 
 def _rows(table: DataFrame, names: list[str]) -> list[tuple]:
@@ -133,6 +166,8 @@ _built: dict[str, Analyser] = {}
 def tokenizer(dictionary: DataFrame, follows: DataFrame | None = None, unknown: int = COST, lower: bool = True) -> Tokenizer:
     """A tokenizer of columns. dictionary: surface, tag, cost; follows: tag, next_tag, cost."""
     spark = dictionary.sparkSession
+    # texts can be very long, and an analysis is several times as large as its text
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
     own = dictionary.select(F.lower("surface").alias("surface") if lower else "surface", "tag", F.col("cost").cast("long").alias("cost")).filter("surface <> ''")
     entries = sorted(_rows(own, ["surface", "tag", "cost"]))
     pairs = {(a, b): c for a, b, c in sorted(_rows(follows.withColumn("cost", F.col("cost").cast("long")), ["tag", "next_tag", "cost"]), reverse=True)} if follows is not None else {}
@@ -147,8 +182,8 @@ def tokenizer(dictionary: DataFrame, follows: DataFrame | None = None, unknown:
         one = _built[number]
         for batch in batches:
             found = [one.text(t) if t else [] for t in batch.to_pylist()]
-            flat = [x for own in found for x in own]
-            structs = pa.StructArray.from_arrays([pa.array([x[k] for x in flat], pa.string()) for k in (0, 1)], ["token", "pos"])
+            flat = list(zip(*chain.from_iterable(found), strict=True)) or [(), ()]
+            structs = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in flat], ["token", "pos"])
             yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), structs)
 
     def apply(text: Column) -> Column:

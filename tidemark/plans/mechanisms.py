@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import cleansing, morphology, numeric
 from ..functions import text as X
-from ..operators import bayes, containment, dedup, evaluate, relational, vocabulary
+from ..operators import bayes, containment, dedup, evaluate, relational, similar, vocabulary
 from ..sources import connectors
-from .catalogue import _BAGS, _COUNTS, _SCORED, _SPLITS, _TOKENS, _WHITE, MIN, QUERIES, SQL, _collapse, _grams, bags_of, grams, query, rounded, scored, table, texts
+from .catalogue import _BAGS, _COUNTS, _SCORED, _SPLITS, _TOKENS, _WHITE, MIN, QUERIES, SQL, _collapse, _grams, _trigrams, bags_of, grams, query, rounded, scored, table, texts
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -210,3 +210,22 @@ def external_service(spark, sf_dir):
     """A text service in place: its reply is the text's length; what it fails on would be counted."""
     failures = spark.sparkContext.accumulator(0)
     return table(spark, sf_dir, "documents").select("doc_id", connectors.external(lambda t: str(len(t)), failures)(F.col("text")).alias("reply"))
+
+
+# --- search by similarity -------------------------------------------------------------------------------------------
+
+_TITLES = "t AS (SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM pages WHERE html IS NOT NULL)"
+
+
+def titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"))
+
+
+@query(f"""WITH {_TITLES}, c AS (SELECT title, min(page_id) AS id, count(*) AS copies FROM t GROUP BY 1), q AS (SELECT title, min(page_id) AS id FROM t WHERE page_id % 20 = 0 GROUP BY 1),
+ a AS (SELECT id, title, {_trigrams("title")} AS g FROM q), b AS (SELECT id, title, copies, {_trigrams("title")} AS g FROM c),
+ ag AS (SELECT id, unnest(g) AS x FROM a), bg AS (SELECT id, unnest(g) AS x FROM b), n AS (SELECT ag.id AS query, bg.id AS id, count(*) AS i FROM ag JOIN bg USING (x) GROUP BY 1, 2)
+ SELECT query, n.id AS id, round(i / (len(a.g) + len(b.g) - i), 6) AS similarity, copies FROM n JOIN a ON a.id = query JOIN b ON b.id = n.id WHERE a.title <> b.title AND i / (len(a.g) + len(b.g) - i) >= {similar.LEAST} - 1e-12""")
+def similar_titles(spark, sf_dir):
+    """For the titles of every twentieth page all distinct titles of similarity 0.3 or more."""
+    own = titles(spark, sf_dir)
+    return rounded(similar.search(own.filter("page_id % 20 = 0"), own, "page_id", "title"), "similarity")
