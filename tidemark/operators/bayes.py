@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import EPSILON, floored, log_or_minus_infinity, probability_of_one
-from ..session import shared_folder
 
 # Iterations, test share and the first seed.
 ITERATIONS, TEST_SHARE, SEED = 30, 0.1, 33
@@ -100,38 +99,3 @@ def tone(sentences: DataFrame, row_id: str, pred: Column | None = None) -> DataF
     pred = F.col("pred") if pred is None else pred
     h, d = F.count_if(pred == 1), F.count_if(pred == 0)
     return sentences.groupBy(row_id).agg(((h - d) / F.nullif(h + d, F.lit(0))).alias("tone"), h.alias("hawkish"), d.alias("dovish"))
-
-
-def token_counts(docs: DataFrame, tokens: str = "tokens", vocabulary: int | None = None):
-    """A fitted CountVectorizer; unless a size is given, its vocabulary has every distinct token."""
-    from pyspark.ml.feature import CountVectorizer
-
-    size = vocabulary or max(1, docs.select(F.explode(tokens).alias("t")).agg(F.countDistinct("t")).first()[0])
-    return CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=size).fit(docs)
-
-
-def topic_model(k: int = 30, iterations: int = 15, seed: int = SEED):
-    """An LDA by online variational Bayes with fixed symmetric priors and the reference's learning rate.
-
-    Each iteration is a pass: it draws as many documents as there are (with replacement, which Spark doesn't let one
-    change), not Spark's usual twentieth.
-    """
-    from pyspark.ml.clustering import LDA
-
-    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, learningDecay=0.5, optimizeDocConcentration=False)
-
-
-def topics(docs: DataFrame, tokens: str = "tokens", k: int = 30, iterations: int = 15, vocabulary: int | None = None, seed: int = SEED) -> DataFrame:
-    """Mean topic weights of an LDA over token counts: topic, weight.
-
-    The counts are written to the shared folder once, so that no pass builds them from the texts again.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "counts")
-    token_counts(docs, tokens, vocabulary).transform(docs).select("features").write.parquet(path)
-    counts = spark.read.parquet(path)
-    weights = topic_model(k, iterations, seed).fit(counts).transform(counts).select(vector_to_array("topicDistribution").alias("w"))
-    return weights.select(F.posexplode("w").alias("topic", "weight")).groupBy("topic").agg(F.avg("weight").alias("weight"))
-
-

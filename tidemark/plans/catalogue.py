@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleansing, dates, numeric
 from ..functions import text as X
-from ..operators import bayes, containment, dedup, evaluate, keys, label, relational, reports, splits, vocabulary
+from ..operators import bayes, containment, dedup, evaluate, keys, label, relational, reports, splits, topics, vocabulary
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -710,8 +710,9 @@ def success_rate(spark, sf_dir):
 
 @query()
 def lda_topics(spark, sf_dir):
+    """30 topics over every distinct token, 15 passes over all documents."""
     own = table(spark, sf_dir, "documents").select("doc_id", X.content_words(F.col("text")).alias("tokens"))
-    return bayes.topics(own)
+    return rounded(topics.topics(own, "doc_id"), "weight")
 
 
 #: The whole flow: sentences of labelled documents, their n-grams, the vocabulary, 30 splits by digest, the lexicon.
