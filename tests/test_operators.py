@@ -62,6 +62,21 @@ def test_row_numbers(spark):
     assert {(r.v, r.row_id) for r in keys.with_row_number(df, ["v"]).collect()} == {(i, i) for i in range(1000)}
 
 
+def test_row_numbers_beside_wide_columns(spark):
+    """Rows' partitions aren't merged, those of the order alone are."""
+    own = {"coalescePartitions.parallelismFirst": "false", "coalescePartitions.minPartitionSize": "1k", "advisoryPartitionSizeInBytes": "20k"}
+    for k, v in own.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        wide = F.concat(*[F.sha2((F.col("id") + i * 1000).cast("string"), 512) for i in range(8)])
+        df = spark.range(1000).select(((F.col("id") * 7) % 1000).alias("v"), wide.alias("wide")).repartition(7)
+        got = [(r.v, r.row_id, len(r.wide)) for r in keys.with_row_number(df, ["v"]).collect()]
+    finally:
+        for k in own:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    assert sorted(got) == [(i, i, 1024) for i in range(1000)]
+
+
 def test_dedup(spark):
     rows = [("f1", "a", "t", "c", 2), ("f1", "a", "t", "c", 1), ("f1", "b", "t", "c", 3), ("f2", "a", "t", "c", 4)]
     df = spark.createDataFrame(rows, "file string, source string, title string, content string, position int")

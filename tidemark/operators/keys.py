@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import SOURCE_CODES
+from ..session import shared_folder
 
 
 def source_code(source: Column, codes: dict[str, str] | None = None) -> Column:
@@ -31,9 +32,14 @@ def surrogate_key(df: DataFrame, source: str, day: str, order: list, name: str =
 def with_row_number(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """0, 1, 2, ... in a global order, without a window over one partition.
 
-    Rows are range-sorted; the partitions' sizes (a row for each partition) give the offsets.
+    Rows are range-sorted; the partitions' sizes (a row for each partition) give the offsets. The sorted rows are written
+    to the shared folder first: sizes and rows would else come from two sorts, whose ranges are sampled, and merged by
+    size, each on its own.
     """
+    path = shared_folder(df.sparkSession, "ordered")
     ordered = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    ordered = df.sparkSession.read.schema(ordered.schema).parquet(path)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
