@@ -392,3 +392,41 @@ def test_kinds_brute(spark):
     df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
     own = frequent.Candidates(frequent.words_table(df, F.col("text"), [], merge=False), 2, often=6)
     assert (own.kinds, own.often) == (len(total), sum(n >= 6 for n in total.values()))
+
+
+@pytest.mark.parametrize("smooth,splitted", [(True, True), (True, False), (False, False)])
+def test_sums_brute(spark, smooth, splitted):
+    """Sums of log probabilities and totals of one exchange, against a loop over rows, n-grams and iterations."""
+    random.seed(8)
+    docs = [(i, None if i == 7 else i % 2, " ".join(random.choice("abcdefg") for _ in range(random.randrange(0, 12)))) for i in range(130)]
+    n = 25 if splitted else 1
+    tests = (lambda ids: frequent.tests_by_modulus(ids, 25)) if splitted else None
+    held = {i: {int(x) for x in frequent.tests_by_modulus(np.array([i]), 25)[0] if x >= 0} if splitted else set() for i, _, _ in docs}
+    if splitted:
+        masks = spark.range(130).select("id", splits.by_modulus(F.col("id"), 25).alias("m")).collect()
+        assert held == {r.id: {k for k in range(25) if r.m >> k & 1} for r in masks}
+    df = spark.createDataFrame(docs, "id long, label int, text string").repartition(5)
+    own = frequent.Candidates(frequent.words_table(df, F.col("text"), ["id", "label"]), 6)
+    got, t = frequent.sums(own, n, "id", tests, smooth)
+    bags = {}
+    for r in own.bags("id", names=True).collect():
+        bags.setdefault(r.id, {})[r.ngram] = r.tf
+    every = sum(map(Counter, bags.values()), Counter())
+    bags = {i: kept for i, b in bags.items() if (kept := {g: x for g, x in b.items() if every[g] >= 6})}
+    label = {i: int(y != 0) for i, y, _ in docs}
+    want = {}
+    for k in range(n):
+        c = [Counter(), Counter()]
+        for i, b in bags.items():
+            if k not in held[i]:
+                c[label[i]].update(b)
+        size, total = len(c[0] | c[1]), [sum(x.values()) for x in c]
+        assert t[:, k].tolist() == [*total, size]
+        for i, b in bags.items():
+            if k in held[i] or not splitted:
+                p = [(lambda g, y=y: (c[y][g] + 1) / (total[y] + size)) if smooth else (lambda g, y=y: max(c[y][g] / total[y], 1e-100)) for y in (0, 1)]
+                want[i, k] = [sum(x * math.log(p[y](g)) for g, x in b.items() if c[0][g] + c[1][g]) for y in (0, 1)]
+    rows = got.collect()
+    assert {(r.id, r.iter) for r in rows} == want.keys() and len(rows) == len(want)
+    assert all([r.s0, r.s1] == pytest.approx(want[r.id, r.iter], rel=1e-9) for r in rows)
+    assert {r.id: r.label for r in rows} == {i: y for i, y, _ in docs if i in bags}
