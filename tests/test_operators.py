@@ -430,3 +430,21 @@ def test_sums_brute(spark, smooth, splitted):
     assert {(r.id, r.iter) for r in rows} == want.keys() and len(rows) == len(want)
     assert all([r.s0, r.s1] == pytest.approx(want[r.id, r.iter], rel=1e-9) for r in rows)
     assert {r.id: r.label for r in rows} == {i: y for i, y, _ in docs if i in bags}
+
+
+def test_polarity_brute(spark):
+    """Counts by hashes and names by themselves give the lexicon of splits.polarity."""
+    random.seed(9)
+    docs = [(i, i % 3 % 2, " ".join(random.choice("abcdefg") for _ in range(random.randrange(0, 12)))) for i in range(130)]
+    df = spark.createDataFrame(docs, "id long, label int, text string").withColumn("tested", splits.by_modulus(F.col("id"))).repartition(5)
+    own = frequent.Candidates(frequent.words_table(df, F.col("text"), ["label", "tested"], merge=False), 6)
+    bags = own.bags("label", "tested", names=True)
+    often = bags.groupBy("ngram").agg(F.sum("tf").alias("n")).filter("n >= 6")
+    want = {r.ngram: r for r in splits.polarity(splits.models(splits.counts(vocabulary.restrict(bags, often)))).collect()}
+    got = frequent.polarity(own, 30).collect()
+    assert {r.ngram for r in got} == want.keys() and len(got) == len(want) > 40
+    for r in got:
+        w = want[r.ngram]
+        assert (r.num_iterations, r.stance) == (w.num_iterations, w.stance) and [r.mean_score, r.std_score] == pytest.approx([w.mean_score, w.std_score], abs=1e-9)
+    names = own.names().collect()
+    assert len(names) == len({r.h for r in names}) == len({r.ngram for r in bags.select("ngram").collect()})
