@@ -339,6 +339,25 @@ def test_digamma():
     assert topics.digamma(x) == pytest.approx([-1000.5755719318103, -1.9635100260214235, -0.5772156649015329, 0.42278433509846714, 2.2517525890667211, 13.815510057964191], rel=1e-9)
 
 
+def test_topics_exchange_blocks(spark, monkeypatch):
+    """A pass exchanges a few rows a block and part, not one for each token of each document; parts don't change the result."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, r.sample([f"w{x}" for x in range(300)], 60)) for i in range(100)], "doc_id int, tokens array<string>").repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        seq = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteRecords() for x in map(seq.apply, range(seq.size()))}
+
+    before, found = set(stages()), []
+    for part in (1 << 17, 100):
+        monkeypatch.setattr(topics, "PART", part, raising=False)
+        found.append([x.weight for x in topics.topics(df, "doc_id", k=3, passes=3).orderBy("topic").collect()])
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert found[0] == pytest.approx(found[1], rel=1e-6) and sum(found[0]) == pytest.approx(1)
+    assert sum(n for i, n in stages().items() if i not in before) < 3000  # of 6,000 tokens of documents in each of 8 passes
+
+
 def test_topics_whole(spark, sf):
     got = catalogue.lda_topics(spark, sf).collect()
     assert sorted(r.topic for r in got) == list(range(30)) and sum(r.weight for r in got) == pytest.approx(1, abs=1e-4)
